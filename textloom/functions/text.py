@@ -211,7 +211,8 @@ def token_labels(token, sent_id) -> Column:
 
 
 def strip_special(mask) -> Column:
-    """Zero the first and last (special-token) positions of an attention mask."""
+    """Zero the first and last (special-token) positions of an attention mask.
+    Pass a column, not an expression: the lambda reads its size per element."""
     m = _col(mask)
     return F.transform(m, lambda x, i: F.when((i == 0) | (i == F.size(m) - 1), F.lit(0)).otherwise(x))
 

@@ -6,65 +6,193 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import counting
+from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.sources import tables as S
 
-# SQL fragments mirroring textloom.functions.text for the oracle.
-WS = T.WS_CLASS
+def clean_tokens(spark, sf_dir):
+    d = S.read(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return d.select("doc_id", T.tokenize_words(T.clean_note("text")).alias("tokens"))
 
 
-def sql_replace_chain(expr: str, pairs=T.REPLACEMENT_MAP) -> str:
-    for a, b in pairs:
-        expr = f"replace({expr}, {sql_lit(a)}, {sql_lit(b)})"
-    return expr
+@query("rank_top_words", sql=f"""
+SELECT word, CAST(count(*) AS BIGINT) AS cnt
+FROM (SELECT unnest({Q.tokens(Q.clean_note('text'))}) AS word FROM documents WHERE text IS NOT NULL)
+GROUP BY word ORDER BY cnt DESC, word LIMIT 10""")
+def q_rank_top_words(spark, sf_dir):
+    return counting.top_words(counting.word_counts(clean_tokens(spark, sf_dir)))
 
 
-def sql_admin(expr: str, tokens=T.ADMIN_LANGUAGE) -> str:
-    for a in tokens:
-        expr = f"replace({expr}, {sql_lit(a)}, ' ')"
-    return expr
+def _dirty(spark, sf_dir):
+    return S.notes_dirty(spark, sf_dir)
 
 
-def sql_lit(s: str) -> str:
-    """DuckDB string literal; control characters via chr()."""
-    out, buf = [], ""
-    for ch in s:
-        if ord(ch) < 32:
-            if buf:
-                out.append("'" + buf.replace("'", "''") + "'")
-                buf = ""
-            out.append(f"chr({ord(ch)})")
-        else:
-            buf += ch
-    if buf or not out:
-        out.append("'" + buf.replace("'", "''") + "'")
-    return out[0] if len(out) == 1 else "(" + " || ".join(out) + ")"
+DIRTY = S.with_sql(S.NOTES_DIRTY_SQL)
 
 
-def sql_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '{T.STRIP_PATTERN}', '', 'g')"
+@query("str_strip_brackets", sql=DIRTY + f"SELECT id, {Q.brackets('IN07')} AS text FROM notes_dirty")
+def q_strip_brackets(spark, sf_dir):
+    return _dirty(spark, sf_dir).select("id", T.strip_brackets("IN07").alias("text"))
 
 
-def sql_clean_note(expr: str) -> str:
-    e = f"regexp_replace({expr}, '{T.BRACKET_PATTERN}', '', 'g')"
-    e = sql_replace_chain(e)
-    e = sql_admin(e)
-    e = f"lower({sql_strip(e)})"
-    return f"regexp_replace({e}, '\\\\s+', ' ', 'g')"
+@query("str_replace_chain", sql=DIRTY + f"SELECT id, {Q.replace_chain('IN07')} AS text FROM notes_dirty")
+def q_replace_chain(spark, sf_dir):
+    return _dirty(spark, sf_dir).select("id", T.replace_chain("IN07").alias("text"))
 
 
-def sql_tokens(expr: str) -> str:
-    return f"regexp_extract_all({expr}, '{T.TOKEN_PATTERN}')"
+@query("str_remove_admin", sql=DIRTY + f"SELECT id, {Q.admin(Q.replace_chain('IN07'))} AS text FROM notes_dirty")
+def q_remove_admin(spark, sf_dir):
+    return _dirty(spark, sf_dir).select("id", T.remove_admin(T.replace_chain("IN07")).alias("text"))
 
 
-def clean_tokens(spark, sf_dir):
-    d = S.read(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return d.select("doc_id", T.tokenize_words(T.clean_note("text")).alias("tokens"))
+@query("str_strip_lower", sql=DIRTY + f"SELECT id, lower({Q.strip(Q.lit(chr(9) + ' ') + ' || IN07 || ' + Q.lit(chr(10) + chr(160)))}) AS text FROM notes_dirty")
+def q_strip_lower(spark, sf_dir):
+    padded = F.concat(F.lit("\t "), F.col("IN07"), F.lit("\n "))
+    return _dirty(spark, sf_dir).select("id", T.strip_lower(padded).alias("text"))
 
 
-@query("rank_top_words", sql=f"""
-SELECT word, CAST(count(*) AS BIGINT) AS cnt
-FROM (SELECT unnest({sql_tokens(sql_clean_note('text'))}) AS word FROM documents WHERE text IS NOT NULL)
-GROUP BY word ORDER BY cnt DESC, word LIMIT 10""")
-def q_rank_top_words(spark, sf_dir):
-    return counting.top_words(counting.word_counts(clean_tokens(spark, sf_dir)))
+@query("str_backslash_s", sql=DIRTY + f"SELECT id, {Q.backslash_s('IN07')} AS text FROM notes_dirty")
+def q_backslash_s(spark, sf_dir):
+    return _dirty(spark, sf_dir).select("id", T.backslash_s("IN07").alias("text"))
+
+
+@query("str_clean_note", sql=DIRTY + f"""
+SELECT id, text, severity, type, location FROM (
+  SELECT id, {Q.clean_note('IN07')} AS text, severity, type, location
+  FROM notes_dirty WHERE IN07 IS NOT NULL)
+WHERE text IS NOT NULL""")
+def q_clean_note(spark, sf_dir):
+    """Whole report cleaner on the dirty notes; null text dropped (not whole rows:
+    flt_dropna_any is the separate any-column drop)."""
+    n = _dirty(spark, sf_dir).where(F.col("IN07").isNotNull())
+    return (n.select("id", T.clean_note("IN07").alias("text"), "severity", "type", "location")
+            .where(F.col("text").isNotNull()))
+
+
+@query("str_alpha_only", sql=f"SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z'']+', ' ', 'g')) AS text FROM documents")
+def q_alpha_only(spark, sf_dir):
+    return S.read(spark, sf_dir, "documents").select("doc_id", T.alpha_only("text").alias("text"))
+
+
+def _sql_html(expr):
+    e = f"lower({expr})"
+    for s in T.HTML_NEWLINES:
+        e = f"replace({e}, {Q.lit(s)}, chr(10))"
+    return f"coalesce({e}, '')"
+
+
+@query("str_html_newlines", sql=f"SELECT page_id, {_sql_html('html')} AS text FROM pages")
+def q_html_newlines(spark, sf_dir):
+    return S.read(spark, sf_dir, "pages").select("page_id", T.html_newlines("html").alias("text"))
+
+
+@query("str_sanitize", sql=f"SELECT doc_id, {Q.sanitize('text', lower=True)} AS text FROM documents")
+def q_sanitize(spark, sf_dir):
+    return S.read(spark, sf_dir, "documents").select("doc_id", T.sanitize("text", lowercase=True).alias("text"))
+
+
+@query("str_char_chunks", sql="""
+SELECT doc_id, CAST(i / 200 AS BIGINT) AS pos, substr(text, i + 1, 200) AS chunk
+FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 200)) AS i
+      FROM documents WHERE length(text) > 0)""")
+def q_char_chunks(spark, sf_dir):
+    d = S.read(spark, sf_dir, "documents")
+    return (d.select("doc_id", F.posexplode(T.char_chunks("text", 200)).alias("pos", "chunk"))
+            .withColumn("pos", F.col("pos").cast("bigint")))
+
+
+@query("str_paragraphs")
+def q_paragraphs(spark, sf_dir):
+    """Paragraphs (line split) then rule-based sentences; rows-only check."""
+    d = S.read(spark, sf_dir, "documents")
+    p = d.select("doc_id", F.posexplode(T.split_lines("text")).alias("para", "ptext"))
+    return p.select("doc_id", "para", F.posexplode(T.split_sentences("ptext")).alias("sent", "sentence"))
+
+
+@query("str_tokenize_ws", sql=f"""
+SELECT doc_id, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS tokens
+FROM (SELECT doc_id, {Q.tokens_ws('text')} AS tk FROM documents)""")
+def q_tokenize_ws(spark, sf_dir):
+    tk = T.tokenize_ws("text")
+    return S.read(spark, sf_dir, "documents").select(
+        "doc_id", F.size(tk).alias("n_tokens"), F.array_join(tk, " ").alias("tokens"))
+
+
+@query("str_tokenize_words", sql=f"""
+SELECT doc_id, CAST(len(tk) AS INTEGER) AS n_tokens, array_to_string(tk, ' ') AS tokens
+FROM (SELECT doc_id, {Q.tokens('lower(text)')} AS tk FROM documents)""")
+def q_tokenize_words(spark, sf_dir):
+    tk = T.tokenize_words("text", lower=True)
+    return S.read(spark, sf_dir, "documents").select(
+        "doc_id", F.size(tk).alias("n_tokens"), F.array_join(tk, " ").alias("tokens"))
+
+
+def stop_tokens(spark, sf_dir):
+    from textloom.functions.lexicon import stop_words
+    d = S.read(spark, sf_dir, "documents")
+    return d.select("doc_id", T.remove_stopwords(T.tokenize_words("text"), stop_words()).alias("tokens"))
+
+
+STOP_TOKENS_SQL = f"SELECT doc_id, {Q.remove_stopwords(Q.tokens('text'))} AS tokens FROM documents"
+
+
+@query("str_stopwords", sql=f"""
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens
+FROM ({STOP_TOKENS_SQL})""")
+def q_stopwords(spark, sf_dir):
+    t = stop_tokens(spark, sf_dir)
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("str_ngrams", sql=f"""
+SELECT doc_id, CAST(len(g) AS INTEGER) AS n_grams, array_to_string(g, '|') AS grams
+FROM (SELECT doc_id, {Q.ngrams2('tokens')} AS g FROM ({STOP_TOKENS_SQL}))""")
+def q_ngrams(spark, sf_dir):
+    g = T.ngrams("tokens", 2)
+    return stop_tokens(spark, sf_dir).select("doc_id", F.size(g).alias("n_grams"),
+                                            F.array_join(g, "|").alias("grams"))
+
+
+@query("str_token_labels", sql=f"""
+SELECT conv_id, string_agg(lbl, ' ' ORDER BY turn, pos) AS labelled
+FROM (SELECT conv_id, turn, pos, tok || '_' || CAST(turn AS VARCHAR) AS lbl
+      FROM (SELECT conv_id, turn, unnest(tk) AS tok, unnest(generate_series(1, len(tk))) AS pos
+            FROM (SELECT conv_id, turn, {Q.tokens_ws('text')} AS tk FROM conversations)))
+GROUP BY conv_id""")
+def q_token_labels(spark, sf_dir):
+    """Token occurrence labels ``token_turn``; each conversation rebuilt from them
+    in (turn, position) order. Ordered collect = sort_array of structs."""
+    c = S.read(spark, sf_dir, "conversations")
+    labelled = c.select("conv_id", "turn", F.transform(T.tokenize_ws("text"),
+                        lambda t: T.token_labels(t, F.col("turn"))).alias("lbl"))
+    per_conv = labelled.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "lbl"))).alias("parts"))
+    return per_conv.select("conv_id", F.array_join(F.flatten(F.transform("parts", lambda s: s["lbl"])), " ")
+                           .alias("labelled"))
+
+
+@query("str_strip_special", sql=f"""
+SELECT doc_id, CAST(len(m) AS INTEGER) AS n, CAST(list_sum(m) AS INTEGER) AS n_attended,
+       array_to_string(m, '') AS mask
+FROM (SELECT doc_id, list_transform(generate_series(1, len(tk) + 2),
+             lambda i: CASE WHEN i = 1 OR i = len(tk) + 2 THEN 0 ELSE 1 END) AS m
+      FROM (SELECT doc_id, {Q.tokens_ws('text')} AS tk FROM documents))""")
+def q_strip_special(spark, sf_dir):
+    """Attention mask over [CLS] tokens [SEP] with the special ends zeroed."""
+    d = S.read(spark, sf_dir, "documents")
+    # project the raw mask first: lambdas must reference columns, not expressions
+    raw = d.select("doc_id", F.array_repeat(F.lit(1), F.size(T.tokenize_ws("text")) + 2).alias("m"))
+    masked = raw.select("doc_id", T.strip_special("m").alias("m"))
+    return masked.select("doc_id", F.size("m").alias("n"),
+                         F.aggregate("m", F.lit(0), lambda a, x: a + x).alias("n_attended"),
+                         F.array_join("m", "").alias("mask"))
+
+
+@query("str_format_prediction", sql=S.with_sql(S.PREDS_MULTI_SQL) + """
+SELECT id, format('Category: {}, Probability: {}%', 'class_' || CAST(prediction AS VARCHAR),
+                  printf('%.2f', list_max(probs) * 100)) AS line
+FROM preds_multi""")
+def q_format_prediction(spark, sf_dir):
+    pm = S.preds_multi(spark, sf_dir)
+    return pm.select("id", T.format_prediction(F.concat(F.lit("class_"), F.col("prediction").cast("string")),
+                                               F.array_max("probs")).alias("line"))

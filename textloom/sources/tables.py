@@ -115,12 +115,12 @@ PREDS_MULTI_SQL = """preds_multi AS (
          CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS prediction
   FROM (
     SELECT vec_id AS id, label,
-           list_transform(ex, x -> x / list_sum(ex)) AS probs
+           list_transform(ex, lambda x: x / list_sum(ex)) AS probs
     FROM (
       SELECT vec_id, label,
-             list_transform(lg, x -> exp(x - list_max(lg))) AS ex
+             list_transform(lg, lambda x: exp(x - list_max(lg))) AS ex
       FROM (SELECT vec_id, label,
-                   list_transform(embedding[1:10], x -> CAST(x AS DOUBLE)) AS lg
+                   list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS lg
             FROM embeddings))))"""
 
 
