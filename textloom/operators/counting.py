@@ -18,3 +18,17 @@ def top_words(counts: DataFrame, k: int = 10, word: str = "word", count: str = "
     """k most frequent words, ties by word; planned as TakeOrderedAndProject
     (per-partition top-k, then a k-row merge)."""
     return counts.orderBy(F.desc(count), F.asc(word)).limit(k)
+
+
+def digit_token_stats(vocab: DataFrame, word: str = "word") -> DataFrame:
+    """Vocabulary tokens holding a digit and not containing ``unused``: count and share."""
+    is_digit = F.col(word).rlike(r"\p{Nd}") & ~F.col(word).contains("unused")
+    return vocab.agg(F.count_if(is_digit).alias("n_digit"), F.count(F.lit(1)).alias("n_vocab")).select(
+        "n_digit", "n_vocab", F.round(F.col("n_digit") / F.col("n_vocab"), 6).alias("share"))
+
+
+def in_vocabulary(terms: DataFrame, vocab: DataFrame, term: str = "term", word: str = "word") -> DataFrame:
+    """Flag each term by vocabulary membership (left join on the word key; the
+    vocabulary side is distinct so no row multiplies)."""
+    v = vocab.select(F.col(word).alias(term)).distinct().withColumn("in_vocab", F.lit(True))
+    return terms.join(v, term, "left").select(term, F.coalesce("in_vocab", F.lit(False)).alias("in_vocab"))
