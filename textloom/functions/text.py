@@ -144,11 +144,8 @@ def sanitize(c, lowercase: bool = False) -> Column:
 
 
 def char_chunks(c, k: int) -> Column:
-    """Fixed-size character chunks of a string, as an array."""
-    s = _col(c)
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.length(s) - 1, F.lit(k)),
-                    lambda i: F.substring(s, i + 1, k)))
+    """Fixed-size character chunks of a string, as an array (one regex pass)."""
+    return F.regexp_extract_all(_col(c), F.lit("(?s).{1,%d}" % k), 0)
 
 
 def split_lines(c) -> Column:
@@ -187,15 +184,18 @@ def remove_stopwords(tokens, stop_words: Sequence[str], punctuation: str = PUNCT
 
 
 def ngrams(tokens, n_max: int = 2) -> Column:
-    """1..n_max word n-grams, joined by a space, in order of n then position."""
+    """1..n_max word n-grams, joined by a space, in order of n then position.
+
+    Built from shifted slices with ``zip_with`` so no lambda captures the
+    token expression (a captured expression is re-evaluated per element)."""
     toks = _col(tokens)
     out = toks
     for n in range(2, n_max + 1):
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(0))),
-            lambda i: F.array_join(F.slice(toks, i, n), " "))
-        grams = F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>"))
-        out = F.concat(out, grams)
+        width = F.greatest(F.size(toks) - n + 1, F.lit(0))
+        grams = F.slice(toks, 1, width)
+        for k in range(2, n + 1):
+            grams = F.zip_with(grams, F.slice(toks, k, width), lambda a, b: F.concat_ws(" ", a, b))
+        out = F.concat(out, F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
     return out
 
 
@@ -211,10 +211,10 @@ def token_labels(token, sent_id) -> Column:
 
 
 def strip_special(mask) -> Column:
-    """Zero the first and last (special-token) positions of an attention mask.
-    Pass a column, not an expression: the lambda reads its size per element."""
+    """Zero the first and last (special-token) positions of an attention mask."""
     m = _col(mask)
-    return F.transform(m, lambda x, i: F.when((i == 0) | (i == F.size(m) - 1), F.lit(0)).otherwise(x))
+    return F.when(F.size(m) <= 2, F.array_repeat(F.lit(0), F.size(m))).otherwise(
+        F.concat(F.array(F.lit(0)), F.slice(m, 2, F.size(m) - 2), F.array(F.lit(0))))
 
 
 def format_prediction(category, probability) -> Column:

@@ -32,3 +32,15 @@ def in_vocabulary(terms: DataFrame, vocab: DataFrame, term: str = "term", word:
     vocabulary side is distinct so no row multiplies)."""
     v = vocab.select(F.col(word).alias(term)).distinct().withColumn("in_vocab", F.lit(True))
     return terms.join(v, term, "left").select(term, F.coalesce("in_vocab", F.lit(False)).alias("in_vocab"))
+
+
+def vocab_overlap(a: DataFrame, b: DataFrame, word: str = "word") -> DataFrame:
+    """Overlap of two vocabularies: sizes, intersection, union, both/union.
+    One full-outer join of the distinct words, then a single aggregate."""
+    va = a.select(word).distinct().withColumn("_a", F.lit(1))
+    vb = b.select(word).distinct().withColumn("_b", F.lit(1))
+    j = va.join(vb, word, "full_outer")
+    return j.agg(F.count("_a").alias("n_a"), F.count("_b").alias("n_b"),
+                 F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"),
+                 F.count(F.lit(1)).alias("n_union")).withColumn(
+        "overlap", F.round(F.col("n_both") / F.col("n_union"), 6))
