@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import counting
+from textloom.operators.common import evaluate_once
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.sources import tables as S
 
 def clean_tokens(spark, sf_dir):
     d = S.read(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    return d.select("doc_id", T.tokenize_words(T.clean_note("text")).alias("tokens"))
+    return evaluate_once(d.select("doc_id", T.tokenize_words(T.clean_note("text")).alias("tokens")), "tokens")
 
 
 @query("rank_top_words", sql=f"""
@@ -130,7 +131,8 @@ def q_tokenize_words(spark, sf_dir):
 def stop_tokens(spark, sf_dir):
     from textloom.functions.lexicon import stop_words
     d = S.read(spark, sf_dir, "documents")
-    return d.select("doc_id", T.remove_stopwords(T.tokenize_words("text"), stop_words()).alias("tokens"))
+    return evaluate_once(
+        d.select("doc_id", T.remove_stopwords(T.tokenize_words("text"), stop_words()).alias("tokens")), "tokens")
 
 
 STOP_TOKENS_SQL = f"SELECT doc_id, {Q.remove_stopwords(Q.tokens('text'))} AS tokens FROM documents"

@@ -9,6 +9,7 @@ from textloom.functions import text as T
 from textloom.functions.lexicon import stop_words
 from textloom.operators import counting
 from textloom.operators import vocab as V
+from textloom.operators.common import evaluate_once
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.plans.strings import STOP_TOKENS_SQL, clean_tokens, stop_tokens
@@ -69,7 +70,7 @@ def q_vocab_overlap(spark, sf_dir):
 
 
 def _grams(spark, sf_dir):
-    return stop_tokens(spark, sf_dir).select("doc_id", T.ngrams("tokens", 2).alias("terms"))
+    return evaluate_once(stop_tokens(spark, sf_dir).select("doc_id", T.ngrams("tokens", 2).alias("terms")), "terms")
 
 
 GRAMS_SQL = f"""grams AS (SELECT doc_id, {Q.ngrams2('tokens')} AS terms FROM ({STOP_TOKENS_SQL})),
@@ -99,7 +100,7 @@ def w2v_sentences(spark, sf_dir):
     """Word-vector corpus: letters-only lower text, stop words out, > 2 tokens."""
     d = S.read(spark, sf_dir, "documents")
     t = d.select("doc_id", T.remove_stopwords(T.tokenize_ws(T.alpha_only("text")), stop_words()).alias("tokens"))
-    return t.where(F.size("tokens") > 2)
+    return evaluate_once(t, "tokens").where(F.size("tokens") > 2)
 
 
 W2V_SQL = f"""s AS (SELECT doc_id, tokens FROM (
