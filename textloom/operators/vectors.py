@@ -246,3 +246,57 @@ def ranked(scored: DataFrame, by: str = "sim", descending: bool = True, rank_col
            group: str = "qid", tie: str = "id") -> DataFrame:
     """Distributed per-query rank of a scored table (ties by id)."""
     return ordered_prefix(scored, [by, tie], group_cols=[group], rank_col=rank_col, descending=descending)
+
+
+def layer_combine(layers: str, mode: str, top_n: int = 4) -> Column:
+    """Combine the top-n layer vectors of a token (``array<array<double>>``):
+    concat, average, sum, last, second_last; another mode gives null."""
+    top = F.slice(F.col(layers), -top_n, top_n)
+    if mode == "concat":
+        return F.flatten(top)
+    if mode in ("average", "sum"):
+        zero = F.transform(F.element_at(top, 1), lambda x: F.lit(0.0))
+        total = F.aggregate(top, zero, lambda acc, l: F.zip_with(acc, l, lambda a, b: a + b))
+        return total if mode == "sum" else F.transform(total, lambda x: x / top_n)
+    if mode == "last":
+        return F.element_at(F.col(layers), -1)
+    if mode == "second_last":
+        return F.element_at(F.col(layers), -2)
+    return F.lit(None).cast("array<double>")
+
+
+def nbow(tf: DataFrame, group_cols, term: str = "term", tf_col: str = "tf") -> DataFrame:
+    """nBOW weights ln(1 + tf) normalised to sum 1 within each document."""
+    g = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    w = tf.withColumn("_l", F.log1p(F.col(tf_col)))
+    tot = w.groupBy(*g).agg(F.sum("_l").alias("_t"))
+    return w.join(tot, g).withColumn("weight", F.col("_l") / F.col("_t")).drop("_l", "_t")
+
+
+def mlm_accuracy(df: DataFrame, labels: str, preds: str) -> DataFrame:
+    """Share of positions with label != -100 whose prediction is right."""
+    z = df.select(F.explode(F.arrays_zip(F.col(labels).alias("l"), F.col(preds).alias("p"))).alias("z"))
+    z = z.where(F.col("z.l") != -100)
+    return z.agg(F.count(F.lit(1)).alias("n_selected"),
+                 F.round(F.avg((F.col("z.l") == F.col("z.p")).cast("double")), 6).alias("accuracy"))
+
+
+def clm_accuracy(df: DataFrame, labels: str, preds: str) -> DataFrame:
+    """Next-token accuracy: labels from position 1 against predictions up to n-1."""
+    n = F.size(F.col(labels))
+    lab = F.slice(F.col(labels), 2, F.greatest(n - 1, F.lit(0)))
+    pre = F.slice(F.col(preds), 1, F.greatest(n - 1, F.lit(0)))
+    z = df.select(F.explode(F.arrays_zip(lab.alias("l"), pre.alias("p"))).alias("z"))
+    return z.agg(F.count(F.lit(1)).alias("n"),
+                 F.round(F.avg((F.col("z.l") == F.col("z.p")).cast("double")), 6).alias("accuracy"))
+
+
+def align_vectors(vocab: DataFrame, pretrained: DataFrame, dim: int, seed: int = 42,
+                  word: str = "word", vec: str = "v") -> DataFrame:
+    """Vocabulary left join pretrained vectors; a word without one gets
+    U(-sqrt(3/d), +sqrt(3/d)) per dimension from a hash of (seed, word, i)."""
+    bound = math.sqrt(3.0 / dim)
+    rnd = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (
+        F.pmod(F.xxhash64(F.lit(seed), F.col(word), i), F.lit(1 << 30)).cast("double") / float(1 << 30) * 2 - 1) * bound)
+    j = vocab.join(pretrained.select(word, F.transform(vec, lambda x: x.cast("double")).alias("_pv")), word, "left")
+    return j.withColumn("pretrained", F.col("_pv").isNotNull()).withColumn("vec", F.coalesce("_pv", rnd)).drop("_pv")
