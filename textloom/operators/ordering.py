@@ -9,15 +9,14 @@ buckets, so skewed labels do not land in a single task.
 
 * Hash order (sampling): the bucket is a hex prefix of ``md5(seed|id)``,
   uniform by construction.
-* Value order (scores, ids): buckets come from ``approxQuantile`` boundaries
-  (a bounded list of doubles) applied by ``Bucketizer`` (binary search, JVM).
+* Value order (scores, ids): buckets come from ``percentile_approx``
+  boundaries (a bounded list of doubles, joined as one broadcast row).
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +86,22 @@ def hash_top_n(df: DataFrame, n, id_col: str = "id", seed=DEFAULT_SEED,
 def quantile_bucket(df: DataFrame, key: str, n_buckets: int = 256,
                     out_col: str = "_b", rel_error: float | None = None) -> DataFrame:
     """Bucket a numeric key by approximate quantiles (monotone in the key).
-    The driver only sees ``n_buckets`` doubles."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    err = rel_error if rel_error is not None else 1.0 / (4 * n_buckets)
+
+    The boundaries are a one-row ``percentile_approx`` aggregate attached by a
+    constant key (a broadcast of ``n_buckets`` doubles), so the whole operator
+    stays one lazy plan: no driver round trip, and Spark reuses the input's
+    exchange for the boundary, histogram and row branches. The bucket is the
+    number of boundaries below the key."""
+    acc = int(4 * n_buckets / (rel_error or 1.0)) if rel_error else 4 * n_buckets * 10
     keyed = df.withColumn("_qk", F.col(key).cast("double"))
-    qs = keyed.stat.approxQuantile("_qk", probs, err) if n_buckets > 1 else []
-    splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol="_qk", outputCol=out_col, handleInvalid="keep")
-    return bz.transform(keyed).drop("_qk")
+    if n_buckets <= 1:
+        return keyed.withColumn(out_col, F.lit(0)).drop("_qk")
+    probs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
+    bounds = keyed.agg(F.array_distinct(F.percentile_approx("_qk", probs, acc)).alias("_bounds"))
+    j = keyed.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one")
+    bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_qk")))
+    return j.withColumn(out_col, F.when(F.col("_qk").isNull(), F.lit(n_buckets)).otherwise(bucket)).drop(
+        "_qk", "_one", "_bounds")
 
 
 def ordered_prefix(df: DataFrame, order_cols: Sequence[str], sums: dict[str, Column] | None = None,

@@ -32,9 +32,12 @@ def vocabulary(df: DataFrame, doc_col: str = "doc_id", tokens: str = "tokens",
             .select("word", "cnt", F.col("first.d").alias("_fd"), F.col("first.p").alias("_fp")))
     ranked = ordered_prefix(kept, ["_fd", "_fp"], rank_col="id").select(
         "word", F.col("id").cast("int").alias("id"), "cnt")
-    n_kept = kept.count()
-    specials = ranked.sparkSession.createDataFrame(
-        [(PAD, 0, 0), (UNK, n_kept + 1, 0)], "word string, id int, cnt bigint")
+    # specials from a one-row aggregate (lazy: no extra pass over the corpus)
+    n_kept = kept.agg(F.count(F.lit(1)).alias("_n"))
+    specials = n_kept.select(F.explode(F.array(
+        F.struct(F.lit(PAD).alias("word"), F.lit(0).alias("id"), F.lit(0).cast("bigint").alias("cnt")),
+        F.struct(F.lit(UNK).alias("word"), (F.col("_n") + 1).cast("int").alias("id"),
+                 F.lit(0).cast("bigint").alias("cnt")))).alias("s")).select("s.*")
     return ranked.unionByName(specials)
 
 
@@ -107,12 +110,15 @@ def phrase_scores(sentences: DataFrame, tokens: str = "tokens", min_count: int =
     uni = sentences.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     bi = (sentences.select(F.explode(adjacent_pairs(tokens)).alias("p"))
           .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n_ab")))
-    vocab_size = uni.count() + bi.count()  # V: two scalars
+    # V as a one-row aggregate attached by a constant key (no driver round trip)
+    v = uni.agg(F.count(F.lit(1)).alias("_nu")).withColumn("_one", F.lit(1)).join(
+        bi.agg(F.count(F.lit(1)).alias("_nb")).withColumn("_one", F.lit(1)), "_one").select(
+        "_one", (F.col("_nu") + F.col("_nb")).alias("_V"))
     ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
-    scored = (bi.join(ua, "a").join(ub, "b")
+    scored = (bi.join(ua, "a").join(ub, "b").withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one")
               .withColumn("score", (F.col("n_ab") - min_count).cast("double")
-                          / (F.col("n_a") * F.col("n_b")) * F.lit(vocab_size)))
+                          / (F.col("n_a") * F.col("n_b")) * F.col("_V")))
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 

@@ -92,7 +92,8 @@ SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)),
 def q_tfidf(spark, sf_dir):
     g = _grams(spark, sf_dir)
     tf = V.term_frequencies(g)
-    out = V.tfidf(tf, V.top_terms(tf, 50000), g.count())
+    n_docs = g.agg(F.count(F.lit(1)).alias("_n")).first()["_n"]
+    out = V.tfidf(tf, V.top_terms(tf, 50000), n_docs)
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
