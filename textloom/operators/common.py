@@ -18,3 +18,19 @@ def evaluate_once(df: DataFrame, *cols: str) -> DataFrame:
     others = [c for c in df.columns if c not in cols]
     packed = F.array(F.struct(*[F.col(c).alias(c) for c in cols]))
     return df.select(*others, F.inline(packed)).select(*df.columns)
+
+
+def drop_stopwords(df: DataFrame, tokens: str, out_col: str, stop_words, punctuation: str | None = None,
+                   ) -> DataFrame:
+    """Lower-case tokens, drop stop words (Spark ML ``StopWordsRemover``: a
+    JVM hash-set lookup per token) and drop tokens that are a substring of the
+    punctuation string. Same result as ``text.remove_stopwords``, faster on
+    long token arrays."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    from textloom.functions.text import PUNCTUATION
+    punct = PUNCTUATION if punctuation is None else punctuation
+    low = evaluate_once(df.withColumn("_low", F.transform(tokens, lambda t: F.lower(t))), "_low")
+    sw = StopWordsRemover(inputCol="_low", outputCol="_kept", stopWords=list(stop_words), caseSensitive=True)
+    out = sw.transform(low).withColumn(out_col, F.filter("_kept", lambda t: F.instr(F.lit(punct), t) == 0))
+    return out.drop("_low", "_kept") if out_col not in ("_low", "_kept") else out

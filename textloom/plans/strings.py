@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import counting
-from textloom.operators.common import evaluate_once
+from textloom.operators.common import drop_stopwords, evaluate_once
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.sources import tables as S
@@ -131,8 +131,8 @@ def q_tokenize_words(spark, sf_dir):
 def stop_tokens(spark, sf_dir):
     from textloom.functions.lexicon import stop_words
     d = S.read(spark, sf_dir, "documents")
-    return evaluate_once(
-        d.select("doc_id", T.remove_stopwords(T.tokenize_words("text"), stop_words()).alias("tokens")), "tokens")
+    t = d.select("doc_id", T.tokenize_words("text").alias("raw"))
+    return drop_stopwords(t, "raw", "tokens", stop_words()).select("doc_id", "tokens")
 
 
 STOP_TOKENS_SQL = f"SELECT doc_id, {Q.remove_stopwords(Q.tokens('text'))} AS tokens FROM documents"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.lexicon import stop_words
 from textloom.operators import topics as TP
-from textloom.operators.common import evaluate_once
+from textloom.operators.common import drop_stopwords, evaluate_once
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.sources import tables as S
@@ -36,8 +36,8 @@ npmi AS (SELECT topic, round(avg(CASE WHEN pij = 0 THEN -1.0 WHEN pij = 1 THEN 1
 
 def stop_docs(spark, sf_dir):
     d = S.read(spark, sf_dir, "documents")
-    return evaluate_once(d.select("doc_id", F.col("lang").alias("topic"),
-                                  T.remove_stopwords(T.tokenize_words("text"), stop_words()).alias("tokens")), "tokens")
+    t = d.select("doc_id", F.col("lang").alias("topic"), T.tokenize_words("text").alias("raw"))
+    return drop_stopwords(t, "raw", "tokens", stop_words()).select("doc_id", "topic", "tokens")
 
 
 def _npmi(spark, sf_dir):

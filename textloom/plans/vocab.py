@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.functions.lexicon import stop_words
 from textloom.operators import counting
 from textloom.operators import vocab as V
-from textloom.operators.common import evaluate_once
+from textloom.operators.common import drop_stopwords, evaluate_once
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.plans.strings import STOP_TOKENS_SQL, clean_tokens, stop_tokens
@@ -100,8 +100,8 @@ def q_tfidf(spark, sf_dir):
 def w2v_sentences(spark, sf_dir):
     """Word-vector corpus: letters-only lower text, stop words out, > 2 tokens."""
     d = S.read(spark, sf_dir, "documents")
-    t = d.select("doc_id", T.remove_stopwords(T.tokenize_ws(T.alpha_only("text")), stop_words()).alias("tokens"))
-    return evaluate_once(t, "tokens").where(F.size("tokens") > 2)
+    t = d.select("doc_id", T.tokenize_ws(T.alpha_only("text")).alias("raw"))
+    return drop_stopwords(t, "raw", "tokens", stop_words()).select("doc_id", "tokens").where(F.size("tokens") > 2)
 
 
 W2V_SQL = f"""s AS (SELECT doc_id, tokens FROM (
