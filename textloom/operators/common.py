@@ -34,3 +34,15 @@ def drop_stopwords(df: DataFrame, tokens: str, out_col: str, stop_words, punctua
     sw = StopWordsRemover(inputCol="_low", outputCol="_kept", stopWords=list(stop_words), caseSensitive=True)
     out = sw.transform(low).withColumn(out_col, F.filter("_kept", lambda t: F.instr(F.lit(punct), t) == 0))
     return out.drop("_low", "_kept") if out_col not in ("_low", "_kept") else out
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute an aggregated table once and cut its lineage with a reliable
+    ``checkpoint()`` into the shared folder named by ``spark.checkpoint.dir``
+    (it survives executor loss; ``localCheckpoint`` would not). Used where
+    several branches of one operator read the same aggregate and Catalyst
+    cannot reuse the exchange (the branches differ after pushdown/pruning),
+    so the corpus is tokenised once instead of once per branch."""
+    from textloom.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

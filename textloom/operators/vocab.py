@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.common import materialize
 from textloom.operators.ordering import ordered_prefix
 
 PAD, UNK = "<pad>", "<unk>"
@@ -28,8 +29,8 @@ def vocabulary(df: DataFrame, doc_col: str = "doc_id", tokens: str = "tokens",
     agg = p.groupBy("word").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min(F.struct(F.col(doc_col).alias("d"), F.col("pos").alias("p"))).alias("first"))
-    kept = (agg.where(F.col("cnt") >= min_word_count)
-            .select("word", "cnt", F.col("first.d").alias("_fd"), F.col("first.p").alias("_fp")))
+    kept = materialize(agg.where(F.col("cnt") >= min_word_count)
+                       .select("word", "cnt", F.col("first.d").alias("_fd"), F.col("first.p").alias("_fp")))
     ranked = ordered_prefix(kept, ["_fd", "_fp"], rank_col="id").select(
         "word", F.col("id").cast("int").alias("id"), "cnt")
     # specials from a one-row aggregate (lazy: no extra pass over the corpus)
@@ -65,10 +66,13 @@ def pad_encoded(df: DataFrame, ids: str = "ids", limit: int = 50, out_col: str =
         out_col, T.pad_truncate(ids, limit))
 
 
-def term_frequencies(df: DataFrame, doc_col: str = "doc_id", terms: str = "terms") -> DataFrame:
-    """``(doc, term, tf)``."""
-    return (df.select(doc_col, F.explode(terms).alias("term"))
-            .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+def term_frequencies(df: DataFrame, doc_col: str = "doc_id", terms: str = "terms",
+                     reuse: bool = False) -> DataFrame:
+    """``(doc, term, tf)``; ``reuse`` checkpoints it for operators that read it
+    more than once (vocabulary fit + weighting)."""
+    tf = (df.select(doc_col, F.explode(terms).alias("term"))
+          .groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return materialize(tf) if reuse else tf
 
 
 def top_terms(tf: DataFrame, max_features: int = 50000) -> DataFrame:
@@ -107,9 +111,16 @@ def phrase_scores(sentences: DataFrame, tokens: str = "tokens", min_count: int =
     """Bigram phrase detection with the original scorer:
     score = (n_ab - min_count) / (n_a * n_b) * V, V = distinct unigrams +
     distinct bigrams; keep score > threshold. Returns (a, b, n_ab, score)."""
-    uni = sentences.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    bi = (sentences.select(F.explode(adjacent_pairs(tokens)).alias("p"))
-          .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n_ab")))
+    # one pass over the corpus: every position as (token, next token or null);
+    # unigram and bigram counts both derive from this one aggregate, so the
+    # branches below reuse its exchange instead of re-tokenising the text
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    nxt = F.concat(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    pos = F.zip_with(t, nxt, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    ab = materialize(sentences.select(F.explode(pos).alias("p"))
+                     .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n_ab")))
+    uni = ab.groupBy(F.col("a").alias("w")).agg(F.sum("n_ab").alias("n"))
+    bi = ab.where(F.col("b").isNotNull())
     # V as a one-row aggregate attached by a constant key (no driver round trip)
     v = uni.agg(F.count(F.lit(1)).alias("_nu")).withColumn("_one", F.lit(1)).join(
         bi.agg(F.count(F.lit(1)).alias("_nb")).withColumn("_one", F.lit(1)), "_one").select(

@@ -81,7 +81,7 @@ tv AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY
 
 @query("agg_tf", sql=f"WITH {GRAMS_SQL} SELECT tf.doc_id, tf.term, tf.tf FROM tf JOIN tv USING (term)")
 def q_tf(spark, sf_dir):
-    tf = V.term_frequencies(_grams(spark, sf_dir))
+    tf = V.term_frequencies(_grams(spark, sf_dir), reuse=True)
     return V.count_vectors(tf, V.top_terms(tf, 50000)).select("doc_id", "term", "tf")
 
 
@@ -91,8 +91,8 @@ w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * (ln((1 + (SELECT count(*) FROM g
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""")
 def q_tfidf(spark, sf_dir):
     g = _grams(spark, sf_dir)
-    tf = V.term_frequencies(g)
-    n_docs = g.agg(F.count(F.lit(1)).alias("_n")).first()["_n"]
+    tf = V.term_frequencies(g, reuse=True)
+    n_docs = S.read(spark, sf_dir, "documents").count()  # every document is a row of g
     out = V.tfidf(tf, V.top_terms(tf, 50000), n_docs)
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
