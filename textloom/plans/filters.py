@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.lexicon import stop_words
 from textloom.operators import counting, datasets
+from textloom.operators.common import evaluate_once
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.plans.strings import STOP_TOKENS_SQL, clean_tokens, stop_tokens
@@ -49,7 +50,7 @@ WHERE id IS NOT NULL AND IN07 IS NOT NULL AND severity IS NOT NULL AND type IS N
 def q_flt_dropna_any(spark, sf_dir):
     """Clean, then drop a row null in any column (a report missing one code is lost)."""
     n = S.notes(spark, sf_dir).where(F.col("IN07").isNotNull())
-    return n.withColumn("IN07", T.clean_note("IN07")).dropna("any")
+    return evaluate_once(n.withColumn("IN07", T.clean_note("IN07")), "IN07").dropna("any")
 
 
 @query("flt_null_label", sql=NOTES + "SELECT id, IN07, severity FROM notes WHERE severity IS NOT NULL")

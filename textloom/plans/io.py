@@ -9,6 +9,7 @@ from pyspark.sql import types as TY
 
 from textloom.functions import text as T
 from textloom.operators import sampling as SM
+from textloom.operators.common import evaluate_once
 from textloom.operators import vocab as V
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
@@ -43,7 +44,8 @@ SELECT value FROM (SELECT {Q.clean_note('IN07')} AS value FROM notes_dirty) WHER
 def q_src_text_lines(spark, sf_dir):
     """Cleaned reports written one per line, read back as a corpus."""
     path = IO.scratch_path(spark, "corpus")
-    n = S.notes_dirty(spark, sf_dir).select(T.clean_note("IN07").alias("text")).where(F.col("text").isNotNull())
+    n = evaluate_once(S.notes_dirty(spark, sf_dir).select(T.clean_note("IN07").alias("text")), "text").where(
+        F.col("text").isNotNull())
     IO.write_text_corpus(n, "text", path)
     return IO.read_text_lines(spark, path)
 
@@ -64,7 +66,8 @@ def q_src_word_vectors(spark, sf_dir):
 @query("sink_text_corpus")
 def q_sink_text_corpus(spark, sf_dir):
     """Train / held-out corpora written as text, one cleaned report per line."""
-    n = S.notes_dirty(spark, sf_dir).select("id", T.clean_note("IN07").alias("text")).where(F.col("text").isNotNull())
+    n = evaluate_once(S.notes_dirty(spark, sf_dir).select("id", T.clean_note("IN07").alias("text")), "text").where(
+        F.col("text").isNotNull())
     s = SM.holdout_split(n, "id", 0.10)
     path = IO.scratch_path(spark, "corpus-split")
     IO.write_partitioned(s.select("split", F.col("text").alias("value")), path, ["split"], fmt="parquet")

@@ -66,8 +66,10 @@ def q_clean_note(spark, sf_dir):
     """Whole report cleaner on the dirty notes; null text dropped (not whole rows:
     flt_dropna_any is the separate any-column drop)."""
     n = _dirty(spark, sf_dir).where(F.col("IN07").isNotNull())
-    return (n.select("id", T.clean_note("IN07").alias("text"), "severity", "type", "location")
-            .where(F.col("text").isNotNull()))
+    # pin the cleaned text: otherwise the null filter is pushed below the
+    # projection and the whole cleaner runs twice per row
+    cleaned = evaluate_once(n.select("id", T.clean_note("IN07").alias("text"), "severity", "type", "location"), "text")
+    return cleaned.where(F.col("text").isNotNull())
 
 
 @query("str_alpha_only", sql=f"SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z'']+', ' ', 'g')) AS text FROM documents")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.common import evaluate_once
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,9 +21,8 @@ def cleaned_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
     """Streaming DataFrame of cleaned reports: (doc_id, lang, text)."""
     raw = (spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
-    return (raw.where(F.col("text").isNotNull())
-            .select("doc_id", "lang", T.clean_note("text").alias("text"))
-            .where(F.col("text").isNotNull()))
+    cleaned = raw.where(F.col("text").isNotNull()).select("doc_id", "lang", T.clean_note("text").alias("text"))
+    return evaluate_once(cleaned, "text").where(F.col("text").isNotNull())
 
 
 def run_clean_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str | None = None,
