@@ -134,7 +134,7 @@ def q_test_vs_original(spark, sf_dir):
 
 
 @query("beh_inv", sql=_pairs_sql(PUNCT_SQL, "punctuation") + """
-SELECT test, count(*) AS n_cases, sum(fail) AS n_fail, round(avg(fail), 6) AS fail_rate FROM (
+SELECT test, count(*) AS n_cases, CAST(sum(fail) AS BIGINT) AS n_fail, round(avg(fail), 6) AS fail_rate FROM (
   SELECT test, case_id, max(CAST(prediction <> pred0 AS INTEGER)) AS fail FROM pairs GROUP BY test, case_id)
 GROUP BY test""")
 def q_inv(spark, sf_dir):
@@ -144,7 +144,7 @@ def q_inv(spark, sf_dir):
 
 
 @query("beh_dir_monotonic", sql=_pairs_sql(NEG_SQL, "negation") + """
-SELECT test, count(*) AS n_cases, sum(fail) AS n_fail FROM (
+SELECT test, count(*) AS n_cases, CAST(sum(fail) AS BIGINT) AS n_fail FROM (
   SELECT test, case_id, max(CAST(p1 - p1_orig > 0.1 AS INTEGER)) AS fail FROM pairs GROUP BY test, case_id)
 GROUP BY test""")
 def q_dir(spark, sf_dir):
@@ -202,7 +202,7 @@ mft AS (SELECT test, case_id, CAST(prediction <> label AS INTEGER) AS fail FROM
 
 
 @query("beh_mft", sql=MFT_SQL + """
-SELECT test, count(*) AS n_cases, sum(fail) AS n_fail, round(avg(fail), 6) AS fail_rate FROM mft GROUP BY test""")
+SELECT test, count(*) AS n_cases, CAST(sum(fail) AS BIGINT) AS n_fail, round(avg(fail), 6) AS fail_rate FROM mft GROUP BY test""")
 def q_mft(spark, sf_dir):
     r = _mft(spark, sf_dir)
     return r.groupBy("test").agg(F.count(F.lit(1)).alias("n_cases"), F.sum("fail").alias("n_fail"),
@@ -210,7 +210,7 @@ def q_mft(spark, sf_dir):
 
 
 @query("beh_suite_summary", sql=MFT_SQL + """
-SELECT 'vocabulary' AS capability, test, count(*) AS n_cases, sum(fail) AS n_fail, round(avg(fail), 6) AS fail_rate,
+SELECT 'vocabulary' AS capability, test, count(*) AS n_cases, CAST(sum(fail) AS BIGINT) AS n_fail, round(avg(fail), 6) AS fail_rate,
        min(CASE WHEN fail = 1 THEN case_id END) AS example_case
 FROM mft GROUP BY test""")
 def q_suite_summary(spark, sf_dir):

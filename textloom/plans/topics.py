@@ -67,7 +67,7 @@ SELECT topic, word, rank, round(c, 6) AS ctfidf FROM (
 def q_cluster_topics(spark, sf_dir):
     """Words per class by class-based TF-IDF on a given label (language);
     the clustering step is ``ml_kmeans_topics``."""
-    return TP.class_tfidf(stop_docs(spark, sf_dir), "topic", "tokens", 10).withColumnRenamed("topic", "topic")
+    return TP.class_tfidf(stop_docs(spark, sf_dir), "topic", "tokens", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("top_results_table", sql=NPMI_SQL + """

@@ -196,7 +196,8 @@ def q_analogy(spark, sf_dir):
     sc = sc.join(q.select("qid", "inputs"), "qid").where(~F.array_contains("inputs", F.col("id")))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
     top = sc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3)
-    return top.select(F.col("qid").alias("label"), F.col("rank").cast("bigint"), "id", F.round("sim", 6).alias("sim"))
+    return top.select(F.col("qid").cast("int").alias("label"), F.col("rank").cast("bigint"), "id",
+                      F.round("sim", 6).alias("sim"))
 
 
 @query("vec_l1_normalise", sql="""
