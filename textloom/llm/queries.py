@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mixing, packing, secrets, sharding
+from textloom.llm import mixing, packing, pii, rules, secrets, sharding
 from textloom.llm.common import span_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,20 @@ def mix_levels() -> dict:
 
 # --- queries -----------------------------------------------------------------
 
+@_query("op1_disclosure_sanitising")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.sanitise_spans(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", *[f"n_{k}" for k in pii.KINDS],
+                      F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@_query("op4_learned_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *[F.col(f"__{c}").alias(c) for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+
+
 @_query("op7_power_of_two_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_ranks())
