@@ -81,7 +81,7 @@ def nearest_cells(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int)
 
 
 def search(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", top: int = 10,
-           k: int = 16, probe: float = 0.6, fit_rows: int = 20_000, part_rows: int = 20_000,
+           k: int = 16, probe: float = 0.75, fit_rows: int = 20_000, part_rows: int = 20_000,
            seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found for the rows that the
     condition ``queries`` (on vec_id) picks, among all other rows."""
