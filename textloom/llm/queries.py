@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, mixing, packing, pii, rules, secrets, sharding
+from textloom.llm import ann, chat, mixing, ngram_join, packing, pii, rules, secrets, sharding, warc
 from textloom.llm.common import span_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,86 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+_RECORD_SQL = """
+  SELECT page_id, 'part-' || CAST(page_id // 500 AS VARCHAR) AS file, url, html,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+         || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload,
+         md5('replica|' || CAST(page_id AS VARCHAR)) AS h
+  FROM pages"""
+
+
+@_query("op2_merkle_fixity", f"""
+WITH r AS ({_RECORD_SQL}),
+n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page_id) AS no,
+             sum(strlen(payload)) OVER (PARTITION BY file ORDER BY page_id) - strlen(payload) AS byte_at FROM r)
+SELECT file, CAST(no AS BIGINT) AS record_no, CAST(byte_at AS BIGINT) AS byte_offset,
+       CASE WHEN h < '08' THEN 'corrupt' ELSE 'missing' END AS status, sha256(payload) AS expected,
+       CASE WHEN h < '08' THEN sha256(replace(payload, 'e', 'E')) END AS found
+FROM n WHERE h < '0c' AND (h >= '08' OR payload <> replace(payload, 'e', 'E'))""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of 500 page ids as record files, against a replica in which records picked by
+    a hash of the id are altered in place or lost."""
+    line = "\r\n"
+    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("part-"), F.expr("cast(page_id div 500 as string)")).alias("file"),
+        F.concat(F.lit(f"WARC/1.0{line}WARC-Target-URI: "), url, F.lit(f"{line}Content-Length: "),
+                 F.octet_length(html).cast("string"), F.lit(line * 2), html, F.lit(line * 2)).alias("payload"))
+    by_id = Window.partitionBy("file").orderBy("page_id", "payload")
+    size = F.octet_length("payload").cast("long")
+    upto = by_id.rowsBetween(Window.unboundedPreceding, 0)
+    records = pages.select("page_id", "file", F.row_number().over(by_id).cast("long").alias("no"),
+                           (F.sum(size).over(upto) - size).alias("offset"), "payload")
+    h = F.md5(F.concat(F.lit("replica|"), F.col("page_id").cast("string")))
+    copy = records.where(h.isNull() | (h < "08") | (h >= "0c")).withColumn(
+        "payload", F.when(h < "08", F.replace("payload", F.lit("e"), F.lit("E"))).otherwise(F.col("payload")))
+    return warc.audit(records, copy).select("file", F.col("no").alias("record_no"), F.col("offset").alias("byte_offset"),
+                                            "status", "expected", "found")
+
+
+_CHAT_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT *, CASE WHEN md5('pair|' || CAST(conv_id AS VARCHAR)) < '8'
+                     THEN max(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id)
+                     ELSE min(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) END AS cut FROM t),
+b AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' AND turn >= cut
+             THEN substr(text, 1, length(text) // 2) ELSE text END AS other,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM d),
+c AS (SELECT *, min(CASE WHEN text = other THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS common,
+             '<|' || role || '|>' || chr(10) AS head FROM b),
+l AS (SELECT *, head || text || '<|end|>' || chr(10) AS al, head || other || '<|end|>' || chr(10) AS bl FROM c),
+s AS (SELECT *, sum(CASE WHEN common = 0 THEN length(al) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos)
+                - length(al) + length(head) AS sa,
+             sum(CASE WHEN common = 0 THEN length(bl) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos)
+                - length(bl) + length(head) AS sb FROM l)
+SELECT conv_id AS pair_id, CAST(sum(common) AS BIGINT) AS n_common,
+       coalesce(string_agg(al, '' ORDER BY pos) FILTER (WHERE common = 1), '') AS prompt,
+       coalesce(string_agg(al, '' ORDER BY pos) FILTER (WHERE common = 0), '') AS chosen,
+       coalesce(string_agg(CAST(CAST(sa AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(sa AS BIGINT) + length(text) AS VARCHAR), ','
+                ORDER BY pos) FILTER (WHERE common = 0 AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(bl, '' ORDER BY pos) FILTER (WHERE common = 0), '') AS rejected,
+       coalesce(string_agg(CAST(CAST(sb AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(sb AS BIGINT) + length(other) AS VARCHAR), ','
+                ORDER BY pos) FILTER (WHERE common = 0 AND role = 'assistant'), '') AS rejected_spans
+FROM s GROUP BY conv_id"""
+
+
+@_query("op3_preference_pairs", _CHAT_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is the chosen side; in the rejected one the assistant answers are
+    cut to half from the first or the last of them on, as a hash of the id decides."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    spoken = F.when(F.col("role") == "assistant", F.col("turn"))
+    whole = Window.partitionBy("pair_id")
+    cut = F.when(F.md5(F.concat(F.lit("pair|"), F.col("pair_id").cast("string"))) < "8",
+                 F.max(spoken).over(whole)).otherwise(F.min(spoken).over(whole))
+    half = F.col("text").substr(F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    rejected = turns.withColumn("cut", cut).withColumn("text", F.when(
+        (F.col("role") == "assistant") & (F.col("turn") >= F.col("cut")), half).otherwise(F.col("text"))).drop("cut")
+    return chat.format_pairs(turns, rejected)
+
+
 @_query("op4_learned_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -64,6 +144,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+@_query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.component_ids(found).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 @_query("op6_inverted_multi_index")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
