@@ -403,9 +403,9 @@ def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     found = materialize(near_duplicates(docs.select("doc_id", "text"), block))
     full = found.where("part is not null")
     first = full.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "digest")).alias("f"))
-    first = first.select("part", F.col("f.doc_id").alias("d1"), F.col("f.digest").alias("g1"))
+    first = first.select("part", F.col("f.doc_id").alias("__d1"), F.col("f.digest").alias("__g1"))
     odd = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1 or doc_id is null").select("doc_id"))
-    drop = (full.join(first, "part").where(~F.col("doc_id").eqNullSafe(F.col("d1"))).select("doc_id"))
+    drop = (full.join(first, "part").where(~F.col("doc_id").eqNullSafe(F.col("__d1"))).select("doc_id"))
     out = materialize(drop.unionByName(odd).distinct().select(F.col("doc_id").alias("__d")))
     id_ = F.col("doc_id").cast("long")
     rest = docs.join(small_side(out, MANY_IDS), id_.eqNullSafe(F.col("__d")), "left_anti")
@@ -418,7 +418,7 @@ def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     some = (docs.join(small_side(odd.select(F.col("doc_id").alias("__d")), MANY_IDS), id_.eqNullSafe(F.col("__d")), "left_semi")
             .withColumn("__g", digests("text")))
-    kept = first.select("d1", "g1")
-    one = (some.join(kept, id_.eqNullSafe(F.col("d1")) & (F.col("__g") == F.col("g1")), "left_semi")
+    kept = first.select("__d1", "__g1")
+    one = (some.join(kept, id_.eqNullSafe(F.col("__d1")) & (F.col("__g") == F.col("__g1")), "left_semi")
            .dropDuplicates(["doc_id", "__g"]))
     return rest.unionByName(one.drop("__g")).unionByName(some.where("__g is null").drop("__g"))

@@ -5,8 +5,8 @@ offsets form a leaf range; ranges are hashed in order, ``fanout`` neighbours mak
 node, and so on up to the root of the file. File roots hang in a tree over the hash
 of the file name, up to one root for the replica. An audit compares roots and goes
 down only from nodes that differ, level by level, to the records that are corrupt,
-missing or extra. Only the record hashes touch the payloads; they are kept as a narrow
-checkpoint per replica.
+missing or extra. Both replicas' trees are built side by side, so each level is one
+aggregate. Only the record hashes touch the payloads.
 
 Group sizes are bounded: a range by its bytes, a node by the fan-out, a bucket of
 names by the hash. Defined cases: null payloads are hashed as empty; a null file name
@@ -18,6 +18,7 @@ other one is missing or extra.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,84 +28,68 @@ from textloom.llm.common import materialize
 RANGE_BYTES = 64 * 1024
 FANOUT = 16
 #: Hex digits of md5(file) that name the nodes above the file roots.
-NAME_LEVELS = (6, 4, 2, 0)
+NAME_LEVELS = (4, 2, 0)
 
 
-def record_hashes(records: DataFrame) -> DataFrame:
-    """file, no, offset, hash from rows (file, no, offset, payload), one per record."""
-    h = F.sha2(F.coalesce(F.col("payload").cast("binary"), F.lit(b"")), 256)
-    rows = records.select(F.coalesce("file", F.lit("")).alias("file"), "no", "offset", h.alias("hash")).distinct()
+def record_hashes(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """file, no, offset and the hash of each record in both copies (null where it lacks),
+    from rows (file, no, offset, payload)."""
+    def hashed(records: DataFrame, side: int) -> DataFrame:
+        h = F.sha2(F.coalesce(F.col("payload").cast("binary"), F.lit(b"")), 256)
+        return records.select(F.coalesce("file", F.lit("")).alias("file"), "no", "offset",
+                              F.lit(side).alias("side"), h.alias("h")).distinct()
+
+    def of(side: int) -> Column:
+        own = F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("h"))))
+        return F.when(F.size(own) > 0, F.array_join(own, ""))
+    rows = hashed(primary, 0).unionByName(hashed(replica, 1))
     return materialize(rows.groupBy("file", "no").agg(
-        F.min("offset").alias("offset"), F.array_join(F.sort_array(F.collect_list("hash")), "").alias("hash")))
-
-
-def _up(level: DataFrame, keys: list[Column], order: str) -> DataFrame:
-    """Parents of a level: each the hash of its children in ``order``."""
-    return level.groupBy(*keys).agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct(
-        F.col(order).alias("o"), F.col("hash").alias("h")))), lambda x: F.concat_ws(":", x["o"].cast("string"), x["h"]))), 256).alias("hash"))
-
-
-class Tree:
-    """Levels from the records up. ``levels[k]`` has the key columns of its nodes, the
-    keys of their parents (``p_*``) and ``hash``."""
-
-    def __init__(self, hashes: DataFrame, depth: int, range_bytes: int, fanout: int) -> None:
-        part = F.floor(F.col("offset") / range_bytes).cast("long")
-        at = hashes.select("file", "no", "offset", "hash", part.alias("p_node"))
-        self.levels = [at]
-        level = _up(at, [F.col("file"), F.col("p_node").alias("node")], "no")
-        for _ in range(depth):
-            level = level.withColumn("p_node", F.floor(F.col("node") / fanout).cast("long"))
-            self.levels.append(level)
-            level = _up(level, [F.col("file"), F.col("p_node").alias("node")], "node")
-        level = level.select("file", "hash", F.substring(F.md5(F.col("file").cast("binary")), 1, NAME_LEVELS[0]).alias("p_name"))
-        self.levels.append(level)                # one root for each file
-        order = "file"
-        for shorter in (*NAME_LEVELS[1:], None):
-            level = _up(level, [F.col("p_name").alias("name")], order)
-            order = "name"
-            if shorter is not None:
-                level = level.withColumn("p_name", F.substring("name", 1, shorter))
-            self.levels.append(level)
-        self.root = level
-
-
-KEYS = (["file", "no"], ["file", "node"], ["file"], ["name"])
-
-
-def _keys(level: DataFrame) -> list[str]:
-    return next(k for k in KEYS if set(k) <= set(level.columns))
-
-
-def _differing(a: DataFrame, b: DataFrame, above: DataFrame | None) -> DataFrame:
-    """Nodes of one level that differ, among the children of ``above``."""
-    keys = _keys(a)
-    parents = [c for c in a.columns if c.startswith("p_")]
-    if above is not None:
-        # names of the parents' own key columns on this level
-        match = {c: (f"p_{c}" if f"p_{c}" in parents else c) for c in _keys(above)}
-        up = above.select(*[F.col(c).alias(f"u_{c}") for c in match])
-        on = lambda d: [d[k] == up[f"u_{c}"] for c, k in match.items()]
-        a, b = a.join(up, on(a), "left_semi"), b.join(up, on(b), "left_semi")
-    keep = [*keys, *parents, *[c for c in ("offset",) if c in a.columns]]
-    x = a.select(*[F.col(c).alias(f"a_{c}") for c in keep], F.col("hash").alias("expected"))
-    y = b.select(*[F.col(c).alias(f"b_{c}") for c in keep], F.col("hash").alias("found"))
-    both = x.join(y, reduce(lambda s, t: s & t, [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]), "full")
-    return (both.where(~F.col("expected").eqNullSafe(F.col("found")))
-            .select(*[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in keep], "expected", "found"))
+        F.min("offset").alias("offset"), of(0).alias("expected"), of(1).alias("found")))
+
+
+def _up(level: DataFrame, parent: list[str], order: str) -> DataFrame:
+    """The parents of a level: in each copy, the hash of its children in ``order``."""
+    def of(side: str) -> Column:
+        own = F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct(
+            F.col(order).alias("o"), F.col(side).alias("h")))))
+        return F.when(F.size(own) > 0, F.sha2(F.array_join(F.transform(
+            own, lambda x: F.concat_ws(":", x["o"].cast("string"), x["h"])), ","), 256))
+    up = level.groupBy(*parent).agg(of("expected").alias("expected"), of("found").alias("found"))
+    return materialize(up.withColumnsRenamed({p: p.removeprefix("p_") for p in parent}))
+
+
+def merkle_levels(hashes: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[tuple[DataFrame, list[str]]]:
+    """Levels from the records up to the root, each with the columns that name the parent
+    of a node. Both copies stand side by side: ``expected`` and ``found``."""
+    last = hashes.agg(F.max("offset")).first()[0] or 0
+    level = hashes.withColumn("p_node", F.floor(F.col("offset") / range_bytes).cast("long"))
+    parent, order, nodes, levels = ["file", "p_node"], "no", last // range_bytes, []
+    while True:
+        levels.append((level, parent))
+        level = _up(level, parent, order)
+        if not nodes:
+            break
+        nodes, order = nodes // fanout, "node"
+        level = level.withColumn("p_node", F.floor(F.col("node") / fanout).cast("long"))
+    # one node is left of each file, its root
+    level, order = level.withColumn("p_name", F.substring(F.md5(F.col("file").cast("binary")), 1, NAME_LEVELS[0])), "file"
+    for shorter in NAME_LEVELS[1:]:
+        levels.append((level, ["p_name"]))
+        level, order = _up(level, ["p_name"], order), "name"
+        level = level.withColumn("p_name", F.substring("name", 1, shorter))
+    levels.append((level, ["p_name"]))
+    return [*levels, (_up(level, ["p_name"], order), [])]
 
 
 def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """file, no, offset, status (corrupt, missing, extra), expected and found hash of
     every record of ``primary`` and ``replica`` (file, no, offset, payload) that differs."""
-    a, b = record_hashes(primary), record_hashes(replica)
-    last = a.unionByName(b).agg(F.max("offset")).first()[0] or 0
-    depth, nodes = 1, last // range_bytes
-    while nodes:
-        depth, nodes = depth + 1, nodes // fanout
-    left, right = Tree(a, depth, range_bytes, fanout), Tree(b, depth, range_bytes, fanout)
+    levels = merkle_levels(record_hashes(primary, replica), range_bytes, fanout)
     bad = None
-    for x, y in zip(reversed(left.levels), reversed(right.levels)):
-        bad = _differing(x, y, bad)
+    for level, parent in reversed(levels):
+        if bad is not None:                      # only the children of nodes that differ
+            above = bad.select(*[F.col(p.removeprefix("p_")).alias(f"__{p}") for p in parent])
+            level = level.join(above, reduce(and_, [F.col(p) == F.col(f"__{p}") for p in parent]), "left_semi")
+        bad = level.where(~F.col("expected").eqNullSafe(F.col("found")))
     status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("corrupt")
     return bad.select("file", "no", "offset", status.alias("status"), "expected", "found")
