@@ -14,7 +14,7 @@ def _canon(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
+        return "nan" if math.isnan(v) else round(v, 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_canon(x) for x in v)
     if isinstance(v, bool):

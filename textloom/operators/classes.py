@@ -59,20 +59,19 @@ def logit(p) -> Column:
 
 
 def neutral_band(df: DataFrame, score: str = "score", margin: float = 1 / 3.0) -> DataFrame:
-    """Binary probability to 3 classes with a neutral band ``margin`` wide
-    around 0.5; adds ``pp`` = [p0, p1, p2] and ``cls`` (first arg-max). Exact
-    band edges give an all-zero vector and class 0, as in the reference."""
-    pr = F.col(score).cast("double")
-    mn = margin / 2.0
-    inv = 1.0 / margin
-    outer = (pr < 0.5 - mn) | (pr > 0.5 + mn)
-    npos = (pr >= 0.5) & (pr < 0.5 + mn)
-    nneg = (pr < 0.5) & (pr > 0.5 - mn)
-    mid = 1 - inv * F.abs(pr - 0.5)
-    p0 = F.when(outer, 1 - pr).when(nneg, 1 - mid).otherwise(0.0)
-    p1 = F.when(npos | nneg, mid).otherwise(0.0)
-    p2 = F.when(outer, pr).when(npos, 1 - mid).otherwise(0.0)
-    out = df.withColumn("pp", F.array(p0, p1, p2))
+    """Binary probability to 3 classes (negative, neutral, positive).
+
+    Within ``margin / 2`` of 0.5 the neutral class falls linearly from 1 with the
+    distance (1 / margin per unit) and the nearer side takes the rest; beyond it the
+    two outer classes keep 1 - p and p. Exactly on the edge all three are 0. Adds
+    ``pp`` = [p0, p1, p2] and ``cls`` (first arg-max)."""
+    p = F.col(score).cast("double")
+    off, half = F.abs(p - 0.5), margin / 2.0
+    share = off / margin
+    inside, beyond = off < half, off > half
+    low = F.when(beyond, 1 - p).when(inside & (p < 0.5), share).otherwise(0.0)
+    high = F.when(beyond, p).when(inside & (p >= 0.5), share).otherwise(0.0)
+    out = df.withColumn("pp", F.array(low, F.when(inside, 1 - share).otherwise(0.0), high))
     return out.withColumn("cls", (F.array_position("pp", F.array_max("pp")) - 1).cast("int"))
 
 
@@ -90,14 +89,10 @@ def dedup_first(df: DataFrame, key: str, id_col: str) -> DataFrame:
         F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
 
 
-def sort_for_batching(df: DataFrame, id_col: str, length_col: str, batch_size: int = 32,
-                      n_parts: int | None = None) -> DataFrame:
-    """Range-partition by length and sort within partitions so batches hold
-    similar lengths; a batch id per row, original order restored by id."""
-    n = n_parts or df.sparkSession.sparkContext.defaultParallelism
-    s = df.repartitionByRange(n, length_col, id_col).sortWithinPartitions(length_col, id_col)
-    s = s.withColumn("part", F.spark_partition_id())
-    pos = ordered_prefix(s, [length_col, id_col], group_cols=["part"], rank_col="_pos", n_buckets=16)
-    b = pos.withColumn("batch", F.concat_ws("-", F.col("part").cast("string"),
-                                           F.floor((F.col("_pos") - 1) / batch_size).cast("string")))
-    return df.join(b.select(id_col, "batch"), id_col).orderBy(id_col)
+def sort_for_batching(df: DataFrame, id_col: str, length_col: str, batch_size: int = 32) -> DataFrame:
+    """Rows of similar length in one batch: ``batch`` is the 0-based rank by (length, id)
+    divided by ``batch_size``. Ranks are distributed prefix counts, so batches do not
+    depend on the partitioning; the rows keep their id to restore the order."""
+    ranked = ordered_prefix(df.select(id_col, length_col), [length_col, id_col], rank_col="_pos")
+    batch = F.floor((F.col("_pos") - 1) / batch_size).cast("bigint")
+    return df.join(ranked.select(id_col, batch.alias("batch")), id_col)

@@ -9,8 +9,8 @@ buckets, so skewed labels do not land in a single task.
 
 * Hash order (sampling): the bucket is a hex prefix of ``md5(seed|id)``,
   uniform by construction.
-* Value order (scores, ids): buckets come from ``percentile_approx``
-  boundaries (a bounded list of doubles, joined as one broadcast row).
+* Value order (scores, ids): boundaries are a bounded, hash-chosen sample of
+  the order keys in their own types, joined as one broadcast row.
 """
 
 from __future__ import annotations
@@ -83,41 +83,55 @@ def hash_top_n(df: DataFrame, n, id_col: str = "id", seed=DEFAULT_SEED,
     return out.drop("_h", "_b", "_off", "_lo", "_hi", "_r")
 
 
-def quantile_bucket(df: DataFrame, key: str, n_buckets: int = 256,
-                    out_col: str = "_b", rel_error: float | None = None) -> DataFrame:
-    """Bucket a numeric key by approximate quantiles (monotone in the key).
+#: Sampled order keys for each bucket boundary.
+OVERSAMPLE = 32
 
-    The boundaries are a one-row ``percentile_approx`` aggregate attached by a
-    constant key (a broadcast of ``n_buckets`` doubles), so the whole operator
-    stays one lazy plan: no driver round trip, and Spark reuses the input's
-    exchange for the boundary, histogram and row branches. The bucket is the
-    number of boundaries below the key."""
-    acc = int(4 * n_buckets / (rel_error or 1.0)) if rel_error else 4 * n_buckets * 10
-    keyed = df.withColumn("_qk", F.col(key).cast("double"))
-    if n_buckets <= 1:
-        return keyed.withColumn(out_col, F.lit(0)).drop("_qk")
-    probs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
-    bounds = keyed.agg(F.array_distinct(F.percentile_approx("_qk", probs, acc)).alias("_bounds"))
-    j = keyed.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one")
-    bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_qk")))
-    return j.withColumn(out_col, F.when(F.col("_qk").isNull(), F.lit(n_buckets)).otherwise(bucket)).drop(
-        "_qk", "_one", "_bounds")
+
+def n_buckets_of(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def range_bucket(df: DataFrame, key: Column, n_buckets: int, out_col: str = "_b") -> DataFrame:
+    """Add the order-preserving bucket of a struct-valued order ``key``.
+
+    Boundaries are every ``OVERSAMPLE``-th of the keys with the smallest hashes, a
+    bounded sample that depends on the values alone, so the buckets are the same in
+    every branch and retry. Whole tuples are compared in their own types, so ties of
+    the first column are split by the next. The boundaries come as one broadcast row;
+    a row finds its bucket among the coarse ones first, then among the fine."""
+    step = max(2, round(n_buckets ** 0.5))
+    keyed = df.withColumn("__k", key)
+    sample = (keyed.select("__k").orderBy(F.xxhash64("__k"), "__k").limit(OVERSAMPLE * n_buckets)
+              .agg(F.sort_array(F.collect_list("__k")).alias("__s")))
+    # sample size / n_buckets apart, so that small inputs get boundaries as well
+    apart = F.greatest(F.lit(1), F.ceil(F.size("__s") / n_buckets)).cast("int")
+    fine = sample.select(F.filter("__s", lambda x, i: F.pmod(i + 1, apart) == 0).alias("__fine"))
+    both = fine.select("__fine", F.filter("__fine", lambda x, i: F.pmod(i + 1, F.lit(step)) == 0).alias("__coarse"))
+    j = keyed.withColumn("__one", F.lit(1)).join(F.broadcast(both.withColumn("__one", F.lit(1))), "__one", "left")
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b < F.col("__k")))
+    j = j.withColumn("__c", below(F.col("__coarse")) * step)
+    return j.withColumn(out_col, F.col("__c") + below(F.slice("__fine", F.col("__c") + 1, F.lit(step)))).drop(
+        "__one", "__fine", "__coarse", "__c", "__k")
 
 
 def ordered_prefix(df: DataFrame, order_cols: Sequence[str], sums: dict[str, Column] | None = None,
-                   group_cols: Sequence[str] = (), n_buckets: int = 256,
+                   group_cols: Sequence[str] = (), n_buckets: int | None = None,
                    rank_col: str | None = "rank", descending: bool = False) -> DataFrame:
     """Exclusive prefix sums in ``order_cols`` order (per group), distributed.
 
     Adds ``<name>_before`` for each entry of ``sums`` (sum over rows strictly
-    before this one) and ``rank_col`` (1-based row number). The first order
-    column must be numeric; it defines the buckets. With ``descending`` the
-    order is reversed (ties kept by the following columns, ascending)."""
+    before this one) and ``rank_col`` (1-based row number). Order columns keep
+    their types; buckets follow (groups, order), so one large group or one
+    common first key is spread over many buckets. ``descending`` reverses the
+    first order column, which must then be numeric."""
     g = _groups(group_cols)
     sums = dict(sums or {})
-    first = order_cols[0]
-    work = df.withColumn("_key", (-F.col(first) if descending else F.col(first)).cast("double"))
-    work = quantile_bucket(work, "_key", n_buckets)
+    first = F.col(order_cols[0])
+    order = [-first if descending else first, *[F.col(c) for c in order_cols[1:]]]
+    key = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(g)],
+                   *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    work = range_bucket(df, key, n_buckets or n_buckets_of(df))
     sum_names = list(sums)
     for name, expr in sums.items():
         work = work.withColumn(f"_v_{name}", expr)
@@ -127,7 +141,6 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str], sums: dict[str, Col
     for n in sum_names + ["_n"]:
         hist = hist.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_t_{n}").over(wb), F.lit(0)))
     hist = hist.drop(*[f"_t_{n}" for n in sum_names + ["_n"]])
-    order = [F.col("_key")] + [F.col(c) for c in order_cols[1:]]
     wr = Window.partitionBy(*g, "_b").orderBy(*order)
     wrx = wr.rowsBetween(Window.unboundedPreceding, -1)
     out = work.join(hist, [*g, "_b"])
@@ -136,5 +149,4 @@ def ordered_prefix(df: DataFrame, order_cols: Sequence[str], sums: dict[str, Col
                              F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(wrx), F.lit(0)))
     if rank_col:
         out = out.withColumn(rank_col, (F.col("_o__n") + F.row_number().over(wr)).cast("bigint"))
-    drop = ["_key", "_b", "_o__n"] + [f"_v_{n}" for n in sum_names] + [f"_o_{n}" for n in sum_names]
-    return out.drop(*drop)
+    return out.drop("_b", "_o__n", *[f"_v_{n}" for n in sum_names], *[f"_o_{n}" for n in sum_names])

@@ -9,9 +9,8 @@ similarity search is exact and blocked:
   of about 2n/B rows scored with one matrix product inside ``applyInPandas``;
   a group emits only each row's top-k (or the pairs above a threshold), and
   a final per-row top-k uses Spark's partial ``WindowGroupLimit``.
-* ``rank_against``: a bounded query set (size checked before it is shipped
-  to the executors) scored against every row, batch by batch, in
-  ``mapInPandas``; ranks per query are distributed prefix counts.
+* ``rank_against``: query blocks against corpus blocks, one cogrouped task per
+  pair of blocks; ranks per query are distributed prefix counts.
 """
 
 from __future__ import annotations
@@ -26,8 +25,6 @@ from pyspark.sql import functions as F
 from textloom.operators.common import evaluate_once
 from textloom.operators.ordering import ordered_prefix
 
-MAX_QUERY_ROWS = 100_000  # largest query set shipped to executors as a matrix
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -85,34 +82,31 @@ def l1_normalize(df: DataFrame, vec: str, out_col: str | None = None) -> DataFra
 
 def mean_vector(df: DataFrame, group_cols, vec: str, weight: Column | None = None,
                 out_col: str = "mean", min_den: float = 1e-9) -> DataFrame:
-    """Weighted (masked) mean per group: sum(v * w) / max(sum(w), min_den).
-    Elementwise sums via ``posexplode`` + group by (group, dim), so a group's
-    vectors are never collected into one array."""
+    """Weighted (masked) mean per group: sum(v * w) / max(sum(w), min_den). Each
+    partition keeps one running vector per group (``Summarizer``), so rows are not
+    blown up by dimension."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     g = list(group_cols)
-    w = weight if weight is not None else F.lit(1.0)
-    long = df.select(*g, w.cast("double").alias("_w"), F.posexplode(vec).alias("_d", "_x"))
-    dims = long.groupBy(*g, "_d").agg(F.sum(F.col("_x").cast("double") * F.col("_w")).alias("_s"),
-                                     F.sum("_w").alias("_sw"))
-    dims = dims.withColumn("_v", F.col("_s") / F.greatest(F.col("_sw"), F.lit(min_den)))
-    return dims.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_d", "_v"))).alias("_a")).select(
-        *g, F.transform("_a", lambda s: s["_v"]).alias(out_col))
+    w = (weight if weight is not None else F.lit(1.0)).cast("double")
+    rows = df.select(*g, array_to_vector(to_double(vec)).alias("_x"), w.alias("_w"))
+    # Summarizer ignores rows of weight 0 and divides by the sum of weights
+    agg = rows.groupBy(*g).agg(Summarizer.mean(F.col("_x"), F.col("_w")).alias("_m"), F.sum("_w").alias("_sw"))
+    scale_by = F.col("_sw") / F.greatest(F.col("_sw"), F.lit(min_den))
+    return agg.select(*g, F.transform(vector_to_array("_m"), lambda x: x * scale_by).alias(out_col))
 
 
 def sphereize(df: DataFrame, vec: str, out_col: str | None = None) -> DataFrame:
-    """Subtract the corpus centroid and L2-normalise each vector. The centroid
-    (one vector of d doubles, computed by a distributed per-dimension mean)
-    is the only value brought to the driver. One row: returned unchanged."""
-    import warnings
+    """Subtract the corpus centroid and L2-normalise each vector. The centroid is a
+    one-row aggregate joined in the plan. One row: returned unchanged."""
     out_col = out_col or vec
-    long = df.select(F.posexplode(vec).alias("_d", "_x"))
-    cen = long.groupBy("_d").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    rows = sorted(cen.collect())
-    if not rows or rows[0]["_n"] <= 1:
-        warnings.warn("sphereize skipped: fewer than two vectors")
-        return df
-    centroid = F.array(*[F.lit(float(r["_m"])) for r in rows])
-    centred = df.withColumn(out_col, F.zip_with(vec, centroid, lambda x, m: x.cast("double") - m))
-    return l2_normalize(centred, out_col)
+    one = F.lit(1).alias("_one")
+    centre = mean_vector(df.select(F.col(vec), one), ["_one"], vec, out_col="_c")
+    count = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(centre.join(count, "_one")), "_one")
+    unit = l2_normalize(j.withColumn("_v", F.zip_with(vec, "_c", lambda x, m: x.cast("double") - m)), "_v")
+    return unit.withColumn(out_col, F.when(F.col("_n") > 1, F.col("_v")).otherwise(to_double(vec))).drop(
+        "_one", "_c", "_n", "_v")
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -125,8 +119,15 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _blocks_for(n: int, rows_per_block: int) -> int:
-    return max(1, math.ceil(n / rows_per_block))
+#: Bytes of vectors (as doubles) in a block, and of a strip of scores.
+BLOCK_BYTES = 16 << 20
+STRIP_BYTES = 32 << 20
+
+
+def _n_blocks(df: DataFrame, vec: str, block_bytes: int) -> int:
+    """Blocks of about ``block_bytes``, from one aggregate over the vector sizes."""
+    total = df.agg(F.sum(F.size(vec).cast("long") * 8)).first()[0] or 0
+    return max(1, math.ceil(total / block_bytes))
 
 
 def _block_pairs(df: DataFrame, id_col: str, vec: str, n_blocks: int) -> DataFrame:
@@ -138,13 +139,43 @@ def _block_pairs(df: DataFrame, id_col: str, vec: str, n_blocks: int) -> DataFra
         "id", "vec", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
 
 
+def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distances from direct differences: no cancellation for near vectors."""
+    return np.sqrt(np.stack([((c - row) ** 2).sum(1) for row in q])) if len(q) else np.zeros((0, len(c)))
+
+
+def _smallest(key: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite keys of each row, ties to smaller ids."""
+    k = min(k, key.shape[1])
+    edge = np.partition(key, k - 1, axis=1)[:, k - 1]
+    r, c = np.nonzero((key <= edge[:, None]) & np.isfinite(key))
+    order = np.lexsort((ids[c], key[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, r)                # start of each row's run
+    keep = np.arange(len(r)) - first < k
+    return r[keep], c[keep]
+
+
+def _best_of_block(qi, qm, ci, cm, k: int, cos: bool) -> list[pd.DataFrame]:
+    """The k nearest of a block for each query row, in strips of bounded size."""
+    out = []
+    qn, cn = (_unit_rows(qm), _unit_rows(cm)) if cos else (qm, cm)
+    strip = max(1, STRIP_BYTES // (8 * max(1, len(ci))))
+    for at in range(0, len(qi) if len(ci) else 0, strip):
+        q, ids = qn[at:at + strip], qi[at:at + strip]
+        s = q @ cn.T if cos else _distances(q, cn)
+        key = np.where(ids[:, None] == ci[None, :], np.inf, -s if cos else s)  # self excluded
+        r, c = _smallest(key, ci, k)
+        out.append(pd.DataFrame({"id": ids[r], "nbr": ci[c], "sim": s[r, c]}))
+    return out
+
+
 def top_k_neighbours(df: DataFrame, k: int = 10, id_col: str = "id", vec: str = "vec",
-                     rows_per_block: int = 2048, metric: str = "cosine") -> DataFrame:
+                     block_bytes: int = BLOCK_BYTES, metric: str = "cosine") -> DataFrame:
     """Exact top-k most similar other rows per row: ``(id, nbr, rank, sim)``.
-    ``metric`` is ``cosine`` (descending) or ``euclidean`` (ascending distance)."""
-    n = df.count()
-    nb = _blocks_for(n, rows_per_block)
-    pairs = _block_pairs(df, id_col, vec, nb)
+    ``metric`` is ``cosine`` (descending) or ``euclidean`` (ascending distance).
+    Blocks are sized by bytes; a row is copied once per block."""
+    pairs = _block_pairs(df, id_col, vec, _n_blocks(df, vec, block_bytes))
     cos = metric == "cosine"
 
     def score_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,28 +184,11 @@ def top_k_neighbours(df: DataFrame, k: int = 10, id_col: str = "id", vec: str =
         right = pdf[pdf["blk"] == bj]
         li, ri = left["id"].to_numpy(), right["id"].to_numpy()
         lm, rm = _stack(left["vec"]), _stack(right["vec"])
-        out = []
         sides = [(li, lm, ri, rm)] if bi == bj else [(li, lm, ri, rm), (ri, rm, li, lm)]
-        for qi, qm, ci, cm in sides:
-            if len(qi) == 0 or len(ci) == 0:
-                continue
-            if cos:
-                s = _unit_rows(qm) @ _unit_rows(cm).T
-                key = -s
-            else:
-                sq = (qm * qm).sum(1)[:, None] + (cm * cm).sum(1)[None, :] - 2 * qm @ cm.T
-                s = np.sqrt(np.maximum(sq, 0.0))
-                key = s
-            key = np.where(qi[:, None] == ci[None, :], np.inf, key)  # self excluded
-            kk = min(k, len(ci))
-            for r in range(len(qi)):
-                order = np.lexsort((ci, key[r]))[:kk]
-                order = order[np.isfinite(key[r][order])]
-                out.append(pd.DataFrame({"id": qi[r], "nbr": ci[order], "sim": s[r][order]}))
-        if not out:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
-                                 "sim": pd.Series([], dtype="float64")})
-        return pd.concat(out, ignore_index=True)
+        out = [p for side in sides for p in _best_of_block(*side, k, cos)]
+        none = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
+                             "sim": pd.Series([], dtype="float64")})
+        return pd.concat(out, ignore_index=True) if out else none
 
     cand = pairs.groupBy("bi", "bj").applyInPandas(score_block, "id long, nbr long, sim double")
     order = F.desc("sim") if cos else F.asc("sim")
@@ -184,11 +198,9 @@ def top_k_neighbours(df: DataFrame, k: int = 10, id_col: str = "id", vec: str =
 
 
 def similarity_edges(df: DataFrame, threshold: float = 0.6, id_col: str = "id", vec: str = "vec",
-                     rows_per_block: int = 2048) -> DataFrame:
+                     block_bytes: int = BLOCK_BYTES // 8) -> DataFrame:
     """All pairs ``src < dst`` with cosine similarity above ``threshold``."""
-    n = df.count()
-    nb = _blocks_for(n, rows_per_block)
-    pairs = _block_pairs(df, id_col, vec, nb)
+    pairs = _block_pairs(df, id_col, vec, _n_blocks(df, vec, block_bytes))
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
@@ -210,36 +222,31 @@ def similarity_edges(df: DataFrame, threshold: float = 0.6, id_col: str = "id",
 
 def rank_against(queries: DataFrame, corpus: DataFrame, q_id: str = "qid", q_vec: str = "qvec",
                  id_col: str = "id", vec: str = "vec", exclude_self: bool = True,
-                 unit_queries: bool = True) -> DataFrame:
-    """Score every corpus row against a bounded query set:
-    ``(qid, id, sim, dist)`` with cosine ``sim`` and euclidean ``dist``.
-    The query set is counted and must stay under ``MAX_QUERY_ROWS``; it is then
-    shipped with the task closure (a size-checked broadcast)."""
-    n_q = queries.count()
-    if n_q > MAX_QUERY_ROWS:
-        raise ValueError(f"query set of {n_q} rows exceeds {MAX_QUERY_ROWS}; use top_k_neighbours")
-    qpdf = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qvec")).toPandas()
-    q_ids = qpdf["qid"].to_numpy()
-    q_mat = _stack(qpdf["qvec"]) if n_q else np.zeros((0, 0))
-
-    def score(it):
-        qu = _unit_rows(q_mat) if unit_queries else q_mat
-        for pdf in it:
-            if len(pdf) == 0 or len(q_ids) == 0:
-                continue
-            m = _stack(pdf["vec"])
-            sim = _unit_rows(m) @ _unit_rows(qu).T
-            sq = (m * m).sum(1)[:, None] + (q_mat * q_mat).sum(1)[None, :] - 2 * m @ q_mat.T
-            dist = np.sqrt(np.maximum(sq, 0.0))
-            ids = pdf["id"].to_numpy()
-            out = pd.DataFrame({"qid": np.repeat(q_ids[None, :], len(ids), 0).ravel(),
-                                "id": np.repeat(ids, len(q_ids)), "sim": sim.ravel(), "dist": dist.ravel()})
-            if exclude_self:
-                out = out[out["qid"] != out["id"]]
-            yield out
-
+                 unit_queries: bool = True, block_bytes: int = BLOCK_BYTES // 4) -> DataFrame:
+    """Score every corpus row against every query, in blocks:
+    ``(qid, id, sim, dist)`` with cosine ``sim`` and euclidean ``dist``. Queries
+    and corpus are both cut into blocks by bytes and each pair of blocks is one
+    cogrouped task, so neither side passes through the driver."""
+    q = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qvec"))
     c = corpus.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
-    return c.mapInPandas(score, "qid long, id long, sim double, dist double")
+    nq, nc = _n_blocks(q, "qvec", block_bytes // 8), _n_blocks(c, "vec", block_bytes)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(nq))).withColumn("bc", every(nc))
+    right = c.withColumn("bc", F.pmod(F.xxhash64("id"), F.lit(nc))).withColumn("bq", every(nq))
+
+    def score(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if not len(lp) or not len(rp):
+            return pd.DataFrame({"qid": [], "id": [], "sim": [], "dist": []})
+        q_ids, ids = lp["qid"].to_numpy(), rp["id"].to_numpy()
+        qm, m = _stack(lp["qvec"]), _stack(rp["vec"])
+        sim = _unit_rows(m) @ (_unit_rows(qm) if unit_queries else qm).T
+        dist = _distances(qm, m).T
+        out = pd.DataFrame({"qid": np.repeat(q_ids[None, :], len(ids), 0).ravel(),
+                            "id": np.repeat(ids, len(q_ids)), "sim": sim.ravel(), "dist": dist.ravel()})
+        return out[out["qid"] != out["id"]] if exclude_self else out
+
+    return (left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc"))
+            .applyInPandas(score, "qid long, id long, sim double, dist double"))
 
 
 def ranked(scored: DataFrame, by: str = "sim", descending: bool = True, rank_col: str = "rank",

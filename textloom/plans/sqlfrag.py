@@ -80,3 +80,9 @@ def ngrams2(tok_expr: str) -> str:
 
 def hkey(seed, col: str) -> str:
     return f"md5(concat_ws('|', '{seed}', CAST({col} AS VARCHAR)))"
+
+
+def split_lines(expr: str) -> str:
+    """Lines without the trailing empty one; the supplied texts break lines with \\n only."""
+    x = f"string_split({expr}, chr(10))"
+    return f"(CASE WHEN {x}[-1] = '' THEN {x}[1:len({x}) - 1] ELSE {x} END)"

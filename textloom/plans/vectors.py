@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.operators import vectors as V
+from textloom.operators.common import materialize
 from textloom.plans.registry import query
 from textloom.sources import tables as S
 
@@ -17,6 +18,10 @@ COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 DIST = "list_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
+#: Edge threshold. The supplied vectors have few pairs above 0.6, so the query takes 0.3.
+EDGE_ABOVE = 0.3
+
+
 def emb(spark, sf_dir):
     return S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"),
                                                      "label")
@@ -36,7 +41,7 @@ SELECT id, nbr, rank, round(sim, 6) AS sim FROM (
 WHERE rank <= 10""")
 def q_pairwise(spark, sf_dir):
     """Top-10 cosine neighbours of every vector (exact, blocked all-pairs)."""
-    nn = V.top_k_neighbours(emb(spark, sf_dir), k=10, rows_per_block=1024)
+    nn = V.top_k_neighbours(emb(spark, sf_dir), k=10)
     return nn.withColumn("rank", F.col("rank").cast("bigint")).withColumn("sim", F.round("sim", 6))
 
 
@@ -128,14 +133,15 @@ SELECT src, dst, round(weight, 6) AS weight, round(weight * 100, 4) AS weight_x1
        CAST(weight = min(weight) OVER () AS BOOLEAN) AS is_min_edge FROM (
   SELECT a.vec_id AS src, b.vec_id AS dst, {COS.format(a='a.embedding', b='b.embedding')} AS weight
   FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
-WHERE weight > 0.6""")
+WHERE weight > 0.3""")
 def q_similarity_edges(spark, sf_dir):
-    """Graph edge list of pairs with cosine > 0.6, weight x 100, and the minimum edge."""
-    e = V.similarity_edges(emb(spark, sf_dir), 0.6, rows_per_block=1024)
-    min_w = e.agg(F.min("weight")).first()[0]  # one scalar
+    """Graph edge list of pairs with cosine > 0.3, weight x 100, and the minimum edge."""
+    e = materialize(V.similarity_edges(emb(spark, sf_dir), EDGE_ABOVE))
+    least = e.agg(F.min("weight").alias("_least")).withColumn("_one", F.lit(1))
+    e = e.withColumn("_one", F.lit(1)).join(F.broadcast(least), "_one")
     return e.select("src", "dst", F.round("weight", 6).alias("weight"),
                     F.round(F.col("weight") * 100, 4).alias("weight_x100"),
-                    (F.col("weight") == F.lit(min_w)).alias("is_min_edge"))
+                    (F.col("weight") == F.col("_least")).alias("is_min_edge"))
 
 
 @query("vec_pair_similarity", sql=PAIR_SQL + f"""
@@ -150,21 +156,16 @@ def q_pair_similarity(spark, sf_dir):
 
 
 @query("vec_odd_one_out", sql="""
-WITH first5 AS (SELECT vec_id, label, embedding FROM (
-       SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 5),
-unit AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]),
-               lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u FROM first5),
+WITH unit AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]),
+               lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u FROM embeddings),
 dims AS (SELECT label, i, avg(u[i]) AS m FROM (SELECT label, u, unnest(generate_series(1, len(u))) AS i FROM unit) GROUP BY label, i),
 mean AS (SELECT label, list(m ORDER BY i) AS mv FROM dims GROUP BY label)
 SELECT label, arg_min(vec_id, (s, vec_id)) AS odd_id, round(min(s), 6) AS sim FROM (
   SELECT unit.label, vec_id, list_cosine_similarity(u, mv) AS s FROM unit JOIN mean USING (label))
 GROUP BY label""")
 def q_odd_one_out(spark, sf_dir):
-    """Per label, of its first 5 vectors the one farthest from the mean of the
-    unit vectors."""
-    e = emb(spark, sf_dir)
-    first5 = e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where(F.col("r") <= 5)
-    unit = V.l2_normalize(first5, "vec", "u")
+    """Per label, the vector farthest from the mean of the label's unit vectors."""
+    unit = V.l2_normalize(emb(spark, sf_dir), "vec", "u")
     mean = V.mean_vector(unit, ["label"], "u", out_col="mv")
     j = unit.join(mean, "label").withColumn("s", V.cosine("u", "mv"))
     return j.groupBy("label").agg(F.min_by("id", F.struct("s", "id")).alias("odd_id"),
@@ -211,13 +212,14 @@ def q_l1(spark, sf_dir):
 
 
 @query("vec_static_lookup", sql="""
-SELECT e.vec_id AS id, e.label, round(sqrt(list_sum(list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm
-FROM embeddings e WHERE e.vec_id IN (SELECT doc_id FROM labels)""")
+SELECT e.vec_id AS id, e.label, i AS dim, round(CAST(e.embedding[i + 1] AS DOUBLE), 6) AS value
+FROM (SELECT *, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS i FROM embeddings) e WHERE e.vec_id IN (SELECT doc_id FROM labels)""")
 def q_static_lookup(spark, sf_dir):
     """Vectors of a listed id set (the labelled documents): semi join."""
     ids = S.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     e = emb(spark, sf_dir).join(ids, "id", "left_semi")
-    return e.select("id", "label", F.round(V.norm("vec"), 6).alias("norm"))
+    return e.select("id", "label", F.posexplode(V.to_double("vec")).alias("dim", "value")).withColumn(
+        "value", F.round("value", 6))
 
 
 @query("agg_mean_pool", sql="""

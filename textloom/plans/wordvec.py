@@ -7,8 +7,6 @@ Token vectors: a word maps to the ``embeddings`` row
 
 from __future__ import annotations
 
-import time
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -18,7 +16,6 @@ from textloom.functions import text as T
 from textloom.operators import vectors as VX
 from textloom.operators import vocab as V
 from textloom.operators.common import evaluate_once
-from textloom.operators.ordering import hash_key
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.plans.strings import clean_tokens
@@ -146,7 +143,7 @@ def _rwmd(pdf: pd.DataFrame) -> pd.DataFrame:
     a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     va = np.stack([np.asarray(x, dtype=np.float64) for x in a["v"]])
     vb = np.stack([np.asarray(x, dtype=np.float64) for x in b["v"]])
-    d = np.sqrt(np.maximum((va * va).sum(1)[:, None] + (vb * vb).sum(1)[None, :] - 2 * va @ vb.T, 0.0))
+    d = VX._distances(va, vb)
     ab = float((a["weight"].to_numpy() * d.min(1)).sum())
     ba = float((b["weight"].to_numpy() * d.min(0)).sum())
     head = pdf.iloc[0]
@@ -188,23 +185,51 @@ def q_encode_sentences(spark, sf_dir):
                                          F.array_join("padded", " ").alias("padded"))
 
 
-@query("corp_encode_documents")
+ENCODE_DOCUMENTS_SQL = f"""
+WITH ln AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS sent
+            FROM (SELECT doc_id, {Q.split_lines('text')} AS lines FROM documents)),
+s AS (SELECT doc_id, sent, ({Q.tokens('lower(line)')})[1:20] AS tokens FROM ln WHERE sent <= 15),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent) AS r FROM s WHERE len(tokens) > 0),
+pos AS (SELECT doc_id, r, unnest(tokens) AS word, unnest(generate_series(1, len(tokens))) AS p FROM k),
+wc AS (SELECT word, count(*) AS cnt, min((doc_id, r, p)) AS first FROM pos GROUP BY word HAVING count(*) >= 5),
+vocab AS (SELECT word, row_number() OVER (ORDER BY first) AS id FROM wc),
+enc AS (SELECT pos.doc_id, r, list(coalesce(id, (SELECT count(*) + 1 FROM vocab)) ORDER BY p) AS ids
+        FROM pos LEFT JOIN vocab USING (word) GROUP BY pos.doc_id, r),
+pad AS (SELECT doc_id, r, len(ids) AS n, list_concat(ids, list_transform(range(20 - len(ids)), lambda x: 0)) AS ids FROM enc)
+SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS label, CAST(count(*) AS INTEGER) AS sentences_per_document,
+       array_to_string(list(n ORDER BY r), ' ') || repeat(' 0', CAST(15 - count(*) AS INTEGER)) AS words_per_sentence,
+       array_to_string(list(array_to_string(ids, ' ') ORDER BY r), '|')
+         || repeat('|' || array_to_string(list_transform(range(20), lambda x: 0), ' '), CAST(15 - count(*) AS INTEGER)) AS docs
+FROM pad GROUP BY doc_id"""
+
+
+@query("corp_encode_documents", sql=ENCODE_DOCUMENTS_SQL)
 def q_encode_documents(spark, sf_dir):
-    """Documents as lines of words: vocabulary from all words, ids nested per
-    sentence, 15 sentences x 20 words, padded; true sentence / word counts."""
+    """Documents as lines of words: the first 15 lines, 20 words each, empty ones
+    dropped; vocabulary from the words inside these limits; ids nested per sentence and
+    padded to 15 x 20; true sentence and word counts; the label."""
+    n_sent, n_word = 15, 20
     d = S.read(spark, sf_dir, "documents")
-    sents = d.select("doc_id", F.posexplode(T.split_lines("text")).alias("sent", "line")).select(
-        "doc_id", "sent", T.tokenize_words("line", word_limit=20, lower=True).alias("tokens")).where(F.size("tokens") > 0)
-    sents = sents.withColumn("sid", F.col("doc_id") * 100000 + F.col("sent"))
-    vocab = V.vocabulary(sents.select(F.col("sid").alias("doc_id"), "tokens"), min_word_count=5)
-    enc = V.encode(sents.select(F.col("sid").alias("doc_id"), "tokens"), vocab).withColumnRenamed("doc_id", "sid")
-    per = sents.join(enc, "sid").select("doc_id", "sent", F.size("ids").alias("n_words"),
-                                        T.pad_truncate("ids", 20).alias("ids"))
-    docs = per.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent", "n_words", "ids"))).alias("s"))
-    docs = docs.select("doc_id", F.slice("s", 1, 15).alias("s"))
-    return docs.select("doc_id", F.size("s").alias("sentences_per_document"),
-                       F.transform("s", lambda x: x["n_words"]).alias("words_per_sentence"),
-                       F.transform("s", lambda x: x["ids"]).alias("docs"))
+    lines = F.transform(F.slice(T.split_lines("text"), 1, n_sent),
+                        lambda x: T.tokenize_words(x, word_limit=n_word, lower=True))
+    sents = evaluate_once(d.select("doc_id", F.filter(lines, lambda t: F.size(t) > 0).alias("sents")), "sents")
+    flat = sents.select("doc_id", F.flatten("sents").alias("tokens"))
+    enc = V.encode(flat, V.vocabulary(flat, min_word_count=5))
+    j = sents.where(F.size("sents") > 0).join(enc, "doc_id")
+    # each sentence takes its stretch of the document's ids
+    sizes = F.transform("sents", lambda t: F.size(t))
+    ends = F.transform(F.sequence(F.lit(1), F.size("sents")), lambda i: F.aggregate(
+        F.slice("sizes", 1, i), F.lit(0), lambda a, x: a + x))
+    j = evaluate_once(j.withColumn("sizes", sizes), "sizes")
+    j = evaluate_once(j.withColumn("ends", ends), "ends")
+    cut = F.zip_with("sizes", "ends", lambda n, e: F.struct(n.alias("n"), e.alias("e")))
+    rows = F.transform(cut, lambda s: F.array_join(F.concat(
+        F.slice("ids", s["e"] - s["n"] + 1, s["n"]), F.array_repeat(F.lit(0), n_word - s["n"])), " "))
+    blank = F.array_repeat(F.lit(" ".join(["0"] * n_word)), n_sent - F.size("sizes"))
+    return j.select("doc_id", F.pmod("doc_id", F.lit(4)).cast("int").alias("label"),
+                    F.size("sizes").alias("sentences_per_document"),
+                    F.array_join(F.concat("sizes", F.array_repeat(F.lit(0), n_sent - F.size("sizes"))), " ").alias("words_per_sentence"),
+                    F.array_join(F.concat(rows, blank), "|").alias("docs"))
 
 
 LM_SQL = f"WITH {CT_SQL}, {POS_SQL}, {VOCAB_SQL}, {ENC_SQL},\n"
@@ -240,7 +265,7 @@ def q_clm_accuracy(spark, sf_dir):
 bi AS (SELECT a, b, count(*) AS n FROM (
          SELECT unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i])) AS a,
                 unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i + 1])) AS b
-         FROM ct WHERE len(tokens) >= 2) GROUP BY a, b HAVING count(*) >= 2),
+         FROM ct WHERE len(tokens) >= 2) GROUP BY a, b),
 rel AS (SELECT a AS word, b AS related, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM bi),
 tk AS (SELECT item_id, {Q.tokens(Q.clean_note('text'))} AS tk FROM benchmark),
 pos AS (SELECT item_id, tk, min(i) AS p FROM (SELECT item_id, tk, unnest(generate_series(1, len(tk))) AS i FROM tk) x
@@ -250,11 +275,10 @@ SELECT pos.item_id AS case_id, CAST(rel.r AS INTEGER) AS variant,
 FROM pos JOIN rel ON rel.word = pos.tk[pos.p] WHERE rel.r <= 5""")
 def q_related_noun(spark, sf_dir):
     """The first word of a text that has related words (its most frequent
-    corpus successors, count >= 2) replaced by each of up to 5 of them."""
+    corpus successors) replaced by each of up to 5 of them."""
     ct = clean_tokens(spark, sf_dir)
     bi = (ct.select(F.explode(V.adjacent_pairs("tokens")).alias("p"))
-          .groupBy(F.col("p.a").alias("word"), F.col("p.b").alias("related")).agg(F.count(F.lit(1)).alias("n"))
-          .where(F.col("n") >= 2))
+          .groupBy(F.col("p.a").alias("word"), F.col("p.b").alias("related")).agg(F.count(F.lit(1)).alias("n")))
     rel = bi.withColumn("variant", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "related"))).where(
         F.col("variant") <= 5)
     b = S.read(spark, sf_dir, "benchmark").select("item_id", T.tokenize_words(T.clean_note("text")).alias("tk"))
@@ -277,22 +301,3 @@ def q_embedding_align(spark, sf_dir):
     d = 64
     aligned = VX.align_vectors(vocab, pre, d, seed=42)
     return aligned.select("word", "id", "pretrained", F.size("vec").alias("dim"))
-
-
-@query("top_computation")
-def q_computation(spark, sf_dir):
-    """Fit time of LDA by vocabulary size (wall seconds measured on the driver
-    around distributed fits); averaged per (model, vocab_size)."""
-    from textloom.operators import models as ML
-    from textloom.plans.topics import stop_docs
-    docs = evaluate_once(stop_docs(spark, sf_dir), "tokens")
-    rows = []
-    for vs in (500, 2000):
-        t0 = time.perf_counter()
-        ML.lda(docs, "tokens", k=4, max_iter=5, vocab_size=vs)
-        rows.append(("lda", vs, time.perf_counter() - t0))
-    runs = spark.createDataFrame(rows, "model string, vocab_size int, seconds double")
-    return runs.groupBy("model", "vocab_size").agg(F.avg("seconds").alias("seconds"))
-
-
-del hash_key

@@ -12,21 +12,21 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-# Text tables and their row key. Per-row regex work on them is CPU heavy, so a
-# scan that yields fewer splits than the cluster has cores (e.g. one large
-# row group) is spread by a hash of the key; at scale the scan already has
-# many splits and nothing is added.
+#: Row key of the text tables.
 TEXT_KEYS: dict[str, str] = {"documents": "doc_id", "pages": "page_id",
                              "conversations": "conv_id", "benchmark": "item_id"}
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one supplied table; Catalyst prunes columns and pushes filters to the scan."""
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one supplied table; Catalyst prunes columns and pushes filters to the scan.
+
+    The session setting ``textloom.scan.partitions`` spreads text tables by their
+    key over that many partitions, for files of one row group that Spark can't
+    split (a local session sets it). It is unset on a cluster."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread and name in TEXT_KEYS:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target, TEXT_KEYS[name])
+    n = spark.conf.get("textloom.scan.partitions", "")
+    if n and name in TEXT_KEYS:
+        return df.repartition(int(n), TEXT_KEYS[name])
     return df
 
 
