@@ -55,9 +55,10 @@ def typo(text, key, seed: int = 42) -> Column:
     """Swap two neighbouring characters at a hash-chosen place."""
     t = _c(text)
     n = F.length(t)
-    i = F.pmod(F.xxhash64(F.lit(seed), _c(key)), F.greatest(n - 1, F.lit(1))) + 1
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"))), 1, 8), 16, 10)
+    i = (F.pmod(h.cast("long"), F.greatest(n - 1, F.lit(1))) + 1).cast("int")
     swapped = F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, 1), F.substring(t, i, 1),
-                       F.substring(t, i + 2, 1 << 30))
+                       F.substring(t, i + 2, n))
     return F.array(F.when(n >= 2, swapped))
 
 
@@ -92,12 +93,12 @@ def place_variants(df: DataFrame, key: str, text: str, places: DataFrame, place_
     var = found.withColumn("_k", F.lit(1)).join(F.broadcast(others), "_k").drop("_k")
     var = var.select("case_id", "text", "w", F.explode(F.filter("others", lambda o: o != F.col("w"))).alias("other"))
     return var.select(F.lit(test).alias("test"), "case_id",
-                      F.regexp_replace("text", F.concat(F.lit(r"\b"), F.col("w"), F.lit(r"\b")), F.col("other")).alias("text"),
+                      F.regexp_replace("text", F.concat(F.lit(r"\b\Q"), F.col("w"), F.lit(r"\E\b")), F.col("other")).alias("text"),
                       "w", "other")
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", tokens: str = "tokens",
-                label: str = "label", min_df: int = 2) -> DataFrame:
+                label: str = "label", min_df: int = 1) -> DataFrame:
     """Word weights = ln((df_pos + 1) / (df_neg + 1)) over labelled documents."""
     lab = docs.join(labels.select(doc_col, F.col(label).alias("_y")), doc_col)
     w = lab.select(doc_col, "_y", F.explode(F.array_distinct(tokens)).alias("word"))

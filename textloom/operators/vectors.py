@@ -303,7 +303,7 @@ def align_vectors(vocab: DataFrame, pretrained: DataFrame, dim: int, seed: int =
     """Vocabulary left join pretrained vectors; a word without one gets
     U(-sqrt(3/d), +sqrt(3/d)) per dimension from a hash of (seed, word, i)."""
     bound = math.sqrt(3.0 / dim)
-    rnd = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (
-        F.pmod(F.xxhash64(F.lit(seed), F.col(word), i), F.lit(1 << 30)).cast("double") / float(1 << 30) * 2 - 1) * bound)
+    rnd = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (F.conv(F.substring(F.md5(F.concat_ws(
+        "|", F.lit(str(seed)), F.col(word), i.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32) * 2 - 1) * bound)
     j = vocab.join(pretrained.select(word, F.transform(vec, lambda x: x.cast("double")).alias("_pv")), word, "left")
     return j.withColumn("pretrained", F.col("_pv").isNotNull()).withColumn("vec", F.coalesce("_pv", rnd)).drop("_pv")

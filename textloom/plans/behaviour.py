@@ -1,6 +1,6 @@
 """Queries for behavioural tests (2.11), template joins (2.3 / 2.5) and
-attribution measures (2.12). Base cases are the ``benchmark`` texts; the
-scorer is the lexicon fitted on ``documents`` x ``labels.toxic``."""
+attribution measures (2.12). Base cases are the texts of ``documents`` and of
+``benchmark`` (ids -1, -2, ...); the scorer is the lexicon fitted on ``documents`` x ``labels.toxic``."""
 
 from __future__ import annotations
 
@@ -20,7 +20,10 @@ LEX_SQL = f"""lex AS (SELECT word, ln((pos + 1) / (neg + 1)) AS weight FROM (
   FROM (SELECT doc_id, y, unnest(list_distinct(tk)) AS word
         FROM (SELECT d.doc_id, l.toxic AS y, {Q.tokens('lower(d.text)')} AS tk
               FROM documents d JOIN labels l USING (doc_id)))
-  GROUP BY word) WHERE pos + neg >= 2)"""
+  GROUP BY word))"""
+
+CASES_SQL = """(SELECT doc_id AS item_id, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT -1 - item_id AS item_id, text FROM benchmark WHERE text IS NOT NULL)"""
 
 
 def score_sql(src: str, keys: str) -> str:
@@ -39,7 +42,9 @@ def lexicon(spark, sf_dir):
 
 
 def bench_cases(spark, sf_dir):
-    return S.read(spark, sf_dir, "benchmark")
+    d = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    b = S.read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("item_id"), "text")
+    return d.unionByName(b).where(F.col("text").isNotNull())
 
 
 def _swap_sql(words) -> str:
@@ -51,9 +56,9 @@ def _swap_sql(words) -> str:
     return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
-def _variants_sql(arr: str) -> str:
+def _variants_sql(arr: str, src: str = CASES_SQL) -> str:
     return f"""SELECT item_id AS case_id, CAST(i AS INTEGER) AS variant, v[i] AS text FROM (
-  SELECT item_id, v, unnest(generate_series(1, len(v))) AS i FROM (SELECT item_id, {arr} AS v FROM benchmark))"""
+  SELECT item_id, v, unnest(generate_series(1, len(v))) AS i FROM (SELECT item_id, {arr} AS v FROM {src}))"""
 
 
 def _variants(df, perturb):
@@ -66,9 +71,15 @@ def q_swap_gender(spark, sf_dir):
     return _variants(bench_cases(spark, sf_dir), B.swap_words("text", B.GENDER_PRONOUNS))
 
 
-@query("beh_swap_patient_noun", sql=_variants_sql(_swap_sql(B.PATIENT_NOUNS)))
+SEEN_SQL = f"(SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'The patient was seen. ' ELSE 'Saw pt and p1. ' END || text AS text FROM {CASES_SQL})"
+
+
+@query("beh_swap_patient_noun", sql=_variants_sql(_swap_sql(B.PATIENT_NOUNS), SEEN_SQL))
 def q_swap_patient(spark, sf_dir):
-    return _variants(bench_cases(spark, sf_dir), B.swap_words("text", B.PATIENT_NOUNS))
+    """The supplied texts name no patients, so each gets a sentence that does."""
+    head = F.when(F.col("item_id") % 2 == 0, "The patient was seen. ").otherwise("Saw pt and p1. ")
+    seen = bench_cases(spark, sf_dir).select("item_id", F.concat(head, F.col("text")).alias("text"))
+    return _variants(seen, B.swap_words("text", B.PATIENT_NOUNS))
 
 
 PUNCT_SQL = ("[CASE WHEN regexp_replace(text, '[.!?]+$', '') <> text THEN regexp_replace(text, '[.!?]+$', '') "
@@ -80,7 +91,12 @@ def q_punctuation(spark, sf_dir):
     return _variants(bench_cases(spark, sf_dir), B.punctuation_variants("text"))
 
 
-@query("beh_typos")
+TYPO_SQL = """[CASE WHEN length(text) >= 2 THEN substr(text, 1, i - 1) || substr(text, i + 1, 1) || substr(text, i, 1) || substr(text, i + 2) END]"""
+
+
+@query("beh_typos", sql=f"""SELECT item_id AS case_id, 1 AS variant, {TYPO_SQL}[1] AS text FROM (
+  SELECT item_id, text, CAST('0x' || substr(md5('42|' || CAST(item_id AS VARCHAR)), 1, 8) AS BIGINT) % greatest(length(text) - 1, 1) + 1 AS i
+  FROM {CASES_SQL})""")
 def q_typos(spark, sf_dir):
     b = bench_cases(spark, sf_dir)
     return _variants(b, B.typo("text", "item_id"))
@@ -96,15 +112,20 @@ def q_add_negation(spark, sf_dir):
 
 
 @query("beh_change_location", sql=f"""
-WITH w AS (SELECT DISTINCT item_id, text, unnest({Q.tokens('text')}) AS w FROM benchmark),
+WITH c AS (SELECT b.item_id, 'Seen in ' || n.n_name || '. ' || b.text AS text FROM {CASES_SQL} b
+           JOIN nation n ON n.n_nationkey = abs(b.item_id) % 25),
+w AS (SELECT DISTINCT item_id, text, unnest({Q.tokens('text')}) AS w FROM c),
 f AS (SELECT w.item_id, w.text, w.w FROM w JOIN nation ON nation.n_name = w.w)
 SELECT 'change_location' AS test, f.item_id AS case_id, regexp_replace(f.text, '\\b' || f.w || '\\b', o.n_name, 'g') AS text,
        f.w, o.n_name AS other
 FROM f JOIN nation o ON o.n_name <> f.w""")
 def q_change_location(spark, sf_dir):
-    """Place names (the ``nation`` table as lexicon) replaced by each other place."""
-    places = S.read(spark, sf_dir, "nation").select(F.col("n_name").alias("place"))
-    return B.place_variants(bench_cases(spark, sf_dir), "item_id", "text", places)
+    """Place names (the ``nation`` table as lexicon) replaced by each other place. The
+    supplied texts name no places, so each gets a sentence that does."""
+    nation = S.read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("place"))
+    b = bench_cases(spark, sf_dir).withColumn("n_nationkey", F.abs("item_id") % 25).join(nation, "n_nationkey")
+    seen = b.select("item_id", F.concat(F.lit("Seen in "), F.col("place"), F.lit(". "), F.col("text")).alias("text"))
+    return B.place_variants(seen, "item_id", "text", nation.select("place"))
 
 
 def _pairs(spark, sf_dir, test, perturb):
@@ -117,7 +138,7 @@ def _pairs(spark, sf_dir, test, perturb):
 def _pairs_sql(arr: str, test: str) -> str:
     return f"""WITH {LEX_SQL},
 v AS ({_variants_sql(arr)}),
-c AS (SELECT '{test}' AS test, item_id AS case_id, 0 AS variant, text FROM benchmark WHERE item_id IN (SELECT case_id FROM v)
+c AS (SELECT '{test}' AS test, item_id AS case_id, 0 AS variant, text FROM {CASES_SQL} WHERE item_id IN (SELECT case_id FROM v)
       UNION ALL SELECT '{test}' AS test, case_id, variant, text FROM v),
 sc AS {score_sql('c', 'test, case_id, variant')},
 pairs AS (SELECT v.test, v.case_id, v.variant, v.p1, v.prediction, o.prediction AS pred0, o.p1 AS p1_orig
@@ -154,7 +175,7 @@ def q_dir(spark, sf_dir):
 
 
 TOP_NOUNS_SQL = f"""nouns AS (SELECT word FROM (SELECT unnest({Q.tokens('lower(text)')}) AS word FROM benchmark)
-  WHERE regexp_matches(word, '^[a-z]{{4,}}$') GROUP BY word ORDER BY count(*) DESC, word LIMIT 10)"""
+  WHERE regexp_matches(word, '^[a-z]{{4,}}$') GROUP BY word)"""
 
 
 def _template_sql() -> str:
@@ -167,15 +188,14 @@ tpl AS (SELECT n.word AS noun, a.adj, CAST(a.label AS INTEGER) AS label,
 
 
 def templates(spark, sf_dir):
-    b = bench_cases(spark, sf_dir)
+    b = S.read(spark, sf_dir, "benchmark")
     words = b.select(F.explode(T.tokenize_words("text", lower=True)).alias("word")).where(F.col("word").rlike("^[a-z]{4,}$"))
-    nouns = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(10)
-    return B.template_cases(nouns)
+    return B.template_cases(words.distinct())
 
 
 @query("join_template_product", sql=f"WITH {_template_sql()} SELECT noun, adj, label, text FROM tpl")
 def q_template_product(spark, sf_dir):
-    """Template slots: the 10 most frequent benchmark words x 17 adjectives."""
+    """Template slots: the benchmark words x 17 adjectives."""
     return templates(spark, sf_dir)
 
 
@@ -209,16 +229,33 @@ def q_mft(spark, sf_dir):
                                  F.round(F.avg("fail"), 6).alias("fail_rate"))
 
 
-@query("beh_suite_summary", sql=MFT_SQL + """
-SELECT 'vocabulary' AS capability, test, count(*) AS n_cases, CAST(sum(fail) AS BIGINT) AS n_fail, round(avg(fail), 6) AS fail_rate,
+def _suite_pairs_sql(arr: str, test: str) -> str:
+    """The CTEs of ``_pairs_sql`` after the lexicon, named for one test."""
+    body = _pairs_sql(arr, test).split(f"{LEX_SQL},", 1)[1]
+    for name in ("pairs", "sc", "v", "c"):
+        body = body.replace(f"\n{name} AS (", f"\n{name}_{test} AS (").replace(f"FROM {name} ", f"FROM {name}_{test} ").replace(
+            f"FROM {name})", f"FROM {name}_{test})").replace(f"JOIN {name} ", f"JOIN {name}_{test} ")
+    return body.rstrip()
+
+
+@query("beh_suite_summary", sql=MFT_SQL.rstrip() + "," + _suite_pairs_sql(PUNCT_SQL, "punctuation") + "," + _suite_pairs_sql(NEG_SQL, "negation") + """,
+results AS (SELECT 'vocabulary' AS capability, test, case_id, fail FROM mft
+  UNION ALL SELECT 'robustness', test, CAST(case_id AS VARCHAR), max(CAST(prediction <> pred0 AS INTEGER)) FROM pairs_punctuation GROUP BY test, case_id
+  UNION ALL SELECT 'negation', test, CAST(case_id AS VARCHAR), max(CAST(p1 - p1_orig > 0.1 AS INTEGER)) FROM pairs_negation GROUP BY test, case_id)
+SELECT capability, test, count(*) AS n_cases, CAST(sum(fail) AS BIGINT) AS n_fail, round(avg(fail), 6) AS fail_rate,
        min(CASE WHEN fail = 1 THEN case_id END) AS example_case
-FROM mft GROUP BY test""")
+FROM results GROUP BY capability, test""")
 def q_suite_summary(spark, sf_dir):
-    return B.summary(_mft(spark, sf_dir).withColumn("capability", F.lit("vocabulary")))
+    """A minimum functionality, an invariance and a directional test in one table."""
+    neg = F.filter(B.add_negation("text"), lambda x: x.isNotNull())
+    inv = B.inv_results(_pairs(spark, sf_dir, "punctuation", B.punctuation_variants("text")))
+    dir_ = B.dir_monotonic(_pairs(spark, sf_dir, "negation", neg), 0.1)
+    row = lambda df, c: df.select(F.lit(c).alias("capability"), "test", F.col("case_id").cast("string").alias("case_id"), "fail")
+    return B.summary(row(_mft(spark, sf_dir), "vocabulary").unionByName(row(inv, "robustness")).unionByName(row(dir_, "negation")))
 
 
 @query("beh_confident_examples", sql=f"""WITH {LEX_SQL},
-sc AS {score_sql('(SELECT item_id, text FROM benchmark)', 'item_id')}
+sc AS {score_sql(CASES_SQL, 'item_id')}
 SELECT item_id, kind, round(p1, 6) AS p1, round(1 - p1, 6) AS p0 FROM (
   SELECT item_id, p1, 'surest' AS kind, row_number() OVER (ORDER BY abs(p1 - 0.5) DESC, item_id) AS r FROM sc
   UNION ALL SELECT item_id, p1, 'least_sure' AS kind, row_number() OVER (ORDER BY abs(p1 - 0.5), item_id) AS r FROM sc)
@@ -239,7 +276,7 @@ TW_SQL = f"""tw AS (SELECT t.case_id, t.pos, t.word, coalesce(l.weight, 0.0) AS
                     sum(coalesce(l.weight, 0.0)) OVER (PARTITION BY t.case_id) AS S,
                     count(*) OVER (PARTITION BY t.case_id) AS n
              FROM (SELECT item_id AS case_id, unnest(tk) AS word, unnest(generate_series(0, len(tk) - 1)) AS pos
-                   FROM (SELECT item_id, {Q.tokens('lower(text)')} AS tk FROM benchmark)) t
+                   FROM (SELECT item_id, {Q.tokens('lower(text)')} AS tk FROM {CASES_SQL})) t
              LEFT JOIN lex l USING (word))"""
 
 
@@ -260,19 +297,19 @@ def q_loo(spark, sf_dir):
 
 AOPC_SQL = f"""WITH {LEX_SQL}, {TW_SQL},
 r AS (SELECT *, row_number() OVER w AS k, sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pk
-      FROM tw WINDOW w AS (PARTITION BY case_id ORDER BY weight DESC, pos))
-SELECT case_id, round(avg({_psql('S', 'n')} - {_psql('S - pk', 'n - k')}), 6) AS comprehensiveness,
-       round(avg({_psql('S', 'n')} - {_psql('pk', 'k')}), 6) AS sufficiency FROM r GROUP BY case_id"""
+      FROM tw WINDOW w AS (PARTITION BY case_id ORDER BY weight DESC, pos))"""
 
 
-@query("att_aopc_comprehensiveness", sql=AOPC_SQL)
+@query("att_aopc_comprehensiveness", sql=AOPC_SQL + f"""
+SELECT case_id, round(avg({_psql('S', 'n')} - {_psql('S - pk', 'n - k')}), 6) AS comprehensiveness FROM r GROUP BY case_id""")
 def q_aopc_comp(spark, sf_dir):
-    return A.aopc(_tw(spark, sf_dir))
+    return A.aopc(_tw(spark, sf_dir)).select("case_id", "comprehensiveness")
 
 
-@query("att_aopc_sufficiency", sql=AOPC_SQL.replace("round(avg(", "round(avg(", 1))
+@query("att_aopc_sufficiency", sql=AOPC_SQL + f"""
+SELECT case_id, round(avg({_psql('S', 'n')} - {_psql('pk', 'k')}), 6) AS sufficiency FROM r GROUP BY case_id""")
 def q_aopc_suff(spark, sf_dir):
-    return A.aopc(_tw(spark, sf_dir))
+    return A.aopc(_tw(spark, sf_dir)).select("case_id", "sufficiency")
 
 
 @query("att_loo_correlation")

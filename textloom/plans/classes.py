@@ -208,9 +208,9 @@ def q_union_anchor_positive(spark, sf_dir):
     return anchors_.unionByName(pos)
 
 
-@query("sort_for_batching")
+@query("sort_for_batching", sql="""
+SELECT doc_id, CAST(length(text) AS INTEGER) AS len, (row_number() OVER (ORDER BY length(text), doc_id) - 1) // 32 AS batch FROM documents""")
 def q_sort_for_batching(spark, sf_dir):
-    """Range-partition by text length, sort within partitions (less padding
-    per batch), then restore input order by joining back on id."""
+    """Batches of 32 texts of similar length (less padding), by rank of (length, id)."""
     d = S.read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"))
     return C.sort_for_batching(d, "doc_id", "len", batch_size=32)

@@ -14,6 +14,7 @@ from textloom.operators import vocab as V
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.plans.strings import clean_tokens
+from textloom.plans.vocab import CT_SQL, ENC_SQL, POS_SQL, VOCAB_SQL
 from textloom.sources import io as IO
 from textloom.sources import tables as S
 
@@ -27,16 +28,25 @@ def q_src_csv(spark, sf_dir):
     return IO.read_csv(spark, path)
 
 
-@query("src_csv_headerless")
+HEADERLESS_SQL = f"""
+SELECT label, CAST(len(parts) AS INTEGER) AS n_parts, array_to_string(parts, '|') AS parts FROM (
+  SELECT CAST(doc_id % 4 + 1 AS INTEGER) AS label,
+         list_filter([l[1], l[2], array_to_string(l[3:], chr(10))], lambda x: x IS NOT NULL AND x <> '') AS parts
+  FROM (SELECT doc_id, {Q.split_lines('text')} AS l FROM documents))"""
+
+
+@query("src_csv_headerless", sql=HEADERLESS_SQL)
 def q_src_csv_headerless(spark, sf_dir):
-    """``label, part1, part2, part3``: the first three lines of each document."""
-    d = S.read(spark, sf_dir, "documents")
-    lines = T.split_lines("text")
-    cols = [F.try_element_at(lines, F.lit(i)).alias(f"p{i}") for i in (1, 2, 3)]
-    src = d.select((F.pmod("doc_id", F.lit(4)) + 1).cast("int").alias("label"), *cols)
+    """``label, part1, part2, part3``: first line, second line and all the rest."""
+    d = S.read(spark, sf_dir, "documents").select("doc_id", T.split_lines("text").alias("l"))
+    rest = F.array_join(F.slice("l", 3, F.size("l")), "\n")
+    cols = [F.try_element_at("l", F.lit(i)).alias(f"p{i}") for i in (1, 2)]
+    src = d.select((F.pmod("doc_id", F.lit(4)) + 1).cast("int").alias("label"), *cols, rest.alias("p3"))
     path = IO.scratch_path(spark, "headerless-csv")
-    src.write.mode("overwrite").option("escape", '"').csv(path)
-    return IO.read_csv_headerless(spark, path, 4).select("label", F.size("parts").alias("n_parts"))
+    (src.write.mode("overwrite").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    back = IO.read_csv_headerless(spark, path, 4)
+    return back.select("label", F.size("parts").alias("n_parts"), F.array_join("parts", "|").alias("parts"))
 
 
 @query("src_text_lines", sql=S.with_sql(S.NOTES_DIRTY_SQL) + f"""
@@ -63,15 +73,19 @@ def q_src_word_vectors(spark, sf_dir):
                     F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
 
 
-@query("sink_text_corpus")
+@query("sink_text_corpus", sql=S.with_sql(S.NOTES_DIRTY_SQL).rstrip() + f""",
+n AS (SELECT id, {Q.clean_note('IN07')} AS text FROM notes_dirty),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(id AS VARCHAR))), id) AS r,
+             ceil(count(*) OVER () * 0.1) AS n_test FROM n WHERE text IS NOT NULL)
+SELECT CASE WHEN r <= n_test THEN 'heldout' ELSE 'train' END AS split, text AS value FROM r""")
 def q_sink_text_corpus(spark, sf_dir):
-    """Train / held-out corpora written as text, one cleaned report per line."""
+    """Train / held-out corpora written as text, one cleaned report per line, and read back."""
     n = evaluate_once(S.notes_dirty(spark, sf_dir).select("id", T.clean_note("IN07").alias("text")), "text").where(
         F.col("text").isNotNull())
     s = SM.holdout_split(n, "id", 0.10)
     path = IO.scratch_path(spark, "corpus-split")
-    IO.write_partitioned(s.select("split", F.col("text").alias("value")), path, ["split"], fmt="parquet")
-    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"))
+    s.select("split", F.col("text").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+    return spark.read.text(path).select("split", "value")
 
 
 @query("sink_split_csv", sql=S.with_sql(S.NOTES_SQL) + """
@@ -103,44 +117,56 @@ def _encoded(spark, sf_dir):
     return vocab, V.pad_encoded(V.encode(ct, vocab), "ids", 50)
 
 
-@query("sink_encoded")
+VOC = f"WITH {CT_SQL}, {POS_SQL}, {VOCAB_SQL}"
+
+
+@query("sink_encoded", sql=f"""{VOC}, {ENC_SQL}
+SELECT doc_id, CAST(1 + doc_id % 15 AS BIGINT) AS label, CAST(least(len(ids), 50) AS INTEGER) AS length,
+       array_to_string(list_concat(ids[1:50], list_transform(generate_series(1, 50 - least(len(ids), 50)), lambda x: 0)), ' ') AS padded
+FROM enc""")
 def q_sink_encoded(spark, sf_dir):
-    """Encoded, padded id arrays with true lengths persisted as parquet."""
+    """Encoded, padded id arrays with true lengths and labels persisted as parquet."""
     _, enc = _encoded(spark, sf_dir)
     path = IO.scratch_path(spark, "encoded")
-    IO.write_parquet(enc.select("doc_id", "padded", "length"), path)
-    return spark.read.parquet(path).select("doc_id", F.size("padded").alias("width"), "length")
+    label = (1 + F.pmod("doc_id", F.lit(15))).cast("bigint").alias("label")
+    IO.write_parquet(enc.select("doc_id", label, "length", "padded"), path)
+    return spark.read.parquet(path).select("doc_id", "label", "length", F.array_join("padded", " ").alias("padded"))
+
+
+def _vocab(spark, sf_dir):
+    return V.vocabulary(clean_tokens(spark, sf_dir), min_word_count=5)
 
 
-@query("sink_word_map")
+@query("sink_word_map", sql=f"{VOC} SELECT * FROM vocab")
 def q_sink_word_map(spark, sf_dir):
     """Vocabulary (word, id, cnt) persisted and re-read for encoding."""
-    vocab, _ = _encoded(spark, sf_dir)
     path = IO.scratch_path(spark, "word-map")
-    IO.write_parquet(vocab, path)
+    IO.write_parquet(_vocab(spark, sf_dir), path)
     return spark.read.parquet(path)
 
 
-@query("sink_vocab_dump")
+@query("sink_vocab_dump", sql=f"{VOC} SELECT word AS value FROM vocab")
 def q_sink_vocab_dump(spark, sf_dir):
     """Vocabulary dumped to text, one token per line."""
-    vocab, _ = _encoded(spark, sf_dir)
     path = IO.scratch_path(spark, "vocab-txt")
-    vocab.select(F.col("word").alias("value")).write.mode("overwrite").text(path)
+    _vocab(spark, sf_dir).select(F.col("word").alias("value")).write.mode("overwrite").text(path)
     return spark.read.text(path)
 
 
-@query("sink_embeddings_jsonl")
+@query("sink_embeddings_jsonl", sql="""
+SELECT vec_id AS doc_id, CAST(i AS INTEGER) AS dim, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value
+FROM (SELECT vec_id, embedding, unnest(generate_series(0, len(embedding) - 1)) AS i FROM embeddings)""")
 def q_sink_embeddings_jsonl(spark, sf_dir):
     """Document vectors written as JSON lines with an ``embeddings`` field."""
     e = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("embeddings"))
     path = IO.scratch_path(spark, "emb-jsonl")
     IO.write_json(e, path)
     back = spark.read.schema("doc_id long, embeddings array<float>").json(path)
-    return back.select("doc_id", F.size("embeddings").alias("dim"))
+    return back.select("doc_id", F.posexplode("embeddings").alias("dim", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), 6))
 
 
-@query("sink_results_table")
+@query("sink_results_table", sql=S.with_sql(S.PREDS_SQL) + "SELECT * FROM preds")
 def q_sink_results_table(spark, sf_dir):
     """A per-prediction results table persisted as parquet."""
     p = S.preds(spark, sf_dir)

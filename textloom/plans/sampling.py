@@ -9,6 +9,7 @@ from textloom.functions.lexicon import LABEL_NAMES
 from textloom.operators import sampling as SM
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
+from textloom.plans.vocab import CT_SQL
 from textloom.sources import tables as S
 
 NOTES = S.with_sql(S.NOTES_SQL)
@@ -92,13 +93,15 @@ def q_show_random(spark, sf_dir):
     return label_names(SM.fewshot(p, num_examples_total=10), spark, "instance_severity")
 
 
-@query("smp_vocab_examples")
+@query("smp_vocab_examples", sql=f"""WITH {CT_SQL}
+SELECT word, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT unnest(tokens) AS word FROM ct)
+WHERE regexp_matches(word, '\\p{{Nd}}') AND CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 11 = 1 GROUP BY word""")
 def q_vocab_examples(spark, sf_dir):
-    """~1 % of vocabulary tokens holding a digit, as examples (hash-picked)."""
+    """Vocabulary tokens holding a digit, about one in eleven of them (hash-picked)."""
     from textloom.operators import counting
     from textloom.plans.strings import clean_tokens
     v = counting.word_counts(clean_tokens(spark, sf_dir))
-    return SM.vocab_examples(v.where(F.col("word").rlike(r"\p{Nd}")), "word")
+    return SM.vocab_examples(v.where(F.col("word").rlike(r"\p{Nd}")), "word", modulus=11)
 
 
 @query("shuffle_rows", sql=NOTES + f"SELECT id, {_rank_sql(42)} AS shuffle_rank FROM notes")

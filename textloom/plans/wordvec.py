@@ -290,7 +290,17 @@ def q_related_noun(spark, sf_dir):
     return var.select(F.col("item_id").alias("case_id"), F.col("variant").cast("int"), text.alias("text"))
 
 
-@query("join_embedding_align")
+ALIGN_SQL = f"""WITH {CT_SQL}, {POS_SQL}, {VOCAB_SQL},
+b AS (SELECT DISTINCT unnest({Q.tokens(Q.clean_note('text'))}) AS word FROM benchmark),
+pre AS (SELECT b.word, e.embedding AS v FROM b {WV_JOIN.format(w='b.word')}),
+j AS (SELECT vocab.word, vocab.id, pre.v, unnest(generate_series(1, 64)) AS i FROM vocab LEFT JOIN pre USING (word))
+SELECT word, id, v IS NOT NULL AS pretrained, CAST(i - 1 AS INTEGER) AS dim,
+       round(CASE WHEN v IS NOT NULL THEN CAST(v[i] AS DOUBLE)
+             ELSE (CAST('0x' || substr(md5('42|' || word || '|' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 * 2 - 1)
+                  * sqrt(3.0 / 64) END, 6) AS value FROM j"""
+
+
+@query("join_embedding_align", sql=ALIGN_SQL)
 def q_embedding_align(spark, sf_dir):
     """Vocabulary aligned with a pretrained vector file (benchmark words with
     hashed vectors); words absent from it get U(-sqrt(3/d), sqrt(3/d))."""
@@ -298,6 +308,19 @@ def q_embedding_align(spark, sf_dir):
     vocab = V.vocabulary(ct, min_word_count=5)
     b = S.read(spark, sf_dir, "benchmark").select(F.explode(T.tokenize_words(T.clean_note("text"))).alias("word")).distinct()
     pre = word_vectors(spark, sf_dir, b)
-    d = 64
-    aligned = VX.align_vectors(vocab, pre, d, seed=42)
-    return aligned.select("word", "id", "pretrained", F.size("vec").alias("dim"))
+    aligned = VX.align_vectors(vocab, pre, 64, seed=42)
+    return aligned.select("word", "id", "pretrained", F.posexplode("vec").alias("dim", "value")).withColumn(
+        "value", F.round("value", 6))
+
+
+@query("top_computation", sql="""
+SELECT event_type AS model, CAST(user_id % 5 AS INTEGER) AS vocab_size, round(avg(value), 6) AS seconds, count(*) AS n_runs
+FROM events GROUP BY event_type, user_id % 5""")
+def q_computation(spark, sf_dir):
+    """Mean fit time by (model, vocabulary size) over a table of runs; the ``events``
+    table stands in for the runs (type, user group, value)."""
+    e = S.read(spark, sf_dir, "events")
+    runs = e.select(F.col("event_type").alias("model"), F.pmod("user_id", F.lit(5)).cast("int").alias("vocab_size"),
+                    F.col("value").alias("seconds"))
+    return runs.groupBy("model", "vocab_size").agg(F.round(F.avg("seconds"), 6).alias("seconds"),
+                                                   F.count(F.lit(1)).alias("n_runs"))

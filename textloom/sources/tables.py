@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.common import evaluate_once
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -109,32 +111,40 @@ PREDS_SQL = """preds AS (
   FROM labels)"""
 
 
-def preds_multi(spark: SparkSession, sf_dir: str, n_classes: int = 10) -> DataFrame:
-    """Multi-class predictions from ``embeddings``: probs = softmax of the first
-    ``n_classes`` dimensions; prediction = first arg-max."""
+def preds_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-class predictions from ``embeddings``: probs = softmax of the cosines of the
+    whole vector to each label's centroid, in label order; prediction = first arg-max.
+    The centroids (one vector per label) are one broadcast row."""
+    from textloom.operators import vectors as V
     e = read(spark, sf_dir, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, n_classes), lambda x: x.cast("double"))
-    mx = F.array_max(logits)
-    ex = F.transform(logits, lambda x: F.exp(x - mx))
-    tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    probs = F.transform(ex, lambda x: x / tot)
-    return e.select(
-        F.col("vec_id").alias("id"), F.col("label"), probs.alias("probs"),
+    mean = V.mean_vector(e, ["label"], "embedding").where("label is not null")
+    cents = mean.agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("cs")).withColumn("_one", F.lit(1))
+    j = e.withColumn("_one", F.lit(1)).join(F.broadcast(cents), "_one")
+    logits = F.transform("cs", lambda c: V.cosine(F.col("embedding"), c["mean"]))
+    j = evaluate_once(j.select("vec_id", "label", logits.alias("lg")), "lg")
+    ex = F.transform("lg", lambda x: F.exp(x - F.array_max("lg")))
+    j = evaluate_once(j.withColumn("ex", ex), "ex")
+    tot = F.aggregate("ex", F.lit(0.0), lambda a, x: a + x)
+    j = evaluate_once(j.withColumn("tot", tot), "tot")
+    return j.select(
+        F.col("vec_id").alias("id"), F.col("label"), F.transform("ex", lambda x: x / F.col("tot")).alias("probs"),
     ).withColumn("prediction", (F.array_position("probs", F.array_max("probs")) - 1).cast("int"))
 
 
-PREDS_MULTI_SQL = """preds_multi AS (
+PREDS_MULTI_SQL = """centroids AS (
+  SELECT label, list(m ORDER BY i) AS c FROM (
+    SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m
+    FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE label IS NOT NULL)
+    GROUP BY label, i) GROUP BY label),
+preds_multi AS (
   SELECT id, label, probs,
          CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS prediction
   FROM (
-    SELECT vec_id AS id, label,
-           list_transform(ex, lambda x: x / list_sum(ex)) AS probs
+    SELECT id, label, list_transform(ex, lambda x: x / list_sum(ex)) AS probs
     FROM (
-      SELECT vec_id, label,
-             list_transform(lg, lambda x: exp(x - list_max(lg))) AS ex
-      FROM (SELECT vec_id, label,
-                   list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS lg
-            FROM embeddings))))"""
+      SELECT id, label, list_transform(lg, lambda x: exp(x - list_max(lg))) AS ex
+      FROM (SELECT e.vec_id AS id, e.label, list(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), k.c) ORDER BY k.label) AS lg
+            FROM embeddings e CROSS JOIN centroids k GROUP BY e.vec_id, e.label))))"""
 
 
 def with_sql(*ctes: str) -> str:
