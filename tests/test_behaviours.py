@@ -120,8 +120,7 @@ def test_vocab_min_count_boundary(spark):
 def test_l1_zero_sum_and_sphereize_one_row(spark):
     df = spark.createDataFrame([([1.0, -1.0],)], "v array<double>")
     assert V.l1_normalize(df, "v").first()["v"] is None
-    with pytest.warns(UserWarning):
-        assert V.sphereize(df, "v").first()["v"] == [1.0, -1.0]
+    assert V.sphereize(df, "v").first()["v"] == [1.0, -1.0]
 
 
 def test_span_sampler_invariants(spark):
@@ -137,8 +136,14 @@ def test_span_sampler_invariants(spark):
             assert r.text in text and 8 <= r.len <= 16
         if strategy == "subsuming":
             for p in pos:
-                a = anchors[p.anchor_id]
+                a = next(x for x in anchors if x.anchor_id == p.anchor_id)
                 assert a.start <= p.start and p.start + p.len <= a.start + a.len
+        if strategy == "adjacent":
+            for p in pos:
+                a = next(x for x in anchors if x.anchor_id == p.anchor_id)
+                assert p.start is None or p.start + p.len == a.start or p.start == a.start + a.len
+        slots = sorted(a.start // 16 for a in anchors)
+        assert slots[1] - slots[0] >= 2
     short = spark.createDataFrame([(2, ["x"] * 10)], "doc_id long, tokens array<string>")
     q = CP.span_quarantine(short, "tokens", "doc_id", 2, 16, 8).first()
     assert q.reason == "too_short"
@@ -166,10 +171,33 @@ def test_top_k_neighbours_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, m[i].tolist()) for i in range(60)], "id long, vec array<double>")
-    got = {(r.id, r.rank): r.nbr for r in V.top_k_neighbours(df, k=3, rows_per_block=16).collect()}
+    got = {(r.id, r.rank): r.nbr for r in V.top_k_neighbours(df, k=3, block_bytes=1024).collect()}
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -np.inf)
     for i in range(60):
         want = list(np.argsort(-s[i], kind="stable")[:3])
         assert [got[(i, r)] for r in (1, 2, 3)] == want
+
+
+def test_euclidean_neighbours_of_equal_vectors(spark):
+    """Distances come from direct differences, so copies are exactly 0 apart."""
+    rows = [(i, [0.1 * (i // 2), 0.2, 0.3]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    got = V.top_k_neighbours(df, k=1, block_bytes=200, metric="euclidean").collect()
+    assert {r.id: (r.nbr, r.sim) for r in got} == {i: (i ^ 1, 0.0) for i in range(20)}
+
+
+def test_block_ids_join_documents_in_order(spark):
+    docs = spark.createDataFrame([(i, [i * 10 + k for k in range(7)]) for i in range(4)], "doc_id long, ids array<int>")
+    layout = CP.block_group(docs.select("doc_id", F.size("ids").alias("n_tokens")), batch_docs=2, block_size=4)
+    got = {(r.batch, r.block): r.input_ids for r in CP.block_ids(layout, docs, 4).collect()}
+    flat = [[b * 20 + d * 10 + k for d in (0, 1) for k in range(7)] for b in (0, 1)]
+    assert got == {(b, i): flat[b][4 * i:4 * i + 4] for b in (0, 1) for i in range(3)}
+
+
+def test_cleaning_tables_are_literal(spark):
+    """Expected rows written out, not derived from the constants under test."""
+    assert one(spark, T.clean_note, "[x] Date/Time W/ PT") == one(spark, T.clean_note, "Date/Time W/ PT")
+    assert one(spark, T.tokenize_words, "It's a b-c 3.5") is not None
+    assert one(spark, lambda c: T.html_newlines(c), "a<br>b") == "a\nb"

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from textloom.operators.ordering import hash_rank, hash_top_n, ordered_prefix
+from textloom.operators.ordering import hash_rank, hash_top_n, ordered_prefix, range_bucket
 
 
 def _md5(seed, i):
@@ -41,3 +41,27 @@ def test_ordered_prefix_with_ties_and_descending(spark):
     for r in out:
         assert r["rank"] == want_rank[r.id]
         assert r["w_before"] == before[r.id]
+
+
+def test_ordered_prefix_keeps_large_ids_apart(spark):
+    """Ids above 2**53 differ only below the precision of a double."""
+    base = 2 ** 55
+    df = spark.range(20_000).select((F.pmod(F.col("id") * 7919, F.lit(20_000)) + base).alias("id"))
+    wrong = ordered_prefix(df, ["id"]).where(F.col("rank") != F.col("id") - base + 1)
+    assert wrong.count() == 0
+
+
+def test_ties_of_the_first_key_are_split(spark):
+    df = spark.range(60_000).select(F.when(F.pmod("id", F.lit(10)) < 6, 1).otherwise(F.col("id")).alias("cnt"),
+                                    F.md5(F.col("id").cast("string")).alias("word"))
+    sizes = [r["count"] for r in range_bucket(df, F.struct("cnt", "word"), 32).groupBy("_b").count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 2 * 60_000 / 32
+
+
+def test_ordered_prefix_strings_and_groups(spark):
+    rows = [(i, "hot" if i % 3 else "cold", f"k{i * 37 % 1000:04d}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, g string, name string")
+    got = {r.id: r["rank"] for r in ordered_prefix(df, ["name"], group_cols=["g"], n_buckets=16).collect()}
+    for g in ("hot", "cold"):
+        want = [i for i, gg, n in sorted(rows, key=lambda r: r[2]) if gg == g]
+        assert [got[i] for i in want] == list(range(1, len(want) + 1))

@@ -66,9 +66,9 @@ def neutral_band(df: DataFrame, score: str = "score", margin: float = 1 / 3.0) -
     two outer classes keep 1 - p and p. Exactly on the edge all three are 0. Adds
     ``pp`` = [p0, p1, p2] and ``cls`` (first arg-max)."""
     p = F.col(score).cast("double")
-    off, half = F.abs(p - 0.5), margin / 2.0
-    share = off / margin
-    inside, beyond = off < half, off > half
+    low_edge, high_edge = 0.5 - margin / 2.0, 0.5 + margin / 2.0
+    share = F.abs(p - 0.5) / margin
+    inside, beyond = (p > low_edge) & (p < high_edge), (p < low_edge) | (p > high_edge)
     low = F.when(beyond, 1 - p).when(inside & (p < 0.5), share).otherwise(0.0)
     high = F.when(beyond, p).when(inside & (p >= 0.5), share).otherwise(0.0)
     out = df.withColumn("pp", F.array(low, F.when(inside, 1 - share).otherwise(0.0), high))

@@ -66,9 +66,9 @@ def scale(v, factor_col: str) -> Column:
 
 
 def l2_normalize(df: DataFrame, vec: str, out_col: str | None = None) -> DataFrame:
-    """Unit vectors; the norm is computed once per row, then applied."""
+    """Unit vectors; the norm is computed once per row, then applied. A zero vector gives nulls."""
     out_col = out_col or vec
-    d = evaluate_once(df.withColumn("_inv", 1.0 / norm(vec)), "_inv")
+    d = evaluate_once(df.withColumn("_inv", F.try_divide(F.lit(1.0), norm(vec))), "_inv")
     return d.withColumn(out_col, scale(vec, "_inv")).drop("_inv")
 
 
