@@ -3,12 +3,13 @@
 A document is the set of its distinct ``words``-word shingles (64-bit hashes). Two
 documents link when 100 * intersection >= 85 * union.
 
-1. Candidates. In the sorted hashes of a set, each pair of neighbours is a gram. A
-   shingle of r alone breaks at most two grams of r, one of s alone at most one, so
+1. Candidates. In the sorted hashes of a set, each three neighbours are a gram. A
+   shingle of r alone breaks at most three grams of r, one of s alone at most two, so
    sets that link share all but D(|r|) grams of r, and the D + 1 smallest grams of
    each must meet. Equal sets have one node. Nodes that share a gram form candidate
    groups (connected components); a group holds every partner of its members, while
-   passages that many texts share rarely fill two neighbouring hashes alike.
+   passages that many texts share rarely fill three neighbouring hashes alike. Large
+   groups are split by grams of other hash orders.
 2. Search. In a group, the sets of one block are an inverted index and others query
    it. A query needs at least T = ceil(0.85 |r|) common shingles with any partner.
    DivideSkip leaves the L longest lists out, heap-merges the short ones, skipping ids
@@ -33,12 +34,13 @@ import hashlib
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil, log2
+from functools import reduce
+from math import log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize, small_side
@@ -48,6 +50,8 @@ from textloom.llm.graph import components
 PERCENT = 85
 #: Sets in an index block, and in a chunk of queries.
 BLOCK = 1500
+#: Neighbouring hashes of a sorted set that make a gram.
+GRAM = 3
 #: Constant of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 #: Up to so many ids (16 bytes each) are broadcast to find their texts.
@@ -105,19 +109,23 @@ def node_of(d: str) -> int:
     return int(d[:15], 16)
 
 
-def most_broken(n: int, percent: int = PERCENT) -> int:
+def most_broken(n: int, percent: int = PERCENT, gram: int = GRAM) -> int:
     """Most grams of a set of ``n`` that a linked set can break: a shingles of its own
-    break 2 each, b of the other one each."""
+    break ``gram`` each, b of the other one ``gram - 1`` each."""
     a = np.arange(0, (100 - percent) * n // 100 + 1)
-    return int((2 * a + ((100 - percent) * n - 100 * a) // percent).max())
+    return int((gram * a + (gram - 1) * (((100 - percent) * n - 100 * a) // percent)).max())
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """The grams of a set by which every linked set must meet it."""
+def signatures(s: np.ndarray, order: int = 0) -> np.ndarray:
+    """The grams of a set by which every linked set must meet it. ``order`` picks the
+    hash by which the set is sorted."""
     if (100 - PERCENT) * len(s) < PERCENT:       # too short to link with another set
         return s[:0]
-    grams = np.unique(_weigh([s[:-1], s[1:]]))
-    return grams[:most_broken(len(s)) + 1]
+    if order:
+        s = np.sort(_mix(s ^ np.uint64(order)))
+    grams = _weigh([s[i:len(s) - GRAM + 1 + i] for i in range(GRAM)])
+    most = most_broken(len(s))
+    return np.partition(grams, most)[:most + 1]
 
 
 def _arrow(batches, make):
@@ -137,27 +145,53 @@ def set_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest string")
 
 
-def candidate_groups(docs: DataFrame) -> DataFrame:
-    """(node, grp): nodes that share a signature, by connected group."""
+def candidate_groups(texts: DataFrame, order: int = 0) -> DataFrame:
+    """(node, grp): nodes that share a signature, by connected group; ``texts`` has text
+    and ``old``, a group from before within which signatures must meet."""
     def run(batches):
-        def make(_, texts):
+        for b in batches:
             sigs, nodes = [], []
-            for s in shingle_sets(texts):
-                g = signatures(s)
+            for s, old in zip(shingle_sets(b.column("text").to_pylist()), b.column("old").to_pylist()):
+                g = signatures(s, order)
                 if len(g):
-                    sigs.append(g.view(np.int64))
+                    sigs.append((g ^ _mix(np.array([old], dtype=np.int64).view(np.uint64))).view(np.int64))
                     nodes.append(np.full(len(g), node_of(digest(s))))
-            if not sigs:
-                return None
-            return [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"]
-        yield from _arrow(batches, make)
-    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(run, "sig long, node long")
-    rows = rows.repartition("sig")               # one exchange for both uses below
-    first = rows.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("sig", "a")
-    links = rows.join(first, "sig").select("a", F.col("node").alias("b"))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+    rows = texts.select("old", "text").mapInArrow(run, "sig long, node long")
+    least = F.min("node").over(Window.partitionBy("sig"))
+    links = rows.withColumn("a", least).where("a < node").select("a", F.col("node").alias("b"))
     return components(links).select("node", F.col("component").alias("grp"))
 
 
+def candidates(docs: DataFrame, table: DataFrame, block: int) -> DataFrame:
+    """(doc_id, digest, grp, g): the sets that have candidates, one row each with a
+    doc_id that holds it, their group and its size.
+
+    Among very many sets, chance meetings chain strangers to one large group. Linked
+    sets meet in any hash order, so groups above ``block`` are split by signatures of
+    further orders, as long as that makes them smaller."""
+    classes = (table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+               .withColumn("node", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")))
+
+    def sized(groups: DataFrame) -> DataFrame:
+        of = classes.join(groups, "node").select("doc_id", "digest", "grp")
+        sizes = of.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+        return materialize(of.join(sizes, "grp"))
+
+    found = sized(candidate_groups(docs.select(F.lit(0).cast("long").alias("old"), "text")))
+    done, order, before = [], 0, None
+    while True:
+        large = found.where(F.col("g") > block)
+        n = large.count()
+        if n == 0 or (before is not None and n > 0.9 * before):
+            return reduce(DataFrame.unionByName, [*done, found])
+        done.append(found.where(F.col("g") <= block))
+        before, order = n, order + 1
+        texts = _texts(docs, large.select("doc_id", F.col("grp").alias("old")).distinct())
+        found = sized(candidate_groups(texts, order))
+
+
 class InvertedIndex:
     """Inverted lists of a block of sets; ids are their places in the block."""
 
@@ -260,7 +294,8 @@ class Parts:
 def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], labels: list) -> list[tuple[int, int]]:
     """Links that connect ``queries`` with ``index`` (places in ``sets``). Sets with one
     label are known to be connected."""
-    index = sorted(index, key=lambda i: len(sets[i]))
+    # neighbours in the order of their least hash are mostly copies, so known ones come in runs
+    index, queries = (sorted(x, key=lambda i: (int(sets[i][0]), len(sets[i]))) for x in (index, queries))
     lists, parts, found = InvertedIndex([sets[i] for i in index]), Parts(labels), []
     place = {i: k for k, i in enumerate(index)}
     for q in queries:
@@ -285,8 +320,9 @@ def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], la
     return found
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(a, b) digests from rows (block, asks, answers, label, digest, s) by block."""
+def _links(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """(a, b) digests found in the blocks of ``roles`` (doc_id, digest, block, asks,
+    answers, label)."""
     def one(rows: list[tuple]) -> list[tuple[str, str]]:
         seen: dict[str, int] = {}
         sets_, asks, answers, labels = [], [], [], []
@@ -314,40 +350,36 @@ def _links(sets: DataFrame) -> DataFrame:
         if rows:
             yield pd.DataFrame(one(rows), columns=["a", "b"])
 
-    return (sets.repartition("block").sortWithinPartitions("block", "digest")
+    roles = materialize(roles)
+    sets = _with_sets(docs, roles.select("doc_id", "digest").distinct())
+    placed = sets.join(small_side(roles.drop("doc_id"), MANY_IDS), "digest")
+    return (placed.repartition("block").sortWithinPartitions("block", "digest")
             .select("block", "asks", "answers", "label", "digest", "s").mapInPandas(run, "a string, b string"))
 
 
-def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (doc_id, digest, ...) with ``s``, the hashes of their set."""
-    asked = small_side(members, MANY_IDS)
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with the text of their doc_id."""
     names = [c for c in members.columns if c != "doc_id"]
-    rows = (docs.select(F.col("doc_id").cast("long").alias("d0"), "text")
-            .join(asked, F.col("d0").eqNullSafe(F.col("doc_id"))).select("text", *names))
+    members = small_side(materialize(members), MANY_IDS)
+    return (docs.select(F.col("doc_id").cast("long").alias("d0"), "text")
+            .join(members, F.col("d0").eqNullSafe(F.col("doc_id"))).select("text", *names))
+
 
+def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(digest, s) of ``members`` (doc_id, digest): the hashes of their sets."""
     def run(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            sets = list(shingle_sets(t.column("text").to_pylist()))
-            keep = [i for i, (s, d) in enumerate(zip(sets, t.column("digest").to_pylist())) if digest(s) == d]
-            out = t.drop_columns(["text"]).take(keep).append_column("s", pa.array([sets[i].tobytes() for i in keep], pa.binary()))
-            yield from out.combine_chunks().to_batches()
-
-    kinds = ", ".join(f"{c} {t}" for c, t in members.dtypes if c != "doc_id")
-    return rows.mapInArrow(run, f"{kinds}, s binary")
+            want = b.column("digest").to_pylist()
+            got = [(d, s.tobytes()) for d, s in zip(want, shingle_sets(b.column("text").to_pylist())) if digest(s) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.string()), pa.array([s for _, s in got], pa.binary())], ["digest", "s"])
+    return _texts(docs, members).select("text", "digest").mapInArrow(run, "digest string, s binary")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, ``n``, ``digest`` and ``part`` (the component's least digest; null for an
     empty set) of every row of ``docs`` (doc_id, text)."""
     table = materialize(set_table(docs))
-    groups = candidate_groups(docs)
-    to_node = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-    classes = (table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-               .withColumn("node", to_node))
-    members = materialize(classes.join(groups, "node").select("doc_id", "digest", "grp"))
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    sized = materialize(members.join(sizes, "grp"))
+    sized = candidates(docs, table, block)
     cuts = F.ceil(F.col("g") / block).cast("int")
     chunk = F.pmod(F.xxhash64(F.lit(1), "digest"), cuts).cast("int")
     pivot = F.pmod(F.xxhash64(F.lit(2), "digest"), cuts) == 0
@@ -360,7 +392,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
               .where(F.col("c") != chunk)
               .select("doc_id", "digest", key(F.col("grp"), F.col("c")).alias("block"), F.lit(False).alias("asks"),
                       F.lit(True).alias("answers"), none))
-    links = materialize(_links(_with_sets(docs, asking.unionByName(pivots))))
+    links = materialize(_links(docs, asking.unionByName(pivots)))
     parts = components(links).select(F.col("node").alias("digest"), F.col("component").alias("part"))
     large = sized.where(F.col("g") > block)
     if not large.isEmpty():
@@ -385,7 +417,7 @@ def _second_pass(docs: DataFrame, large: DataFrame, parts: DataFrame, block: int
     answers = (open_.where("label <> main").withColumn("r", F.explode(F.sequence(F.lit(0), rows - 1)))
                .select("doc_id", "digest", key(F.col("grp"), F.col("r"), me(4, cols)).alias("block"),
                        F.lit(False).alias("asks"), F.lit(True).alias("answers"), "label"))
-    return _links(_with_sets(docs, asks.unionByName(answers)))
+    return _links(docs, asks.unionByName(answers))
 
 
 def component_ids(found: DataFrame) -> DataFrame:
