@@ -5,11 +5,7 @@ as many pieces of the full window as fit, then one piece for each set bit of the
 rest, longest first. Every piece is a sequence of its own, so no sequence crosses
 documents; sequences of equal length form a bucket, and none needs padding.
 
-Tokenizing runs in Arrow batches on whole texts. The byte-level pattern never lets
-a pre-token run from a visible character into white space, so a text without two
-neighbouring white-space characters can be cut before each of them and the chunks
-looked up in a bounded memo; other texts are encoded whole. Both ways give the ids
-that the tokenizer gives for the whole text.
+Tokenizing runs in Arrow batches on whole texts, with the rank file of the vocabulary.
 
 Defined cases: null text counts as empty; an empty text is the end id alone;
 repeated rows are packed each on its own; an empty table gives no rows.
@@ -17,31 +13,22 @@ repeated rows are packed each on its own; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Memo entries in each Python worker (about 100 MB).
-MEMO = 500_000
 WINDOW = 1024
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[str, Callable[[str], bytes]] = {}
 PIECES = "array<struct<start:long,length:long,ids_crc32:long>>"
 
 
-class Encoder:
-    """Texts -> little-endian unsigned 32-bit ids of a byte-level vocabulary.
-
-    A text is cut before each space and line end. The chunks that the memo lacks are
-    encoded in one call for many texts, and the ids are told apart by the byte lengths
-    of the tokens."""
-
-    def __init__(self, ranks_path: str, memo: int = MEMO) -> None:
+def encoder(ranks_path: str) -> Callable[[str], bytes]:
+    """Text -> little-endian unsigned 32-bit ids; one encoder in each worker."""
+    if ranks_path not in _ENCODERS:
         import base64
 
         import public_tokenizers
@@ -50,62 +37,10 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                 special_tokens={})
-        self.ids = bpe.encode_ordinary
-        self.widths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, i in ranks.items():
-            self.widths[i] = len(token)
-        self.most, self.touching = memo, re.compile(r"\s\s").search
-        self.memo: dict[str, bytes] = {}
-        self._bare()
-
-    def _bare(self) -> None:
-        self.memo.clear()
-        self.memo |= {"": self.whole(" "), "\n": self.whole("\n")}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.ids(text)).tobytes()
-
-    def _learn(self, parts: list[str]) -> None:
-        chunks = [p if p[0] == "\n" else " " + p for p in parts]
-        ids = np.array(self.ids("".join(chunks)), dtype="<u4")
-        ends = np.cumsum([len(c.encode()) for c in chunks])
-        cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-        raw, at = ids.tobytes(), 0
-        for p, cut in zip(parts, (4 * cuts).tolist()):
-            self.memo[p] = raw[at:cut]
-            at = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.most:
-            self._bare()
-        split = [None if self.touching(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        new = set().union(*[p[1:] for p in split if p]).difference(self.memo)
-        if new:
-            self._learn(list(new))
-        get = self.memo.__getitem__
-        return [self.whole(t) if p is None else self.whole(p[0]) + b"".join(map(get, p[1:]))
-                for t, p in zip(texts, split)]
-
-
-def encoder(ranks_path: str) -> Encoder:
-    """One encoder in each worker."""
-    if ranks_path not in _ENCODERS:
-        _ENCODERS[ranks_path] = Encoder(ranks_path)
+        _ENCODERS[ranks_path] = lambda text: array("I", bpe.encode_ordinary(text)).tobytes()
     return _ENCODERS[ranks_path]
 
 
-def _together(texts: Iterable[str], chars: int = 300_000) -> Iterator[list[str]]:
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= chars:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def piece_lengths(n: int, window: int = WINDOW) -> list[int]:
     """Full windows, then the powers of two of the rest, longest first."""
     lengths = [window] * (n // window)
@@ -119,11 +54,11 @@ def pieces_column(ranks_path: str, window: int = WINDOW, end_id: int = 0):
 
     @F.pandas_udf(PIECES)
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(ranks_path)
+        encode = encoder(ranks_path)
         for batch in texts:
             out = []
-            for ids in (i for some in _together(t or "" for t in batch) for i in enc.encode(some)):
-                ids += end
+            for text in batch:
+                ids = encode(text or "") + end
                 row, at = [], 0
                 for k in piece_lengths(len(ids) // 4, window):
                     row.append({"start": at, "length": k, "ids_crc32": zlib.crc32(ids[4 * at:4 * (at + k)])})
