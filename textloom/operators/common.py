@@ -20,6 +20,12 @@ def evaluate_once(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*others, F.inline(packed)).select(*df.columns)
 
 
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach a one-row aggregate to every row, in the plan: no driver round trip."""
+    return (df.withColumn("_one", F.lit(1))
+            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+
+
 def drop_stopwords(df: DataFrame, tokens: str, out_col: str, stop_words, punctuation: str | None = None,
                    ) -> DataFrame:
     """Lower-case tokens, drop stop words (Spark ML ``StopWordsRemover``: a

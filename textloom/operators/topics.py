@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.common import with_one_row
+
 
 def top_words_per_topic(df: DataFrame, topic: str, tokens: str, k: int = 10) -> DataFrame:
     """``(topic, word, cnt, rank)``: the k most frequent words per topic (ties
@@ -21,7 +23,7 @@ def npmi(docs: DataFrame, topic_words: DataFrame, doc_col: str = "doc_id", token
     NPMI = ln(p_ij / (p_i p_j)) / -ln(p_ij), -1 when a pair never co-occurs.
     Only topic words are kept before the per-document pairing, so a document
     contributes at most (words per topic)^2 pairs."""
-    n_docs = docs.count()
+    n_docs = docs.agg(F.count(F.lit(1)).alias("_nd"))
     tw = topic_words.select(topic, "word")
     pres = docs.select(doc_col, F.explode(F.array_distinct(tokens)).alias("word")).join(
         tw.select("word").distinct(), "word")
@@ -35,9 +37,10 @@ def npmi(docs: DataFrame, topic_words: DataFrame, doc_col: str = "doc_id", token
     j = (pairs.join(co, [topic, "wi", "wj"], "left")
          .join(df_w.select(F.col("word").alias("wi"), F.col("df").alias("di")), "wi", "left")
          .join(df_w.select(F.col("word").alias("wj"), F.col("df").alias("dj")), "wj", "left"))
-    pij = F.coalesce("dij", F.lit(0)) / F.lit(n_docs)
-    pi = F.coalesce("di", F.lit(0)) / F.lit(n_docs)
-    pj = F.coalesce("dj", F.lit(0)) / F.lit(n_docs)
+    j = with_one_row(j, n_docs)
+    pij = F.coalesce("dij", F.lit(0)) / F.col("_nd")
+    pi = F.coalesce("di", F.lit(0)) / F.col("_nd")
+    pj = F.coalesce("dj", F.lit(0)) / F.col("_nd")
     v = F.when(pij == 0, F.lit(-1.0)).when(pij == 1, F.lit(1.0)).otherwise(
         F.log(pij / (pi * pj)) / (-F.log(pij)))
     return j.groupBy(topic).agg(F.round(F.avg(v), 6).alias("npmi"), F.count(F.lit(1)).alias("n_pairs"))
@@ -54,8 +57,8 @@ def class_tfidf(df: DataFrame, cls: str, tokens: str, k: int = 10) -> DataFrame:
     tf = df.select(cls, F.explode(tokens).alias("word")).groupBy(cls, "word").agg(F.count(F.lit(1)).alias("tf"))
     ft = tf.groupBy("word").agg(F.sum("tf").alias("ft"))
     tot = tf.groupBy(cls).agg(F.sum("tf").alias("words"))
-    avg_words = tot.agg(F.avg("words")).first()[0]
-    w = tf.join(ft, "word").withColumn("ctfidf", F.col("tf") * F.log(1 + F.lit(avg_words) / F.col("ft")))
+    w = with_one_row(tf.join(ft, "word"), tot.agg(F.avg("words").alias("_avg"))).withColumn(
+        "ctfidf", F.col("tf") * F.log(1 + F.col("_avg") / F.col("ft")))
     win = Window.partitionBy(cls).orderBy(F.desc("ctfidf"), "word")
     return (w.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
             .select(cls, "word", "rank", F.round("ctfidf", 6).alias("ctfidf")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.common import materialize
+from textloom.operators.common import materialize, with_one_row
 from textloom.operators.ordering import ordered_prefix
 
 PAD, UNK = "<pad>", "<unk>"
@@ -47,12 +47,12 @@ def encode(df: DataFrame, vocab: DataFrame, doc_col: str = "doc_id", tokens: str
     """Token to id lookup; a missing word gives ``<unk>``. explode + join on
     word (AQE broadcasts the vocabulary when its runtime size is small,
     else a shuffle join) + ordered regroup by document."""
-    unk_id = vocab.where(F.col("word") == UNK).select("id").first()[0]  # one scalar
+    unk = vocab.where(F.col("word") == UNK).select(F.col("id").alias("_unk"))
     p = positions(df, doc_col, tokens)
     v = vocab.where(~F.col("word").isin(PAD, UNK)).select("word", F.col("id").alias("_id"))
-    j = p.join(v, "word", "left")
+    j = with_one_row(p.join(v, "word", "left"), unk)
     ids = j.groupBy(doc_col).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_id", F.lit(unk_id)).alias("i")))).alias("_s"))
+        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_id", "_unk").alias("i")))).alias("_s"))
     enc = ids.select(doc_col, F.transform("_s", lambda s: s["i"]).alias(out_col))
     # documents with no tokens keep an empty array
     return df.select(doc_col).join(enc, doc_col, "left").select(
@@ -119,6 +119,7 @@ def phrase_scores(sentences: DataFrame, tokens: str = "tokens", min_count: int =
     pos = F.zip_with(t, nxt, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
     ab = materialize(sentences.select(F.explode(pos).alias("p"))
                      .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n_ab")))
+    # a score above a threshold of 0 or more needs n_ab > min_count: only those rows are joined
     uni = ab.groupBy(F.col("a").alias("w")).agg(F.sum("n_ab").alias("n"))
     bi = ab.where(F.col("b").isNotNull())
     # V as a one-row aggregate attached by a constant key (no driver round trip)
@@ -127,6 +128,8 @@ def phrase_scores(sentences: DataFrame, tokens: str = "tokens", min_count: int =
         "_one", (F.col("_nu") + F.col("_nb")).alias("_V"))
     ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
+    if threshold >= 0:
+        bi = bi.where(F.col("n_ab") > min_count)
     scored = (bi.join(ua, "a").join(ub, "b").withColumn("_one", F.lit(1)).join(F.broadcast(v), "_one")
               .withColumn("score", (F.col("n_ab") - min_count).cast("double")
                           / (F.col("n_a") * F.col("n_b")) * F.col("_V")))

@@ -76,8 +76,9 @@ def q_src_word_vectors(spark, sf_dir):
 @query("sink_text_corpus", sql=S.with_sql(S.NOTES_DIRTY_SQL).rstrip() + f""",
 n AS (SELECT id, {Q.clean_note('IN07')} AS text FROM notes_dirty),
 r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(id AS VARCHAR))), id) AS r,
-             ceil(count(*) OVER () * 0.1) AS n_test FROM n WHERE text IS NOT NULL)
-SELECT CASE WHEN r <= n_test THEN 'heldout' ELSE 'train' END AS split, text AS value FROM r""")
+             count(*) OVER () AS n, ceil(count(*) OVER () * 0.1) AS n_h FROM n WHERE text IS NOT NULL)
+SELECT CASE WHEN r <= n_h THEN 'heldout' WHEN r <= n_h + ceil((n - n_h) * 0.1) THEN 'lm_test' ELSE 'lm_train' END AS split,
+       text AS value FROM r""")
 def q_sink_text_corpus(spark, sf_dir):
     """Train / held-out corpora written as text, one cleaned report per line, and read back."""
     n = evaluate_once(S.notes_dirty(spark, sf_dir).select("id", T.clean_note("IN07").alias("text")), "text").where(

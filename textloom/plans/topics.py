@@ -76,8 +76,6 @@ SELECT 'documents' AS dataset, 'frequency' AS model, CAST(count(*) AS BIGINT) AS
        round(1.96 * stddev_samp(npmi) / sqrt(count(*)), 6) AS ci95 FROM npmi""")
 def q_results_table(spark, sf_dir):
     """Mean NPMI with 95 % interval per (dataset, model, number of topics)."""
-    r = _npmi(spark, sf_dir)
-    n = r.count()
-    runs = r.select(F.lit("documents").alias("dataset"), F.lit("frequency").alias("model"),
-                    F.lit(n).cast("bigint").alias("nr_topics"), "npmi")
-    return TP.results_table(runs)
+    runs = _npmi(spark, sf_dir).select(F.lit("documents").alias("dataset"), F.lit("frequency").alias("model"), "npmi")
+    table = TP.results_table(runs, keys=("dataset", "model"))
+    return table.withColumn("nr_topics", F.col("n"))     # one row per topic

@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.functions.lexicon import stop_words
 from textloom.operators import counting
 from textloom.operators import vocab as V
-from textloom.operators.common import drop_stopwords, evaluate_once
+from textloom.operators.common import drop_stopwords, evaluate_once, with_one_row
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.plans.strings import STOP_TOKENS_SQL, clean_tokens, stop_tokens
@@ -50,10 +50,9 @@ def q_vocab_stats(spark, sf_dir):
     """Vocabulary sorted by frequency (distributed rank), with the document count."""
     from textloom.operators.ordering import ordered_prefix
     ct = clean_tokens(spark, sf_dir)
-    n_docs = ct.count()
-    wc = counting.word_counts(ct)
-    r = ordered_prefix(wc, ["cnt", "word"], rank_col="freq_rank", descending=True)
-    return r.withColumn("n_docs", F.lit(n_docs).cast("bigint"))
+    r = ordered_prefix(counting.word_counts(ct), ["cnt", "word"], rank_col="freq_rank", descending=True)
+    n_docs = S.read(spark, sf_dir, "documents").where(F.col("text").isNotNull()).agg(F.count(F.lit(1)).alias("n_docs"))
+    return with_one_row(r, n_docs)
 
 
 @query("agg_vocab_overlap", sql=f"""
@@ -73,27 +72,33 @@ def _grams(spark, sf_dir):
     return evaluate_once(stop_tokens(spark, sf_dir).select("doc_id", T.ngrams("tokens", 2).alias("terms")), "terms")
 
 
+#: The train split of the supplied documents: three of five ids, as in ``preds``.
+TRAIN = "doc_id % 5 > 1"
+
 GRAMS_SQL = f"""grams AS (SELECT doc_id, {Q.ngrams2('tokens')} AS terms FROM ({STOP_TOKENS_SQL})),
 tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM grams)
        GROUP BY doc_id, term),
-tv AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000)"""
+tv AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf WHERE doc_id % 5 > 1 GROUP BY term ORDER BY cf DESC, term LIMIT 50000)"""
 
 
 @query("agg_tf", sql=f"WITH {GRAMS_SQL} SELECT tf.doc_id, tf.term, tf.tf FROM tf JOIN tv USING (term)")
 def q_tf(spark, sf_dir):
+    """Counts of all splits over the vocabulary fitted on train."""
     tf = V.term_frequencies(_grams(spark, sf_dir), reuse=True)
-    return V.count_vectors(tf, V.top_terms(tf, 50000)).select("doc_id", "term", "tf")
+    return V.count_vectors(tf, V.top_terms(tf.where(TRAIN), 50000)).select("doc_id", "term", "tf")
 
 
 @query("agg_tfidf", sql=f"""WITH {GRAMS_SQL},
-w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * (ln((1 + (SELECT count(*) FROM grams)) / (1 + tv.df)) + 1) AS w
+w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * (ln((1 + (SELECT count(*) FROM grams WHERE doc_id % 5 > 1)) / (1 + tv.df)) + 1) AS w
       FROM tf JOIN tv USING (term))
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w""")
 def q_tfidf(spark, sf_dir):
+    """TF-IDF of all splits with vocabulary and document frequencies fitted on train."""
     g = _grams(spark, sf_dir)
     tf = V.term_frequencies(g, reuse=True)
-    n_docs = S.read(spark, sf_dir, "documents").count()  # every document is a row of g
-    out = V.tfidf(tf, V.top_terms(tf, 50000), n_docs)
+    n_docs = S.read(spark, sf_dir, "documents").where(TRAIN).agg(F.count(F.lit(1)).alias("_nd"))
+    vocab = with_one_row(V.top_terms(tf.where(TRAIN), 50000), n_docs)
+    out = V.tfidf(tf, vocab, F.col("_nd"))
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
