@@ -216,9 +216,11 @@ def best_epoch(log: DataFrame, metric: str, group_cols: Sequence[str] = (), epoc
     g = list(group_cols)
     w = Window.partitionBy(*g).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
     m = F.col(metric) if mode == "max" else -F.col(metric)
-    run = log.withColumn("_m", m).withColumn("_best", F.max("_m").over(w))
-    # epoch where the running best was reached (first epoch with that value)
-    run = run.withColumn("_best_epoch", F.max(F.when(F.col("_m") == F.col("_best"), F.col(epoch))).over(w))
+    earlier = Window.partitionBy(*g).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    run = log.withColumn("_m", m).withColumn("_before", F.max("_m").over(earlier))
+    # an epoch improves only if it beats all before it, so a tie doesn't reset patience
+    better = F.col("_before").isNull() | (F.col("_m") > F.col("_before"))
+    run = run.withColumn("_best_epoch", F.max(F.when(better, F.col(epoch))).over(w))
     stop = run.where(F.col(epoch) - F.col("_best_epoch") >= patience).groupBy(*g).agg(
         F.min(epoch).alias("stop_epoch"))
     best = log.groupBy(*g).agg(

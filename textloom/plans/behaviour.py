@@ -312,11 +312,19 @@ def q_aopc_suff(spark, sf_dir):
     return A.aopc(_tw(spark, sf_dir)).select("case_id", "sufficiency")
 
 
-@query("att_loo_correlation")
+LOO_CTE = f"l AS (SELECT *, {_psql('S', 'n')} - {_psql('S - weight', 'n - 1')} AS loo, CAST(weight > 0 AS INTEGER) AS y FROM tw)"
+
+
+@query("att_loo_correlation", sql=f"""WITH {LEX_SQL}, {TW_SQL}, {LOO_CTE},
+rk AS (SELECT case_id, rank() OVER (PARTITION BY case_id ORDER BY weight) + (count(*) OVER (PARTITION BY case_id, weight) - 1) / 2.0 AS rx,
+              rank() OVER (PARTITION BY case_id ORDER BY loo) + (count(*) OVER (PARTITION BY case_id, loo) - 1) / 2.0 AS ry FROM l)
+SELECT case_id, CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN round(corr(rx, ry), 6) END AS spearman FROM rk GROUP BY case_id""")
 def q_loo_corr(spark, sf_dir):
-    """Spearman of attributions (weights) and leave-one-out scores per text."""
+    """Spearman of attributions (weights) and leave-one-out scores per text; null where
+    one of them is constant."""
     r = A.leave_one_out(_tw(spark, sf_dir))
-    return M.pearson_spearman(r, "weight", "loo", ["case_id"]).select("case_id", "spearman")
+    s = M.pearson_spearman(r, "weight", "loo", ["case_id"])
+    return s.select("case_id", F.when(~F.isnan("spearman"), F.col("spearman")).alias("spearman"))
 
 
 @query("att_rationale_f1_iou", sql=f"""WITH {LEX_SQL}, {TW_SQL},
@@ -331,7 +339,13 @@ def q_rationale(spark, sf_dir):
     return A.rationale_overlap(A.leave_one_out(_tw(spark, sf_dir)))
 
 
-@query("att_rationale_auprc")
+@query("att_rationale_auprc", sql=f"""WITH {LEX_SQL}, {TW_SQL}, {LOO_CTE},
+per AS (SELECT case_id, loo, sum(y) AS tp_at, sum(1 - y) AS fp_at FROM l GROUP BY case_id, loo),
+c AS (SELECT *, sum(tp_at) OVER w AS tp, sum(fp_at) OVER w AS fp, sum(tp_at) OVER (PARTITION BY case_id) AS p
+      FROM per WINDOW w AS (PARTITION BY case_id ORDER BY loo DESC))
+SELECT case_id, round(sum(CASE WHEN p = 0 THEN NULL ELSE tp_at / p * (tp / (tp + fp)
+         + CASE WHEN tp + fp = tp_at + fp_at THEN 1.0 ELSE (tp - tp_at) / (tp + fp - tp_at - fp_at) END) / 2 END), 6) AS pr_auc
+FROM c GROUP BY case_id""")
 def q_rationale_auprc(spark, sf_dir):
     """Area under precision-recall of leave-one-out scores against the rationale, per text."""
     r = A.leave_one_out(_tw(spark, sf_dir)).withColumn("y", (F.col("weight") > 0).cast("int"))

@@ -197,8 +197,8 @@ EPOCH_SQL = """log AS (SELECT model, CAST(id % 12 AS INTEGER) AS epoch, avg(CAST
 
 
 @query("met_best_epoch", sql=P.rstrip() + ",\n" + EPOCH_SQL + """,
-run AS (SELECT *, max(acc) OVER w AS best FROM log WINDOW w AS (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-be AS (SELECT *, max(CASE WHEN acc = best THEN epoch END) OVER (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_ep FROM run)
+run AS (SELECT *, max(acc) OVER w AS earlier FROM log WINDOW w AS (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+be AS (SELECT *, max(CASE WHEN earlier IS NULL OR acc > earlier THEN epoch END) OVER (PARTITION BY model ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_ep FROM run)
 SELECT b.model, b.best_epoch, coalesce(s.stop_epoch, b.last_epoch) AS stop_epoch
 FROM (SELECT model, arg_max(epoch, (acc, -epoch)) AS best_epoch, max(epoch) AS last_epoch FROM log GROUP BY model) b
 LEFT JOIN (SELECT model, min(epoch) AS stop_epoch FROM be WHERE epoch - best_ep >= 4 GROUP BY model) s USING (model)""")
