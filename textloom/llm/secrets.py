@@ -104,12 +104,11 @@ def find_spans(text: str, scope: int = SCOPE) -> list[tuple[str, int, int, bool]
     base += [("hex", *m.span()) for m in _HEX.finditer(text)]
     weak = _weak_parts(text, low, any(k == "access" for k, _, _ in base))
     if weak:
-        taken = sorted((s, e) for _, s, e in base)
-        starts = [s for s, _ in taken]
+        taken = _Cover([(s, e) for _, s, e in base], 0)
 
-        def free(s: int, e: int) -> bool:        # not part of a base finding
-            k = bisect_left(starts, e) - 1
-            return k < 0 or max(x[1] for x in taken[max(0, k - 2):k + 1]) <= s
+        def free(s: int, e: int) -> bool:        # shares no character with a base finding
+            k = bisect_left(taken.starts, e) - 1
+            return k < 0 or taken.ends[k] <= s
 
         weak = [w for w in weak if free(w[0], w[1])]
     if weak:
