@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize
 
+#: Edges in a partition.
+ROWS = 200_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); the component is its least
@@ -15,18 +20,20 @@ def components(links: DataFrame) -> DataFrame:
     Each round, every node first hands its larger neighbours to its least neighbour
     (large star), then its smaller ones (small star); rounds grow with the logarithm
     of the longest chain. Neighbour minima are aggregates with map-side combining
-    joined back by a skew-split join, and each round is cut by a checkpoint."""
+    joined back by a skew-split join, and each round is cut by a checkpoint. The edges
+    never grow in number, so they are kept in partitions of ``ROWS`` rows."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    parts = max(1, ceil(edges.count() / ROWS))
+    edges, before = edges.coalesce(parts), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (both.join(least, "u").where("v > u")
                  .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = materialize(small)
+        edges = materialize(small.coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
