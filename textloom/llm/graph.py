@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     (large star), then its smaller ones (small star); rounds grow with the logarithm
     of the longest chain. Neighbour minima are aggregates with map-side combining
     joined back by a skew-split join, and each round is cut by a checkpoint. The edges
-    never grow in number, so they are kept in partitions of ``ROWS`` rows."""
+    never grow in number, so they are kept in partitions of ``ROWS`` rows; where one
+    such partition holds them all, a round needs no shuffle."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     parts = max(1, ceil(edges.count() / ROWS))
     edges, before = edges.coalesce(parts), None
@@ -32,8 +33,8 @@ def components(links: DataFrame) -> DataFrame:
                  .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = materialize(small.coalesce(parts))
+                 .unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct())
+        edges = materialize(small.coalesce(parts)).coalesce(parts)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
