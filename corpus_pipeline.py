@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import mixing, ngram_join, packing, rules, secrets
 from textloom.llm.common import table
-from textloom.llm.queries import MIX_WEIGHTS, mix_levels, tokenizer_ranks
+from textloom.llm.queries import MIX_WEIGHTS, SPECIAL_TOKENS, mix_levels, tokenizer_ranks
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length."""
-    return packing.pack_documents(docs, tokenizer_ranks())
+    return packing.pack_documents(docs, tokenizer_ranks(), special=SPECIAL_TOKENS)
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("secret scan", redact_secrets),

@@ -190,6 +190,31 @@ def test_packing_covers_every_id(spark):
     assert packing.pack_documents(frame(spark, []), queries.tokenizer_ranks()).count() == 0
 
 
+def test_packing_matches_added_tokens_as_tokenizers_does(spark, tmp_path):
+    """Default ``tokenizers`` (no encode_special_tokens) against the query and the stage."""
+    import json
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as f:
+        assert {a["content"]: a["id"] for a in json.load(f)["added_tokens"]} == queries.SPECIAL_TOKENS
+    t, end = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [f"i am {end} here", end, f"{end}{end}", f"x  {end}  y", f"a{end}b", f" {end} \n x", f"\n\n{end}\n\n", f"{end} i'm",
+             "<|endoftext", "< |endoftext|>", "<|ENDOFTEXT|>", f"<|{end}|>", f"é {end}😀", f"{end} w" * 900, "plain", "", None]
+    docs = frame(spark, list(enumerate(texts)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert t.encode(texts[0], add_special_tokens=False).ids == [72, 716, 220, 50256, 994]
+    for got in (queries.QUERIES["op7_power_of_two_packing"](spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        got = got.toPandas()
+        for i, text in enumerate(texts):
+            ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
+            g = got[got.doc_id == i].sort_values("start")
+            assert (g.doc_tokens == len(ids)).all() and g.length.sum() == len(ids)
+            assert [zlib.crc32(ids[a:a + n].tobytes()) for a, n in zip(g.start, g.length)] == g.ids_crc32.tolist()
+
+
 # --- mixture ---------------------------------------------------------------------
 
 def pour(node, budget):

@@ -6,6 +6,9 @@ rest, longest first. Every piece is a sequence of its own, so no sequence crosse
 documents; sequences of equal length form a bucket, and none needs padding.
 
 Tokenizing runs in Arrow batches on whole texts, with the rank file of the vocabulary.
+``special`` names the added tokens of the vocabulary (text -> id): each is one id
+wherever it stands in a text, as ``tokenizers`` has it by default. Without it such
+strings are ordinary text (``encode_special_tokens``).
 
 Defined cases: null text counts as empty; an empty text is the end id alone;
 repeated rows are packed each on its own; an empty table gives no rows.
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 1024
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+_ENCODERS: dict[tuple, Callable[[str], bytes]] = {}
 PIECES = "array<struct<start:long,length:long,ids_crc32:long>>"
 
 
-def encoder(ranks_path: str) -> Callable[[str], bytes]:
+def encoder(ranks_path: str, special: dict[str, int] | None = None) -> Callable[[str], bytes]:
     """Text -> little-endian unsigned 32-bit ids; one encoder in each worker."""
-    if ranks_path not in _ENCODERS:
+    special = special or {}
+    key = (ranks_path, *sorted(special.items()))
+    if key not in _ENCODERS:
         import base64
 
         import public_tokenizers
@@ -36,9 +41,15 @@ def encoder(ranks_path: str) -> Callable[[str], bytes]:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                special_tokens={})
-        _ENCODERS[ranks_path] = lambda text: array("I", bpe.encode_ordinary(text)).tobytes()
-    return _ENCODERS[ranks_path]
+                                special_tokens=special)
+        names = set(special)
+
+        def encode(text: str) -> bytes:
+            if any(name in text for name in names):
+                return array("I", bpe.encode(text, allowed_special=names, disallowed_special=())).tobytes()
+            return array("I", bpe.encode_ordinary(text)).tobytes()
+        _ENCODERS[key] = encode
+    return _ENCODERS[key]
 
 
 def piece_lengths(n: int, window: int = WINDOW) -> list[int]:
@@ -48,13 +59,13 @@ def piece_lengths(n: int, window: int = WINDOW) -> list[int]:
     return lengths + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pieces_column(ranks_path: str, window: int = WINDOW, end_id: int = 0):
+def pieces_column(ranks_path: str, window: int = WINDOW, end_id: int = 0, special: dict[str, int] | None = None):
     """Column function: text -> its pieces (start, length, crc of the ids)."""
     end = int(end_id).to_bytes(4, "little")
 
     @F.pandas_udf(PIECES)
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(ranks_path)
+        encode = encoder(ranks_path, special)
         for batch in texts:
             out = []
             for text in batch:
@@ -70,7 +81,7 @@ def pieces_column(ranks_path: str, window: int = WINDOW, end_id: int = 0):
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, window: int = WINDOW, end_id: int = 0,
-                   n_buckets: int = 256) -> DataFrame:
+                   n_buckets: int = 256, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``window`` must be a power of two. Sequences of one length form a bucket:
@@ -78,7 +89,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = WINDOW, end_i
     sequences are numbered by hash partition, so ids are unique and one hot
     document or source doesn't gather in one task."""
     levels = window.bit_length()
-    got = docs.select("doc_id", pieces_column(ranks_path, window, end_id)("text").alias("__p"))
+    got = docs.select("doc_id", pieces_column(ranks_path, window, end_id, special)("text").alias("__p"))
     flat = got.select("doc_id", F.explode("__p").alias("__p"),
                       F.aggregate("__p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("doc_tokens"))
     flat = flat.select("doc_id", "__p.start", "__p.length", "__p.ids_crc32", "doc_tokens",

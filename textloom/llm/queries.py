@@ -34,6 +34,9 @@ def tokenizer_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: Added tokens of ``byte_bpe_50k.json``, matched inside texts.
+SPECIAL_TOKENS = {"<|endoftext|>": 50256}
+
 #: Sources of the tree's top level; all others are "web".
 CURATED = ("src1", "src2", "src3", "src4")
 REFERENCE = ("src5", "src6", "src7")
@@ -157,7 +160,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op7_power_of_two_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_ranks())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_ranks(), special=SPECIAL_TOKENS)
 
 
 @_query("op8_hierarchical_mixture")
