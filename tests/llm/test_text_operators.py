@@ -89,6 +89,25 @@ def test_pii_terms_that_disclose_are_removed(spark):
     assert clean[0] == texts[0] and "Quorlund" not in clean[60] and clean[60].endswith("[EMAIL]")
 
 
+def test_pii_terms_far_from_the_mention_and_repeated(spark):
+    """A term is counted and removed in the whole document, not in a window round the mention."""
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    say = lambda k: " ".join(rng.choices(words, k=k))
+    texts = [f"{say(30)} tail{i}" for i in range(60)]
+    texts += [f"Quorlund {say(300)} 😀 {say(4)}{i} kim@corp.example.org {say(200)} QUORLUND, {say(90)} quorlund" for i in range(5)]
+    texts += [f"Vexmoor {say(20)} 10.0.0.{i} pat@x.example.org, {'-' * 3000} {say(80)} 1.2.3.999 Vexmoor" for i in range(5)]
+    rows = [*enumerate(texts), (60, texts[60]), (None, texts[61])]      # a repeated row, a null id
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, sorted((s.start, s.end) for s in r.spans if s.kind == "remove"), [s for s in r.spans if s.kind == "generalise"])
+           for r in pii.sanitise_spans(docs).collect()]
+    of = lambda t: [m.span() for m in re.finditer("(?i)quorlund|vexmoor", t)]
+    key = lambda x: (x[0] is None, x[0] or 0)
+    assert sorted(got, key=key) == sorted(((i, of(t), []) for i, t in rows), key=key)
+    clean = pii.sanitise(docs).collect()
+    assert len(clean) == len(rows) and not [r for r in clean if re.search("(?i)quorlund|vexmoor", r.text)]
+
+
 def test_pii_disclosure_formula(spark):
     """The ratio equals a count by hand."""
     from math import log

@@ -1,23 +1,24 @@
 """Information-theoretic sanitisation of personal data.
 
-Base findings (e-mail, ip, card, phone) are the protected entities. The words near
-their mentions are terms, and the corpus tells how strongly a term reveals an
-entity. With N documents, n(c) with the entity, n(t) with the term and n(t, c) with
-the term near a mention of the entity, the term discloses
+Base findings (e-mail, ip, card, phone) are the protected entities. The words of
+the documents that mention them are terms, and the corpus tells how strongly a term
+reveals an entity. With N documents, n(c) with the entity, n(t) with the term and
+n(t, c) with both, wherever they stand in the document, the term discloses
 
     PMI(t; c) / IC(c) = 1 - log(n(t) / n(t, c)) / log(N / n(c))
 
-of the entity's information: 1 if the term occurs only near the entity, about 0 if
+of the entity's information: 1 if the term occurs only with the entity, about 0 if
 it is independent of it. Terms at ``generalise_at`` or more are generalised to a
-class, terms at ``remove_at`` or more are removed, where they stand near a mention
-of that entity. The estimate needs ``support`` distinct contexts and documents, so copies of one
-text are no evidence and a word seen once is not taken for a disclosure. Texts
-without a mention are left as they are.
+class, terms at ``remove_at`` or more are removed, at every place in the documents that
+mention that entity. The estimate needs ``support`` documents in which the contexts of
+the entity differ, so copies of one text are no evidence and a word seen once is not
+taken for a disclosure. Texts without a mention are left as they are.
 
 Everything is DataFrame and SQL functions. Places come from the lengths of matches
 and of the stretches between them; patterns use possessive quantifiers, so a long run
 of digits or letters costs linear time and no stack. A context is up to ``REACH``
-code points on each side of a mention, ended by the next mention of its kind.
+code points on each side of a mention, ended by the next match of its kind; it only
+tells copies apart and limits no term.
 
 Defined cases: null text counts as empty; repeated rows give repeated results; rows
 with one doc_id and different texts are told apart by their texts; an entity in all
@@ -46,8 +47,8 @@ PATTERNS = {
 #: Code points of context on each side of a mention.
 REACH = 160
 _CHUNK = 128
-#: Words of a context; addresses and numbers are matched first and are no terms.
-_TOKEN = rf"[{_LOCAL}]+@[A-Za-z0-9.-]+|\+?[0-9][0-9.()-]*|\p{{L}}[\p{{L}}\p{{M}}]*"
+#: Words of a text; addresses and numbers are matched first and are no terms.
+_TOKEN = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9.-]+|\+?[0-9][0-9.()-]*|\p{{L}}[\p{{L}}\p{{M}}]*"
 
 
 def _once(df: DataFrame, **cols: Column) -> DataFrame:
@@ -55,6 +56,23 @@ def _once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _chunk_totals(w: Column) -> Column:
+    """The running total before each chunk of ``_CHUNK`` elements."""
+    chunks = F.when(F.size(w) > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(w) - 1) / _CHUNK).cast("int")),
+        lambda c: _total(F.slice(w, c * _CHUNK + 1, F.lit(_CHUNK)))))
+    return F.aggregate(F.coalesce(chunks, F.array().cast("array<bigint>")), F.array(F.lit(0).cast("long")),
+                       lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def _is_word(m: Column) -> Column:
+    return m.rlike(r"^\p{L}") & ~m.contains("@")
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -100,22 +118,12 @@ def base_findings(docs: DataFrame, reach: int = REACH) -> DataFrame:
     # running totals in two steps: over chunks, then within a chunk
     df = _once(df, **{f"w_{k}": F.zip_with(f"m_{k}", F.slice(f"g_{k}", 1, F.size(f"m_{k}")),
                                            lambda m, g: (F.length(m) + F.length(g)).cast("long")) for k in KINDS})
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-
-
-    def chunk_totals(k: str) -> Column:
-        w = F.col(f"w_{k}")
-        chunks = F.when(F.size(w) > 0, F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(w) - 1) / _CHUNK).cast("int")),
-            lambda c: total(F.slice(w, c * _CHUNK + 1, F.lit(_CHUNK)))))
-        return F.aggregate(F.coalesce(chunks, F.array().cast("array<bigint>")), F.array(F.lit(0).cast("long")),
-                           lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    df = _once(df, **{f"p_{k}": chunk_totals(k) for k in KINDS})
+    df = _once(df, **{f"p_{k}": _chunk_totals(F.col(f"w_{k}")) for k in KINDS})
 
     def spans(k: str) -> Column:
         def span(m: Column, i: Column) -> Column:
             w, g, at = F.col(f"w_{k}"), F.col(f"g_{k}"), F.floor(i / _CHUNK).cast("int")
-            start = (F.element_at(F.col(f"p_{k}"), at + 1) + total(F.slice(w, at * _CHUNK + 1, i - at * _CHUNK))
+            start = (F.element_at(F.col(f"p_{k}"), at + 1) + _total(F.slice(w, at * _CHUNK + 1, i - at * _CHUNK))
                      + F.length(F.element_at(g, i + 1)))
             left, right = F.element_at(g, i + 1), F.element_at(g, i + 2)
             return F.struct(
@@ -136,7 +144,8 @@ def base_findings(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def _terms(mentions: DataFrame) -> DataFrame:
-    """One row per word of a mention's context: doc_id, h, entity, ctx, term, start, end."""
+    """One row per word of a mention's context: doc_id, h, entity, ctx, term, start, end.
+    An estimate from contexts alone; ``sanitise_spans`` takes ``_document_terms``."""
     side = F.explode(F.array(F.struct(F.col("left").alias("c"), (F.col("start") - F.length("left")).alias("o")),
                              F.struct(F.col("right").alias("c"), F.col("end").alias("o"))))
     one = (mentions.withColumn("ctx", F.xxhash64("left", "right"))
@@ -150,25 +159,62 @@ def _terms(mentions: DataFrame) -> DataFrame:
             (F.element_at(acc, -1)["e"] + x["a"] + x["b"]).alias("e")))))
     one = _once(one, at=F.slice(ends, 2, F.size("m")))
     return (one.select("doc_id", "h", "entity", "ctx", "o", F.explode(F.arrays_zip("m", "at")).alias("x"))
-            .where(F.col("x.m").rlike(r"^\p{L}"))
-            .where(~F.col("x.m").contains("@"))
+            .where(_is_word(F.col("x.m")))
             .select("doc_id", "h", "entity", "ctx", F.lower("x.m").alias("term"),
                     (F.col("o") + F.col("x.at.s")).alias("start"), (F.col("o") + F.col("x.at.e")).alias("end")))
 
 
+def _entities(base: DataFrame) -> DataFrame:
+    """(entity, n_c) of every entity: the documents that mention it."""
+    return (base.select("doc_id", "h", F.explode("mentions").alias("x"))
+            .groupBy(F.col("x.entity").alias("entity")).agg(F.count_distinct("doc_id", "h").alias("n_c")))
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t) of every word: the rows that hold it."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{M}]+", -1))
+    return (docs.select(F.explode(words).alias("term")).where("term <> ''")
+            .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+
+
+def _document_terms(docs: DataFrame, base: DataFrame, counts: DataFrame, support: int = 3,
+                    generalise_at: float = 0.6, remove_at: float = 0.85) -> DataFrame:
+    """doc_id, h, entity, ctx, term: each word of a whole document with each entity that
+    the document mentions; ``ctx`` is a hash of all contexts of that entity there.
+
+    Left out are only pairs that cannot reach the threshold: n(t, c) is at most n(c),
+    so n(t) is at most n(c) (N / n(c)) ^ (1 - generalise_at) in those that do."""
+    n = F.broadcast(base.agg(F.count(F.lit(1)).alias("n")))          # one row
+    most = F.col("n_c") * F.pow(F.col("n") / F.col("n_c"), F.lit(1.0 - generalise_at)) * (1 + 1e-9)
+    able = (_entities(base).where(F.col("n_c") >= support).withColumn("one", F.lit(1))
+            .join(n.withColumn("one", F.lit(1)), "one").where("n > n_c").select("entity", most.alias("most")))
+    x = F.explode("mentions").alias("x")
+    held = (base.select("doc_id", "h", x).select("doc_id", "h", "x.entity", F.xxhash64("x.left", "x.right").alias("c"))
+            .groupBy("doc_id", "h", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("c"))).alias("ctx"))
+            .join(able, "entity").groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2"))
+            .agg(F.collect_list(F.struct("entity", "ctx", "most")).alias("held")))
+    texts = _with_hash(docs).join(held, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
+    found = F.transform(F.filter(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), _is_word), F.lower)
+    texts = _once(texts.select("doc_id", "h", "text", "held"), words=F.array_distinct(found))
+    pairs = (texts.select("doc_id", "h", "held", F.explode("words").alias("term"))
+             .select("doc_id", "h", "term", F.inline("held")))
+    return (pairs.join(counts, "term").where(F.col("n_t") <= F.col("most"))
+            .select("doc_id", "h", "entity", "ctx", "term"))
+
+
+def _with_hash(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+
 def disclosures(docs: DataFrame, base: DataFrame, terms: DataFrame, support: int = 3,
-                generalise_at: float = 0.6, remove_at: float = 0.85) -> DataFrame:
+                generalise_at: float = 0.6, remove_at: float = 0.85, counts: DataFrame | None = None) -> DataFrame:
     """(entity, term, action, disclosure) of every term at or above the lower threshold."""
-    entities = (base.select("doc_id", "h", F.explode("mentions").alias("x"))
-                .groupBy(F.col("x.entity").alias("entity")).agg(F.count_distinct("doc_id", "h").alias("n_c")))
     pairs = (terms.groupBy("entity", "term")
              .agg(F.count_distinct("doc_id", "h").alias("n_tc"), F.count_distinct("ctx").alias("s"))
              .where((F.col("s") >= support) & (F.col("n_tc") >= support)))
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{M}]+", -1))
-    df = (docs.select(F.explode(words).alias("term")).where("term <> ''")
-          .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    df = _word_counts(docs) if counts is None else counts
     n = F.broadcast(base.agg(F.count(F.lit(1)).alias("n")))          # one row
-    got = (pairs.join(df, "term").join(entities, "entity").withColumn("one", F.lit(1))
+    got = (pairs.join(df, "term").join(_entities(base), "entity").withColumn("one", F.lit(1))
            .join(n.withColumn("one", F.lit(1)), "one"))
     # a repeated row counts in n(t) and not in n(t, c), so the ratio is at most 1
     part = 1 - F.log(F.greatest(F.col("n_t") / F.col("n_tc"), F.lit(1.0))) / F.log(F.col("n") / F.col("n_c"))
@@ -177,19 +223,43 @@ def disclosures(docs: DataFrame, base: DataFrame, terms: DataFrame, support: int
                     .otherwise("generalise").alias("action")))
 
 
+def _occurrences(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """d2, h2 and ``more``: the spans of every occurrence of the terms that are told for a
+    document, from rows (doc_id, h, term, action), in the whole text."""
+    per = (told.groupBy("doc_id", "h", "term").agg(F.max("action").alias("kind"))   # remove > generalise
+           .groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2"))
+           .agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")))
+    df = _with_hash(docs).join(per, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
+    df = _once(df.select("d2", "h2", "text", "kinds"), m=F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)),
+               g=F.split("text", _TOKEN, -1))
+    df = _once(df, w=F.zip_with("m", F.slice("g", 1, F.size("m")), lambda m, g: (F.length(m) + F.length(g)).cast("long")))
+    df = _once(df, p=_chunk_totals(F.col("w")))
+    df = _once(df, hits=F.filter(F.transform("m", lambda m, i: F.struct(
+        i.alias("i"), F.when(_is_word(m), F.element_at("kinds", F.lower(m))).alias("kind"))),
+        lambda x: x["kind"].isNotNull()))
+
+    def span(x: Column) -> Column:
+        i = x["i"]
+        at = F.floor(i / _CHUNK).cast("int")
+        start = (F.element_at("p", at + 1) + _total(F.slice("w", at * _CHUNK + 1, i - at * _CHUNK))
+                 + F.length(F.element_at("g", i + 1)))
+        return F.struct(x["kind"].alias("kind"), start.alias("start"),
+                        (start + F.length(F.element_at("m", i + 1))).alias("end"))
+    return df.select("d2", "h2", F.sort_array(F.transform("hits", span)).alias("more")).dropDuplicates(["d2", "h2"])
+
+
 def sanitise_spans(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, ``h``, ``n_<kind>``, ``base`` and ``spans`` (base, then terms by action and
     start) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     base = materialize(base_findings(docs))
-    terms = _terms(base.select("doc_id", "h", F.explode("mentions").alias("x")).select("doc_id", "h", "x.*"))
-    told = disclosures(docs, base, terms, **settings)
-    hits = (terms.join(told, ["entity", "term"]).groupBy("doc_id", "h", "start", "end")
-            .agg(F.max("action").alias("kind"))                      # remove > generalise
-            .groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("more")))
-    hits = hits.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "more")
+    counts = materialize(_word_counts(docs))
+    terms = materialize(_document_terms(docs, base, counts, **settings))
+    told = disclosures(docs, base, terms, counts=counts, **settings)
+    hits = _occurrences(docs, terms.join(told, ["entity", "term"]))
     out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("h").eqNullSafe(F.col("h2")), "left")
-    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))
+    clear = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", clear))
     return out.select("doc_id", "h", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"))
 
 
