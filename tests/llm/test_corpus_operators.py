@@ -337,6 +337,18 @@ def test_audit_finds_planted_faults(spark):
     assert {r.status for r in warc.audit(a, a.limit(0)).collect()} == {"missing"} and warc.audit(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_audit_reaches_records_without_an_offset(spark):
+    cols = "file string, no long, offset long, payload string"
+    rows = [("f", i, i * 100, f"record {i}") for i in range(200)] + [("f", 200 + i, None, f"record {200 + i}") for i in range(5)]
+    rows += [("g", i, None, f"lone {i}") for i in range(3)] + [(None, None, None, "bare")]
+    bad = {("f", 201): "corrupt", ("f", 203): "missing", ("f", 7): "corrupt", ("g", 1): "corrupt", ("", None): "corrupt", ("h", 0): "extra"}
+    copy = [(f, n, o, "!" if bad.get((f or "", n)) == "corrupt" else p) for f, n, o, p in rows if bad.get((f or "", n)) != "missing"]
+    a, b = spark.createDataFrame(rows, cols), spark.createDataFrame(copy + [("h", 0, None, "new")], cols)
+    for fanout in (3, 16):
+        got = warc.audit(a, b, range_bytes=300, fanout=fanout).collect()
+        assert {(r.file, r.no): r.status for r in got} == bad and len(got) == len(bad)
+
+
 # --- preference pairs ----------------------------------------------------------------
 
 def test_pairs(spark):

@@ -10,7 +10,8 @@ aggregate. Only the record hashes touch the payloads.
 
 Group sizes are bounded: a range by its bytes, a node by the fan-out, a bucket of
 names by the hash. Defined cases: null payloads are hashed as empty; a null file name
-is a file of its own; rows repeated whole count once, and several rows with one record
+is a file of its own; records of a file without an offset form a range of their own,
+below nodes of their own up to the file; rows repeated whole count once, and several rows with one record
 number are hashed together in order; empty replicas have no root, so everything in the
 other one is missing or extra.
 """
@@ -89,7 +90,7 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
     for level, parent in reversed(levels):
         if bad is not None:                      # only the children of nodes that differ
             above = bad.select(*[F.col(p.removeprefix("p_")).alias(f"__{p}") for p in parent])
-            level = level.join(above, reduce(and_, [F.col(p) == F.col(f"__{p}") for p in parent]), "left_semi")
+            level = level.join(above, reduce(and_, [F.col(p).eqNullSafe(F.col(f"__{p}")) for p in parent]), "left_semi")
         bad = level.where(~F.col("expected").eqNullSafe(F.col("found")))
     status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").otherwise("corrupt")
     return bad.select("file", "no", "offset", status.alias("status"), "expected", "found")
