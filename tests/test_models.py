@@ -17,6 +17,22 @@ def test_forest_ranks_better_than_chance(spark):
     assert scored.where(ML.probability_of().between(0, 1)).count() == data.count()
 
 
+def test_grid_search_query_covers_the_reference_grid(spark, monkeypatch):
+    """The settings that reach the cross-validator (which is not fitted here)."""
+    from itertools import product
+    from types import SimpleNamespace
+    seen = {}
+
+    def fit(cv, data):
+        seen["settings"] = [{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()]
+        seen["folds"] = cv.getNumFolds()
+        return SimpleNamespace(avgMetrics=[0.5] * len(seen["settings"]))
+    monkeypatch.setattr(ML.CrossValidator, "fit", fit)
+    assert QUERIES["ml_grid_search"](spark, SF).count() == 72 and seen["folds"] == 5
+    got = {(s["numTrees"], s["maxDepth"], s["featureSubsetStrategy"], s["impurity"]) for s in seen["settings"]}
+    assert got == set(product((50, 200, 500), (4, 6, 8, 10, 15, 20), ("sqrt", "log2"), ("gini", "entropy")))
+
+
 def test_word_vectors_train_over_several_parts(spark):
     docs = spark.createDataFrame([(["red", "green", "blue"] * 20,), (["cat", "dog", "cow"] * 20,)] * 20, "tokens array<string>")
     model = ML.word2vec(docs, min_count=1, size=16, max_iter=5, num_partitions=4)
