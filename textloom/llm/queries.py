@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, chat, mixing, ngram_join, packing, pii, rules, secrets, sharding, warc
+from textloom.llm import (ann, chat, langid, lexical, mixing, ngram_join, packing, pii, rules, secrets, sharding, warc,
+                          whitening)
 from textloom.llm.common import span_text, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +187,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query("op11_spectrum_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_kneser_ney_language")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose hash of the id leaves 2 are held out, the others teach."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = docs.withColumn("held_out", F.coalesce(fold == 2, F.lit(False)))
+    got = langid.identify(docs, fold != 2)
+    return got.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
+
+
+_SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d1 AS (SELECT * FROM d WHERE len(ts) > 0),
+s AS (SELECT count(*) AS n, sum(len(ts)) AS l FROM d1),
+i AS (SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS k FROM i GROUP BY ALL),
+p AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d1),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(s.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM f, s GROUP BY term),
+c AS (SELECT r, doc_id, f.term, w * ((1000000000 * tf) // (1000 * tf + 12 * CAST(75 + (25 * f.n * s.n) // s.l AS BIGINT))) AS c
+      FROM f JOIN w USING (term), s),
+t AS (SELECT item_id, r, doc_id, CAST(sum(k * c) AS BIGINT) AS score FROM q JOIN c USING (term) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM t WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20"""
+
+
+@_query("op13_geometric_block_search", _SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
