@@ -38,6 +38,8 @@ SCALE, SHIFT = 64, 1_000_000
 LARGEST = float(2 ** 40)
 #: Components with less of the trace than this are rounding.
 LEAST = 1e-12
+#: Distinct vectors in a partition of the fit list, far more than it has sums.
+FIT_ROWS = 100_000
 _ALPHA = (1 + 17 ** 0.5) / 8
 
 
@@ -191,6 +193,7 @@ def whiten(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", c
         return none
     d = some["d"]
     fit = materialize(rows.groupBy("x").agg(F.count(F.lit(1)).alias("k")).select("x"))
+    fit = fit.coalesce(max(1, -(-fit.count() // FIT_ROWS)))          # d^2 / 2 sums a partition
     sums = _summed(fit, d, lambda x: np.append(x.sum(0), len(x)), "long")
     n, total = int(sums[d]), [int(sums[i]) for i in range(d)]
     middle = np.array([(2 * s + n) // (2 * n) for s in total], dtype=np.int64)       # the rounded mean
