@@ -90,7 +90,9 @@ def pack_documents(docs: DataFrame, ranks_path: str, window: int = WINDOW, end_i
     document or source doesn't gather in one task."""
     levels = window.bit_length()
     got = docs.select("doc_id", pieces_column(ranks_path, window, end_id, special)("text").alias("__p"))
-    flat = got.select("doc_id", F.explode("__p").alias("__p"),
+    # the outer form: Spark adds a filter on the pieces below a plain explode, and with it
+    # a second evaluation of the tokenizer (a document has at least its end id)
+    flat = got.select("doc_id", F.explode_outer("__p").alias("__p"),
                       F.aggregate("__p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("doc_tokens"))
     flat = flat.select("doc_id", "__p.start", "__p.length", "__p.ids_crc32", "doc_tokens",
                        F.pmod(F.xxhash64("doc_id", "__p.start", "__p.ids_crc32"), F.lit(n_buckets)).alias("__b"))
