@@ -1,16 +1,17 @@
 """Best-fit-decreasing bin packing of indivisible groups into shards.
 
-Groups (equal texts) must stay whole. Their sizes are aggregated in Spark;
-groups larger than ``1 / granules`` of all bytes stay items of their own (there
-can be at most ``granules`` of them), and all smaller groups are merged by a hash
-of the group key into ``granules`` items. So the packer sees at most
-``2 * granules`` (item, bytes) pairs at any input size, and that list is all the
-driver ever holds. The items, largest first, enter the bin with the tightest
-remaining capacity that still fits, found in a balanced search tree.
+Groups (equal texts) must stay whole. Their total sizes are aggregated in Spark to runs,
+(size, number of groups of that size); that list, as long as there are distinct sizes, is
+all the driver holds, at any number of documents. The runs, largest first, enter bins
+through a balanced search tree: the bin with the tightest remaining capacity that still
+fits takes a group, and as it stays the tightest one, as many of the run as fit. That is
+best-fit decreasing on the groups one by one. A run gives its bins in stretches, and the
+groups of one size get theirs by their rank among them.
 
 Defined cases: null text counts as empty text; equal texts (and repeated rows)
 share a shard; a group larger than an even share gets a shard of its own, and the
-others are evened out among the remaining shards; an empty table gives no rows.
+others are evened out among the remaining shards; groups of one size are ranked by a
+hash of their text; very long texts are groups like others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialize, number_rows
-
-GRANULES = 4096
+from textloom.llm.common import materialize, number_rows, small_side
 
 
 class BinTree:
@@ -73,39 +72,55 @@ class BinTree:
         return first[0]
 
 
-def best_fit_decreasing(sizes: Sequence[int], capacity: int, max_bins: int | None = None
-                        ) -> list[int] | None:
-    """Bin of each item; None as soon as more than ``max_bins`` bins are needed or
-    an item exceeds the capacity. Ties in size keep the given order."""
-    bins, tree, n = [0] * len(sizes), BinTree(), 0
-    for i in sorted(range(len(sizes)), key=lambda j: -sizes[j]):
-        if sizes[i] > capacity:
+Run = tuple[int, int]
+
+
+def best_fit_decreasing(runs: Sequence[Run], capacity: int, max_bins: int | None = None
+                        ) -> list[list[Run]] | None:
+    """Stretches (groups, bin) of each run (size, groups); None as soon as more than
+    ``max_bins`` bins are needed or a group exceeds the capacity."""
+    out: list[list[Run]] = [[] for _ in runs]
+    tree, n = BinTree(), 0
+    for i in sorted(range(len(runs)), key=lambda j: -runs[j][0]):
+        size, left = runs[i]
+        if left and size > capacity:
             return None
-        hit = tree.pop_tightest(sizes[i])
-        if hit is None:
-            if max_bins is not None and n >= max_bins:
-                return None
-            hit, n = (capacity, n), n + 1
-        bins[i] = hit[1]
-        tree.insert((hit[0] - sizes[i], hit[1]))
-    return bins
-
-
-def pack_even(sizes: Sequence[int], n_bins: int) -> list[int]:
-    """Bins 0 .. n_bins-1 under the smallest fixed capacity for which best-fit
-    decreasing needs no more than ``n_bins``. Items above an even share of what is
-    left get a bin of their own first."""
-    order = sorted(range(len(sizes)), key=lambda j: -sizes[j])
-    out, used, left = [0] * len(sizes), 0, sum(sizes)
-    while order and used < n_bins - 1 and sizes[order[0]] * (n_bins - used) > left:
-        out[order[0]], used, left = used, used + 1, left - sizes[order[0]]
-        order = order[1:]
-    rest = [sizes[i] for i in order]
-    if not rest:
+        while left:
+            hit = tree.pop_tightest(size)
+            if hit is None:
+                if max_bins is not None and n >= max_bins:
+                    return None
+                hit, n = (capacity, n), n + 1
+            k = min(left, hit[0] // size) if size else left
+            out[i].append((k, hit[1]))
+            tree.insert((hit[0] - k * size, hit[1]))
+            left -= k
+    return out
+
+
+def pack_even(runs: Sequence[Run], n_bins: int) -> list[list[Run]]:
+    """Stretches in bins 0 .. n_bins-1 under a smallest fixed capacity for which best-fit
+    decreasing needs no more than ``n_bins``. Groups above an even share of what is left
+    get a bin of their own first."""
+    order = sorted(range(len(runs)), key=lambda j: -runs[j][0])
+    out: list[list[Run]] = [[] for _ in runs]
+    count = [c for _, c in runs]
+    used, left = 0, sum(s * c for s, c in runs)
+    for i in order:
+        while count[i] and used < n_bins - 1 and runs[i][0] * (n_bins - used) > left:
+            out[i].append((1, used))
+            used, left, count[i] = used + 1, left - runs[i][0], count[i] - 1
+        if count[i]:
+            break
+    rest = [(runs[i][0], count[i]) for i in order]
+    if not any(c for _, c in rest):
         return out
     k = n_bins - used
-    low, high = max(-(-left // k), rest[0]), max(left, 1)
-    best = best_fit_decreasing(rest, high, k)
+    low, step = max(-(-left // k), max(s for s, c in rest if c)), 1
+    high, best = low, best_fit_decreasing(rest, low, k)
+    while best is None:                          # an even share rarely fails by much
+        low, high, step = high + 1, high + step, 2 * step
+        best = best_fit_decreasing(rest, high, k)
     while low < high:
         mid = (low + high) // 2
         got = best_fit_decreasing(rest, mid, k)
@@ -113,12 +128,12 @@ def pack_even(sizes: Sequence[int], n_bins: int) -> list[int]:
             low = mid + 1
         else:
             best, high = got, mid
-    for i, b in zip(order, best):
-        out[i] = used + b
+    for i, stretches in zip(order, best):
+        out[i] += [(c, used + b) for c, b in stretches]
     return out
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, granules: int = GRANULES) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -126,18 +141,20 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, granules: int = GRANULES
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.md5(text.cast("binary")).alias("__g")))
-    rows = rows.withColumn("__m", F.pmod(F.xxhash64("__g"), F.lit(granules)).cast("int"))
-    groups = rows.groupBy("__g", "__m").agg(F.sum("size").alias("__w"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    own = F.col("__w") * granules > total
-    items = (groups.groupBy(F.when(own, F.col("__g")).alias("g"), F.when(~own, F.col("__m")).alias("m"))
-             .agg(F.sum("__w").alias("w")).collect())     # at most 2 * granules rows
-    items.sort(key=lambda r: (r["g"] or "", -1 if r["m"] is None else r["m"]))
-    placed = list(zip(items, pack_even([r["w"] for r in items], n_shards)))
-    hot = spark.createDataFrame([(r["g"], b) for r, b in placed if r["g"] is not None], "__g string, __s1 int")
-    small = spark.createDataFrame([(r["m"], b) for r, b in placed if r["g"] is None], "__m int, __s2 int")
-    sharded = (rows.join(F.broadcast(hot), "__g", "left").join(F.broadcast(small), "__m", "left")
-               .withColumn("shard", F.coalesce("__s1", "__s2")))
-    numbered = number_rows(sharded.select("doc_id", "size", "text_crc32", "__g", "shard"),
+    groups = materialize(rows.groupBy("__g").agg(F.sum("size").alias("__w")))
+    runs = [(r["__w"], r["n"]) for r in groups.groupBy("__w").agg(F.count(F.lit(1)).alias("n")).orderBy("__w").collect()]
+    ends = []
+    for (size, _), stretches in zip(runs, pack_even(runs, n_shards)):
+        at, mine = 0, []
+        for k, b in stretches:
+            at += k
+            mine.append((at, b))
+        ends.append((size, mine))
+    bins = small_side(spark.createDataFrame(ends, "__w long, __b array<struct<end:long,bin:int>>"))
+    ranked = number_rows(groups, ["__w"], ["__g"], "__i").join(bins, "__w")
+    # the stretch that a rank falls in: the first one that ends above it
+    placed = ranked.select("__g", F.filter("__b", lambda b: b["end"] > F.col("__i"))[0]["bin"].alias("shard"))
+    sharded = rows.join(placed, "__g")
+    numbered = number_rows(materialize(sharded.select("doc_id", "size", "text_crc32", "__g", "shard")),
                            ["shard"], ["doc_id", "__g"], "slot")
     return numbered.select("doc_id", "size", "text_crc32", "shard", "slot")
