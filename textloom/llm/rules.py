@@ -24,11 +24,13 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BLANKS, materialize
+from textloom.llm.common import BLANKS, materialize, small_side
 
 SYMBOLS = "#*$%&|<>"
 #: Words in a repeat window.
 RUN = 5
+#: Up to so many labelled ids (8 bytes each) are broadcast to find their texts.
+LABELLED = 200_000
 
 
 # --- statistics --------------------------------------------------------------
@@ -224,7 +226,12 @@ def judge(docs: DataFrame, labels: DataFrame, **settings) -> tuple[DataFrame, li
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """Rows of ``docs`` that the base rule and the learned list keep, all columns as they are.
 
-    The rules are learned from a narrow table of statistics; the verdict is then an
-    expression on each row, so texts are scanned twice but never shuffled."""
-    _, rules = judge(docs, labels, **settings)
-    return (with_statistics(docs).where(~(base_failed() | rejects(rules))).select(*docs.columns))
+    The rules are learned from the statistics of labelled rows alone; the verdict is then an
+    expression on each row, in one scan of the texts."""
+    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__known")).distinct()
+    few = docs.select("doc_id", "text").join(small_side(materialize(known), LABELLED), F.col("doc_id") == F.col("__known"), "left_semi")
+    rules = learn_rules(materialize(with_statistics(few).drop("text")), labels, **settings)
+    # statistics by names that the table's own columns don't have
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text"))
+    kept = with_statistics(row).where(~(base_failed() | rejects(rules)))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
