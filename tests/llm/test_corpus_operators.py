@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -117,6 +117,32 @@ def test_signatures_meet_for_every_link():
         assert len(np.intersect1d(ngram_join.signatures(base), ngram_join.signatures(other))) or np.array_equal(base, other)
 
 
+def test_batches_join_nodes_that_share_a_signature():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        nodes, sigs = rng.integers(0, 60, 150) * 7 + 3, rng.integers(-80, 80, 150)
+        names, parts, sig, owner = ngram_join.join_batch(sigs, nodes)
+        up = {n: n for n in nodes.tolist()}
+        changed = True
+        while changed:
+            changed = False
+            for s in set(sigs.tolist()):
+                low = min(up[n] for n in nodes[sigs == s].tolist())
+                for n in nodes[sigs == s].tolist():
+                    changed |= up[n] != low
+                    up[n] = low
+        assert dict(zip(names.tolist(), parts.tolist())) == up
+        assert {s: up[nodes[sigs == s][0]] for s in sig.tolist()} == dict(zip(sig.tolist(), owner.tolist()))
+        assert len(set(sig.tolist())) == len(sig) == len(set(sigs.tolist()))
+
+
+def test_rows_without_id_meet_their_own_texts(spark):
+    rows = [(None, f"a text without id number {i} " * 3) for i in range(60)] * 2 + near_copies()
+    found = ngram_join.set_table(frame(spark, rows))
+    members = found.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("h").alias("h"))
+    assert ngram_join._with_sets(frame(spark, rows), members.select("doc_id", "h", "digest")).count() <= len(rows)
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(8)
     for _ in range(60):
@@ -277,47 +303,64 @@ def test_prefix_of_seeded_epochs(spark):
 
 # --- sharding --------------------------------------------------------------------
 
-def test_best_fit_equals_linear_scan():
+def _one_by_one(sizes, capacity):
+    left, bins = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(c, b) for b, c in enumerate(left) if c >= size]
+        if not fits:
+            left.append(capacity)
+            fits = [(capacity, len(left) - 1)]
+        b = min(fits)[1]
+        left[b] -= size
+        bins.append((size, b))
+    return Counter(bins)
+
+
+def test_best_fit_equals_one_group_at_a_time():
     rng = random.Random(7)
-    for _ in range(50):
-        sizes = [rng.randrange(1, 50) for _ in range(rng.randrange(1, 60))]
-        left, want = [], [0] * len(sizes)
-        for i in sorted(range(len(sizes)), key=lambda j: -sizes[j]):
-            fits = [(c, b) for b, c in enumerate(left) if c >= sizes[i]]
-            if not fits:
-                left.append(60)
-                fits = [(60, len(left) - 1)]
-            want[i] = min(fits)[1]
-            left[want[i]] -= sizes[i]
-        assert sharding.best_fit_decreasing(sizes, 60) == want
-    assert sharding.best_fit_decreasing([5, 70], 60) is None
+    for case in range(60):
+        sizes = [rng.randrange(1, 50) for _ in range(rng.randrange(1, 60 if case else 100_000))]
+        runs = sorted(Counter(sizes).items())
+        capacity = 60 if case else sum(sizes) // 8 + 40
+        got = Counter()
+        for (size, n), stretches in zip(runs, sharding.best_fit_decreasing(runs, capacity)):
+            assert sum(k for k, _ in stretches) == n
+            for k, b in stretches:
+                got[size, b] += k
+        assert got == _one_by_one(sizes, capacity)
+    assert sharding.best_fit_decreasing([(5, 1), (70, 1)], 60) is None
+    assert sharding.best_fit_decreasing([(30, 5)], 60, 2) is None
 
 
 def test_even_packing_with_an_oversize_group():
-    bins = sharding.pack_even([5000] + [10] * 700, 8)
-    totals = [sum(s for s, b in zip([5000] + [10] * 700, bins) if b == k) for k in range(8)]
-    assert sorted(totals)[-1] == 5000 and max(sorted(totals)[:-1]) - min(totals) <= 10
-    assert sharding.pack_even([], 8) == [] and set(sharding.pack_even([3], 8)) == {0}
+    out = sharding.pack_even([(5000, 1), (10, 700)], 8)
+    totals = Counter()
+    for size, stretches in zip((5000, 10), out):
+        for k, b in stretches:
+            totals[b] += size * k
+    most = sorted(totals.values())
+    assert most[-1] == 5000 and most[-2] - most[0] <= 10 and len(most) == 8
+    assert sharding.pack_even([], 8) == [] and sharding.pack_even([(3, 1)], 8) == [[(1, 0)]]
+    assert sharding.pack_even([(9, 3)], 8) == [[(1, 0), (1, 1), (1, 2)]]
 
 
 def test_shards(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows += [(i, "copies of one text") for i in range(1000, 1100)] + [(2000, None), (2001, ""), (None, "x"), rows[0]]
-    for granules in (4096, 16):
-        got = sharding.shard_documents(frame(spark, rows, "shard"), 8, granules).toPandas()
-        assert len(got) == len(rows)
-        text = defaultdict(set)
-        by = {(d if d is not None else -1): t for d, t in rows}
-        for r in got.itertuples():
-            t = by[-1 if r.doc_id != r.doc_id else int(r.doc_id)] or ""
-            assert r.size == len(t.encode()) + 1 and r.text_crc32 == zlib.crc32(t.encode())
-            text[t].add(r.shard)
-        assert all(len(s) == 1 for s in text.values())
-        for _, g in got.groupby("shard"):
-            assert sorted(g.slot) == list(range(len(g)))
-        if granules == 4096:
-            per = got.groupby("shard")["size"].sum()
-            assert len(per) == 8 and per.max() - per.min() <= 0.05 * per.mean()
+    rows += [(i, f"small {i}") for i in range(3000, 9000)] + [(9000, "long " * 100_000)]
+    got = sharding.shard_documents(frame(spark, rows, "shard"), 8).toPandas()
+    assert len(got) == len(rows)
+    text = defaultdict(set)
+    by = {(d if d is not None else -1): t for d, t in rows}
+    for r in got.itertuples():
+        t = by[-1 if r.doc_id != r.doc_id else int(r.doc_id)] or ""
+        assert r.size == len(t.encode()) + 1 and r.text_crc32 == zlib.crc32(t.encode())
+        text[t].add(r.shard)
+    assert all(len(s) == 1 for s in text.values())
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    per = got.groupby("shard")["size"].sum().sort_values()
+    assert len(per) == 8 and per.iloc[-1] == 500_001 and per.iloc[-2] - per.iloc[0] <= 20
     assert sharding.shard_documents(frame(spark, [])).count() == 0
 
 

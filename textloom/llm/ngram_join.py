@@ -8,8 +8,10 @@ documents link when 100 * intersection >= 85 * union.
    sets that link share all but D(|r|) grams of r, and the D + 1 smallest grams of
    each must meet. Equal sets have one node. Nodes that share a gram form candidate
    groups (connected components); a group holds every partner of its members, while
-   passages that many texts share rarely fill three neighbouring hashes alike. Large
-   groups are split by grams of other hash orders.
+   passages that many texts share rarely fill three neighbouring hashes alike. Tasks
+   join the nodes of a batch first, so a gram leaves a batch once and a node has one
+   link there, however many copies or near copies a batch holds. Large groups are split
+   by grams of other hash orders.
 2. Search. In a group, the sets of one block are an inverted index and others query
    it. A query needs at least T = ceil(0.85 |r|) common shingles with any partner.
    DivideSkip leaves the L longest lists out, heap-merges the short ones, skipping ids
@@ -18,7 +20,7 @@ documents link when 100 * intersection >= 85 * union.
 3. Components of the links.
 
 Only connections matter, so a query that is already connected with an id passes over
-it. Groups above ``block`` sets are cut: all members query a hash-chosen pivot block
+it. Groups above a block (``block`` sets, ``SHINGLES`` shingles) are cut: all members query a hash-chosen pivot block
 first, in parallel chunks. Only where a group is still in several parts are the sets
 outside its largest part indexed in further blocks, with pairs inside one part
 skipped. No pair between parts is left out, and no task holds more than two blocks.
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -50,12 +53,16 @@ from textloom.llm.graph import components
 PERCENT = 85
 #: Sets in an index block, and in a chunk of queries.
 BLOCK = 1500
+#: Shingles in a block, as its sets are held by one task.
+SHINGLES = 2_000_000
+#: Grams that a task joins at a time.
+GRAMS = 400_000
 #: Neighbouring hashes of a sorted set that make a gram.
 GRAM = 3
 #: Constant of DivideSkip's rule for the number of long lists.
 MU = 0.0085
-#: Up to so many ids (16 bytes each) are broadcast to find their texts.
-MANY_IDS = 1_000_000
+#: Up to so many ids (about 100 bytes each as a hash table) are broadcast to find their texts.
+MANY_IDS = 200_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -128,67 +135,114 @@ def signatures(s: np.ndarray, order: int = 0) -> np.ndarray:
     return np.partition(grams, most)[:most + 1]
 
 
-def _arrow(batches, make):
-    for b in batches:
-        got = make(b.column("doc_id"), b.column("text").to_pylist())
-        if got is not None:
-            yield pa.RecordBatch.from_arrays(*got)
-
-
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, ``n`` (set size) and ``digest`` (null for an empty set) of every row."""
+    """doc_id, ``h`` (hash of the text), ``n`` (set size) and ``digest`` (null for an empty
+    set) of every row."""
     def run(batches):
-        def make(ids, texts):
-            sets = [(len(s), digest(s)) for s in shingle_sets(texts)]
-            return [ids, pa.array([n for n, _ in sets], pa.int64()), pa.array([d for _, d in sets], pa.string())], ["doc_id", "n", "digest"]
-        yield from _arrow(batches, make)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest string")
+        for b in batches:
+            sets = [(len(s), digest(s)) for s in shingle_sets(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("h"), pa.array([n for n, _ in sets], pa.int64()),
+                 pa.array([d for _, d in sets], pa.string())], ["doc_id", "h", "n", "digest"])
+    return _keyed(docs).mapInArrow(run, "doc_id long, h long, n long, digest string")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells rows of one doc_id, or of none, apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+
+
+def join_batch(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes joined where they share a signature: distinct nodes and the least node of
+    their part, and distinct signatures with the part that has them."""
+    names, at = np.unique(nodes, return_inverse=True)
+    order = np.lexsort((at, sigs))
+    sigs, at = sigs[order], at[order]
+    starts = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
+    counts = np.diff(np.append(starts, len(sigs)))
+    part = np.arange(len(names))
+    shared = np.repeat(counts > 1, counts)       # the others join nothing
+    some = at[shared]
+    first = np.append(0, np.cumsum(counts[counts > 1]))[:-1]
+    while len(some):
+        least = np.repeat(np.minimum.reduceat(part[some], first), counts[counts > 1])
+        new = part.copy()
+        np.minimum.at(new, part[some], least)    # a part moves as a whole
+        new = new[new]
+        if np.array_equal(new, part):
+            break
+        part = new
+    return names, names[part], sigs[starts], names[part[at[starts]]]
 
 
 def candidate_groups(texts: DataFrame, order: int = 0) -> DataFrame:
     """(node, grp): nodes that share a signature, by connected group; ``texts`` has text
     and ``old``, a group from before within which signatures must meet."""
+    def flush(sigs, nodes):
+        names, parts, sig, owner = join_batch(np.concatenate(sigs), np.concatenate(nodes))
+        own = names != parts
+        n = int(own.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(sig, np.zeros(n, np.int64)), mask=np.append(np.zeros(len(sig), bool), np.ones(n, bool))),
+             pa.array(np.append(owner, names[own])),
+             pa.array(np.append(owner, parts[own]))], ["sig", "node", "part"])
+
     def run(batches):
+        sigs, nodes, held = [], [], 0
         for b in batches:
-            sigs, nodes = [], []
             for s, old in zip(shingle_sets(b.column("text").to_pylist()), b.column("old").to_pylist()):
                 g = signatures(s, order)
                 if len(g):
                     sigs.append((g ^ _mix(np.array([old], dtype=np.int64).view(np.uint64))).view(np.int64))
                     nodes.append(np.full(len(g), node_of(digest(s))))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-    rows = texts.select("old", "text").mapInArrow(run, "sig long, node long")
-    least = F.min("node").over(Window.partitionBy("sig"))
-    links = rows.withColumn("a", least).where("a < node").select("a", F.col("node").alias("b"))
+                    held += len(g)
+                    if held >= GRAMS:
+                        yield flush(sigs, nodes)
+                        sigs, nodes, held = [], [], 0
+        if sigs:
+            yield flush(sigs, nodes)
+
+    # a row with a signature, or without one a link inside a batch
+    rows = texts.select("old", "text").mapInArrow(run, "sig long, node long, part long")
+    least = F.when(F.col("sig").isNull(), F.col("part")).otherwise(F.min("node").over(Window.partitionBy("sig", F.when(
+        F.col("sig").isNull(), F.col("node")))))
+    met = materialize(rows.withColumn("least", least).where("least < node").select("node", "least").distinct())
+    # one link a node, to the least it meets; the others it meets are linked to that one
+    first = met.groupBy("node").agg(F.min("least").alias("first"))
+    others = met.join(first, "node").where("first < least").select(F.col("least").alias("a"), F.col("first").alias("b")).distinct()
+    links = first.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(others)
     return components(links).select("node", F.col("component").alias("grp"))
 
 
 def candidates(docs: DataFrame, table: DataFrame, block: int) -> DataFrame:
-    """(doc_id, digest, grp, g): the sets that have candidates, one row each with a
-    doc_id that holds it, their group and its size.
+    """(doc_id, h, digest, grp, g, cuts): the sets that have candidates, one row each with a
+    row that holds it, their group, its size and the blocks it fills.
 
     Among very many sets, chance meetings chain strangers to one large group. Linked
-    sets meet in any hash order, so groups above ``block`` are split by signatures of
+    sets meet in any hash order, so groups above a block are split by signatures of
     further orders, as long as that makes them smaller."""
-    classes = (table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    classes = (table.where("digest is not null").groupBy("digest")
+               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("r"), F.max("n").alias("n"))
+               .select("digest", "r.doc_id", "r.h", "n")
                .withColumn("node", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")))
 
     def sized(groups: DataFrame) -> DataFrame:
-        of = classes.join(groups, "node").select("doc_id", "digest", "grp")
-        sizes = of.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-        return materialize(of.join(sizes, "grp"))
+        of = classes.join(groups, "node").select("doc_id", "h", "digest", "grp", "n")
+        cuts = F.ceil(F.greatest(F.col("g") / block, F.col("m") / SHINGLES)).cast("int")
+        sizes = (of.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("m")).where("g > 1")
+                 .select("grp", "g", cuts.alias("cuts")))
+        return materialize(of.drop("n").join(sizes, "grp"))
 
     found = sized(candidate_groups(docs.select(F.lit(0).cast("long").alias("old"), "text")))
     done, order, before = [], 0, None
     while True:
-        large = found.where(F.col("g") > block)
+        large = found.where("cuts > 1")
         n = large.count()
         if n == 0 or (before is not None and n > 0.9 * before):
             return reduce(DataFrame.unionByName, [*done, found])
-        done.append(found.where(F.col("g") <= block))
+        done.append(found.where("cuts <= 1"))
         before, order = n, order + 1
-        texts = _texts(docs, large.select("doc_id", F.col("grp").alias("old")).distinct())
+        texts = _texts(docs, large.select("doc_id", "h", F.col("grp").alias("old")))
         found = sized(candidate_groups(texts, order))
 
 
@@ -202,7 +256,7 @@ class InvertedIndex:
         order = np.argsort(tokens, kind="stable")
         self.tokens, self.starts = np.unique(tokens[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(tokens))
-        self.ids = owner[order].tolist()
+        self.ids = array("i", owner[order].astype(np.int32).tobytes())
 
     def search(self, query: np.ndarray, passed, after):
         """Ids that reach the overlap for a link with ``query``, in order.
@@ -321,7 +375,7 @@ def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], la
 
 
 def _links(docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """(a, b) digests found in the blocks of ``roles`` (doc_id, digest, block, asks,
+    """(a, b) digests found in the blocks of ``roles`` (doc_id, h, digest, block, asks,
     answers, label)."""
     def one(rows: list[tuple]) -> list[tuple[str, str]]:
         seen: dict[str, int] = {}
@@ -351,22 +405,22 @@ def _links(docs: DataFrame, roles: DataFrame) -> DataFrame:
             yield pd.DataFrame(one(rows), columns=["a", "b"])
 
     roles = materialize(roles)
-    sets = _with_sets(docs, roles.select("doc_id", "digest").distinct())
-    placed = sets.join(small_side(roles.drop("doc_id"), MANY_IDS), "digest")
+    sets = _with_sets(docs, roles.select("doc_id", "h", "digest").distinct())
+    placed = sets.join(small_side(roles.drop("doc_id", "h"), MANY_IDS), "digest")
     return (placed.repartition("block").sortWithinPartitions("block", "digest")
             .select("block", "asks", "answers", "label", "digest", "s").mapInPandas(run, "a string, b string"))
 
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` with the text of their doc_id."""
-    names = [c for c in members.columns if c != "doc_id"]
-    members = small_side(materialize(members), MANY_IDS)
-    return (docs.select(F.col("doc_id").cast("long").alias("d0"), "text")
-            .join(members, F.col("d0").eqNullSafe(F.col("doc_id"))).select("text", *names))
+    """``members`` (doc_id, h, ...) with the text of their row; repeated rows come again."""
+    names = [c for c in members.columns if c not in ("doc_id", "h")]
+    members = small_side(materialize(members.withColumnsRenamed({"doc_id": "__d", "h": "__h"})), MANY_IDS)
+    return (_keyed(docs).join(members, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__d")))
+            .select("text", *names))
 
 
 def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(digest, s) of ``members`` (doc_id, digest): the hashes of their sets."""
+    """(digest, s) of ``members`` (doc_id, h, digest): the hashes of their sets."""
     def run(batches):
         for b in batches:
             want = b.column("digest").to_pylist()
@@ -380,42 +434,42 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     empty set) of every row of ``docs`` (doc_id, text)."""
     table = materialize(set_table(docs))
     sized = candidates(docs, table, block)
-    cuts = F.ceil(F.col("g") / block).cast("int")
+    cuts = F.col("cuts")
     chunk = F.pmod(F.xxhash64(F.lit(1), "digest"), cuts).cast("int")
     pivot = F.pmod(F.xxhash64(F.lit(2), "digest"), cuts) == 0
     key = lambda *c: F.concat_ws(":", *[x.cast("string") for x in c])
     none = F.lit(None).cast("string").alias("label")
     # small groups: one block, all ask and answer; large ones: pivots answer in each chunk
-    asking = sized.select("doc_id", "digest", key(F.col("grp"), chunk).alias("block"), F.lit(True).alias("asks"),
+    asking = sized.select("doc_id", "h", "digest", key(F.col("grp"), chunk).alias("block"), F.lit(True).alias("asks"),
                           pivot.alias("answers"), none)
     pivots = (sized.where(pivot & (cuts > 1)).withColumn("c", F.explode(F.sequence(F.lit(0), cuts - 1)))
               .where(F.col("c") != chunk)
-              .select("doc_id", "digest", key(F.col("grp"), F.col("c")).alias("block"), F.lit(False).alias("asks"),
+              .select("doc_id", "h", "digest", key(F.col("grp"), F.col("c")).alias("block"), F.lit(False).alias("asks"),
                       F.lit(True).alias("answers"), none))
     links = materialize(_links(docs, asking.unionByName(pivots)))
     parts = components(links).select(F.col("node").alias("digest"), F.col("component").alias("part"))
-    large = sized.where(F.col("g") > block)
+    large = sized.where("cuts > 1")
     if not large.isEmpty():
-        links = materialize(links.unionByName(_second_pass(docs, large, parts, block, key)))
+        links = materialize(links.unionByName(_second_pass(docs, large, parts, key)))
         parts = components(links).select(F.col("node").alias("digest"), F.col("component").alias("part"))
     return table.join(parts, "digest", "left").select("doc_id", "n", "digest", F.coalesce("part", "digest").alias("part"))
 
 
-def _second_pass(docs: DataFrame, large: DataFrame, parts: DataFrame, block: int, key) -> DataFrame:
+def _second_pass(docs: DataFrame, large: DataFrame, parts: DataFrame, key) -> DataFrame:
     """Links between the parts into which the pivots left a large group."""
     at = materialize(large.join(parts, "digest", "left").withColumn("label", F.coalesce("part", "digest")).drop("part"))
     most = (at.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
             .groupBy("grp").agg(F.max(F.struct("k", "label")).alias("m"))
             .select("grp", F.col("m.k").alias("k"), F.col("m.label").alias("main")))
     open_ = at.join(most, "grp").where("k < g")
-    rows = F.ceil(F.col("g") / block).cast("int")
-    cols = F.ceil((F.col("g") - F.col("k")) / block).cast("int")
+    rows = F.col("cuts")
+    cols = F.ceil((F.col("g") - F.col("k")) * rows / F.col("g")).cast("int")
     me = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "digest"), n).cast("int")
     asks = (open_.withColumn("c", F.explode(F.sequence(F.lit(0), cols - 1)))
-            .select("doc_id", "digest", key(F.col("grp"), me(3, rows), F.col("c")).alias("block"),
+            .select("doc_id", "h", "digest", key(F.col("grp"), me(3, rows), F.col("c")).alias("block"),
                     F.lit(True).alias("asks"), F.lit(False).alias("answers"), "label"))
     answers = (open_.where("label <> main").withColumn("r", F.explode(F.sequence(F.lit(0), rows - 1)))
-               .select("doc_id", "digest", key(F.col("grp"), F.col("r"), me(4, cols)).alias("block"),
+               .select("doc_id", "h", "digest", key(F.col("grp"), F.col("r"), me(4, cols)).alias("block"),
                        F.lit(False).alias("asks"), F.lit(True).alias("answers"), "label"))
     return _links(docs, asks.unionByName(answers))
 
