@@ -1,11 +1,20 @@
 """Invariants of the trained models on the smallest tables."""
 
+from itertools import product
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from textloom.operators import forest_grid as FG
+from textloom.operators import metrics as MT
+
 from textloom.operators import models as ML
 from textloom.plans import QUERIES
 from textloom.plans.ml import labelled_docs
+from textloom.sources import io as IO
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,20 +26,48 @@ def test_forest_ranks_better_than_chance(spark):
     assert scored.where(ML.probability_of().between(0, 1)).count() == data.count()
 
 
-def test_grid_search_query_covers_the_reference_grid(spark, monkeypatch):
-    """The settings that reach the cross-validator (which is not fitted here)."""
-    from itertools import product
-    from types import SimpleNamespace
-    seen = {}
-
-    def fit(cv, data):
-        seen["settings"] = [{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()]
-        seen["folds"] = cv.getNumFolds()
-        return SimpleNamespace(avgMetrics=[0.5] * len(seen["settings"]))
-    monkeypatch.setattr(ML.CrossValidator, "fit", fit)
-    assert QUERIES["ml_grid_search"](spark, SF).count() == 72 and seen["folds"] == 5
-    got = {(s["numTrees"], s["maxDepth"], s["featureSubsetStrategy"], s["impurity"]) for s in seen["settings"]}
-    assert got == set(product((50, 200, 500), (4, 6, 8, 10, 15, 20), ("sqrt", "log2"), ("gini", "entropy")))
+def _features(spark, n_docs=200):
+    pipe = ML.tfidf_forest(vocab_size=400)
+    data = labelled_docs(spark, SF)
+    return pipe, Pipeline(stages=pipe.getStages()[:-1]).fit(data).transform(data).select("doc_id", "label", "features").cache()
+
+
+def test_cut_forest_scores_like_a_forest_of_that_size(spark, tmp_path):
+    pipe, feats = _features(spark)
+    rf = pipe.getStages()[-1]
+    whole = rf.copy({rf.numTrees: 40, rf.maxDepth: 12}).fit(feats)
+    nodes = FG.forest_nodes(spark, whole, str(tmp_path / "f"))
+    assert len(nodes.roots) == 40 and len(nodes.left) == whole.totalNumNodes
+    cuts = FG.score_cuts(feats, nodes, (15, 40), (3, 12), "label", "features").cache()
+    full = sorted((int(r.label), round(r.p, 9)) for r in whole.transform(feats).select(
+        "label", ML.probability_of().alias("p")).collect())
+    assert sorted((r.label, round(r.score, 9)) for r in cuts.where("setting = 3").collect()) == full
+    # a forest grown to the cut's size ranks as well, within sampling error
+    small = rf.copy({rf.numTrees: 15, rf.maxDepth: 3, rf.seed: 5}).fit(feats)
+    grown = MT.roc_auc(small.transform(feats).select("label", ML.probability_of().alias("score"))).first()["auc"]
+    cut = MT.roc_auc(cuts.where("setting = 0")).first()["auc"]
+    assert abs(grown - cut) < 0.1
+
+
+def test_cut_ends_are_pruned_like_a_shallow_tree():
+    """A tree of depth 2 whose right side predicts one class below the root."""
+    rows = pd.DataFrame({"tree": [0] * 7, "id": range(7), "left": [1, 2, -1, -1, 5, -1, -1], "right": [4, 3, -1, -1, 6, -1, -1],
+                         "feature": [3, 5, -1, -1, 3, -1, -1], "threshold": [.5, .5, -1, -1, 2, -1, -1],
+                         "stats": [[5, 5], [4, 1], [4, 0], [0, 1], [1, 4], [1, 3], [0, 1]]})
+    nodes = FG.Nodes(rows)
+    assert nodes.depth.tolist() == [0, 1, 2, 2, 1, 2, 2] and nodes.features.tolist() == [-1, 3, 5]
+    assert nodes.ends(2).tolist() == [False, False, True, True, True, True, True]
+    x = np.array([[0, 0, 1.0], [0, 1.0, 0], [0, 0, 0]])
+    assert nodes.scores(x, [1], [0, 1, 2]).tolist() == [[.5, .2, 1], [.5, .8, .8], [.5, .2, 0]]
+
+
+def test_grid_has_all_settings(spark):
+    pipe = ML.tfidf_forest(vocab_size=300)
+    grid = FG.grid_search(pipe, labelled_docs(spark, SF), lambda n: IO.scratch_path(spark, n), trees=(4, 9), depths=(2, 3, 5),
+                          folds=3, parallelism=4).collect()
+    assert {(r.trees, r.depth, r.subset, r.impurity) for r in grid} == set(
+        product((4, 9), (2, 3, 5), ("sqrt", "log2"), ("gini", "entropy"))) and len(grid) == 24
+    assert all(0 <= r.auc <= 1 for r in grid) and max(r.auc for r in grid) > 0.55
 
 
 def test_word_vectors_train_over_several_parts(spark):
