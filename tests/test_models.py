@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from textloom.operators import forest_grid as FG
 from textloom.operators import metrics as MT
 
 from textloom.operators import models as ML
+from textloom.operators import skipgram as SG
 from textloom.plans import QUERIES
 from textloom.plans.ml import labelled_docs
 from textloom.sources import io as IO
@@ -70,12 +72,46 @@ def test_grid_has_all_settings(spark):
     assert all(0 <= r.auc <= 1 for r in grid) and max(r.auc for r in grid) > 0.55
 
 
-def test_word_vectors_train_over_several_parts(spark):
-    docs = spark.createDataFrame([(["red", "green", "blue"] * 20,), (["cat", "dog", "cow"] * 20,)] * 20, "tokens array<string>")
-    model = ML.word2vec(docs, min_count=1, size=16, max_iter=5, num_partitions=4)
-    assert model.getNumPartitions() == 4
-    near = [r.word for r in model.findSynonyms("red", 2).collect()]
-    assert set(near) == {"green", "blue"}
+def _planted(spark):
+    rng = np.random.default_rng(1)
+    groups = [["red", "green", "blue", "pink"], ["cat", "dog", "cow", "hen"], ["one", "two", "six", "ten"]]
+    rows = [(i, rng.choice(groups[i % 3], 30).tolist() + ["the"] * 10) for i in range(90)]
+    return groups, spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_skip_gram_finds_planted_neighbours(spark, blocks):
+    groups, docs = _planted(spark)
+    settings = dict(min_count=5, size=12, passes=60 if blocks == 1 else 24, negative=3, sample=1.0, blocks=blocks, per_visit=12)
+    v = {r.word: np.array(r.vec) for r in SG.train(docs, **settings).collect()}
+    assert set(v) == {w for g in groups for w in g} | {"the"} and all(len(x) == 12 for x in v.values())
+    unit = {w: x / np.linalg.norm(x) for w, x in v.items()}
+    for g in groups:
+        for w in g:
+            near = sorted((x for x in unit if x not in (w, "the")), key=lambda x: -unit[w] @ unit[x])
+            assert set(near[:3]) == set(g) - {w}
+    again = {r.word: np.array(r.vec) for r in SG.train(docs.repartition(3), **settings).collect()}
+    assert all(np.allclose(v[w], again[w], atol=1e-5) for w in v)
+
+
+def test_skip_gram_pairs(spark):
+    docs = spark.createDataFrame([(1, list("abcab")), (2, ["a"]), (3, [])], "doc_id long, tokens array<string>")
+    words = spark.createDataFrame([("a", 1, 3), ("b", 2, 2), ("c", 3, 1)], "word string, id int, cnt long")
+    got = {(r.a, r.b): r.n for r in SG.pair_counts(docs, words, 1, 1e9, 7).collect()}
+    assert got == {(1, 2): 2, (2, 1): 2, (2, 3): 1, (3, 2): 1, (3, 1): 1, (1, 3): 1}
+    wide = SG.pair_counts(docs, words, 4, 1e9, 7).agg(F.sum("n")).first()[0]
+    assert 8 <= wide <= 20                       # pairs at distance k stay with (5 - k) / 4
+    many = spark.createDataFrame([(i, ["a", "b"] * 50) for i in range(50)], "doc_id long, tokens array<string>")
+    words = spark.createDataFrame([("a", 1, 2500), ("b", 2, 2500)], "word string, id int, cnt long")
+    thin = SG.pair_counts(many, words, 1, 0.02, 7).agg(F.sum("n")).first()[0]
+    assert 0.18 * 9900 < thin < 0.3 * 9900       # one in about four occurrences stays (sqrt(.04) + .04)
+    assert SG.train(docs, min_count=50).collect() == []
+
+
+def test_document_vectors_are_means(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "zz"]), (2, ["zz"])], "doc_id long, tokens array<string>")
+    vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "word string, vec array<double>")
+    assert [(r.doc_id, [round(x, 9) for x in r.vec]) for r in SG.document_vectors(docs, vec).collect()] == [(1, [round(2 / 3, 9), 1.0])]
 
 
 def test_lda_topics(spark):

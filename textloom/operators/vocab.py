@@ -42,19 +42,26 @@ def vocabulary(df: DataFrame, doc_col: str = "doc_id", tokens: str = "tokens",
     return ranked.unionByName(specials)
 
 
+def lookup(df: DataFrame, table: DataFrame, value: str, doc_col: str = "doc_id", tokens: str = "tokens",
+           out_col: str = "values") -> DataFrame:
+    """``(doc, out_col)``: the value of each token in ``table`` (word, value), null where it
+    has none. The occurrences of a word in a document are gathered first, so a joined row
+    is a distinct (document, word), however often a common word comes."""
+    at = positions(df, doc_col, tokens).groupBy(doc_col, "word").agg(F.collect_list("pos").alias("_at"))
+    j = at.join(table.select("word", F.col(value).alias("_value")), "word", "left")
+    placed = j.groupBy(doc_col).agg(F.flatten(F.collect_list(F.transform(
+        "_at", lambda p: F.struct(p.alias("pos"), F.col("_value").alias("v"))))).alias("_s"))
+    return placed.select(doc_col, F.transform(F.array_sort("_s", lambda x, y: x["pos"] - y["pos"]), lambda s: s["v"]).alias(out_col))
+
+
 def encode(df: DataFrame, vocab: DataFrame, doc_col: str = "doc_id", tokens: str = "tokens",
            out_col: str = "ids") -> DataFrame:
-    """Token to id lookup; a missing word gives ``<unk>``. explode + join on
-    word (AQE broadcasts the vocabulary when its runtime size is small,
-    else a shuffle join) + ordered regroup by document."""
+    """Token to id lookup; a missing word gives ``<unk>``. Documents without tokens keep
+    an empty array."""
     unk = vocab.where(F.col("word") == UNK).select(F.col("id").alias("_unk"))
-    p = positions(df, doc_col, tokens)
-    v = vocab.where(~F.col("word").isin(PAD, UNK)).select("word", F.col("id").alias("_id"))
-    j = with_one_row(p.join(v, "word", "left"), unk)
-    ids = j.groupBy(doc_col).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("_id", "_unk").alias("i")))).alias("_s"))
-    enc = ids.select(doc_col, F.transform("_s", lambda s: s["i"]).alias(out_col))
-    # documents with no tokens keep an empty array
+    v = vocab.where(~F.col("word").isin(PAD, UNK)).select("word", "id")
+    found = with_one_row(lookup(df, v, "id", doc_col, tokens, "_v"), unk)
+    enc = found.select(doc_col, F.transform("_v", lambda i: F.coalesce(i, F.col("_unk"))).alias(out_col))
     return df.select(doc_col).join(enc, doc_col, "left").select(
         doc_col, F.coalesce(out_col, F.array().cast("array<int>")).alias(out_col))
 
