@@ -9,6 +9,7 @@ from textloom.functions import text as T
 from textloom.functions.lexicon import stop_words
 from textloom.operators import topics as TP
 from textloom.operators.common import drop_stopwords, evaluate_once
+from textloom.operators.density import density_clusters
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.sources import tables as S
@@ -57,16 +58,56 @@ def q_diversity(spark, sf_dir):
     return TP.diversity(TP.top_words_per_topic(docs, "topic", "tokens", 10))
 
 
-@query("top_cluster_topics", sql=f"""WITH {ST_SQL},
-tf AS (SELECT topic, word, count(*) AS tf FROM (SELECT topic, unnest(tokens) AS word FROM st) GROUP BY topic, word),
+CTFIDF_SQL = """tf AS (SELECT topic, word, count(*) AS tf FROM (SELECT topic, unnest(tokens) AS word FROM st) GROUP BY topic, word),
 ft AS (SELECT word, sum(tf) AS ft FROM tf GROUP BY word),
 av AS (SELECT avg(w) AS a FROM (SELECT topic, sum(tf) AS w FROM tf GROUP BY topic)),
 w AS (SELECT tf.topic, tf.word, tf.tf * ln(1 + av.a / ft.ft) AS c FROM tf JOIN ft USING (word) CROSS JOIN av)
 SELECT topic, word, rank, round(c, 6) AS ctfidf FROM (
-  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY c DESC, word) AS rank FROM w) WHERE rank <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY c DESC, word) AS rank FROM w) WHERE rank <= 10"""
+#: Density clusters of the embeddings (5 neighbours, cut at the first decile of the core distances, 5
+#: vectors or more): the components of the graph of edges up to the cut.
+CLUSTERS_SQL = """nd AS (SELECT a.vec_id AS id, b.vec_id AS nbr, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nbr) AS r FROM nd) WHERE r <= 5),
+core AS (SELECT id, max(d) AS core FROM kn GROUP BY id),
+eg AS (SELECT DISTINCT least(id, nbr) AS a, greatest(id, nbr) AS b, d FROM kn),
+ew AS (SELECT eg.a, eg.b, greatest(d, ca.core, cb.core) AS w FROM eg JOIN core ca ON ca.id = eg.a JOIN core cb ON cb.id = eg.b),
+near AS (SELECT * FROM ew WHERE w <= (SELECT quantile_cont(core, 0.1) FROM core)),
+st2 AS (SELECT a AS x, b AS y FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT x, y FROM st2 UNION SELECT reach.x, st2.y FROM reach JOIN st2 ON reach.y = st2.x),
+part AS (SELECT x AS id, least(x, min(y)) AS cluster FROM reach GROUP BY x),
+clusters AS (SELECT id, cluster FROM part WHERE cluster IN (SELECT cluster FROM part GROUP BY cluster HAVING count(*) >= 5))"""
+
+
+def found_clusters(spark, sf_dir):
+    e = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return density_clusters(e, k=5, cut=F.percentile("core", 0.1), min_size=5)
+
+
+@query("top_cluster_topics", sql=f"""WITH RECURSIVE {CLUSTERS_SQL},
+st AS (SELECT cluster AS topic, tokens FROM clusters JOIN (
+  SELECT doc_id, {Q.remove_stopwords(Q.tokens('text'))} AS tokens FROM documents) d ON d.doc_id = clusters.id), {CTFIDF_SQL}""")
 def q_cluster_topics(spark, sf_dir):
-    """Words per class by class-based TF-IDF on a given label (language);
-    the clustering step is ``ml_kmeans_topics``."""
+    """Words of each density cluster of document vectors by class-based TF-IDF; the vector
+    of a document is the embedding with its id, where there is one."""
+    docs = stop_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "tokens")
+    found = found_clusters(spark, sf_dir).where("cluster is not null").withColumnRenamed("cluster", "topic")
+    return TP.class_tfidf(docs.join(found, "id"), "topic", "tokens", 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("top_cluster_sizes", sql=f"""WITH RECURSIVE {CLUSTERS_SQL}
+SELECT cluster, count(*) AS n, count(DISTINCT label) AS n_labels
+FROM embeddings LEFT JOIN clusters ON clusters.id = vec_id GROUP BY cluster""")
+def q_cluster_sizes(spark, sf_dir):
+    """Vectors and labels of each density cluster; null is noise."""
+    e = S.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return found_clusters(spark, sf_dir).join(e, "id").groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("n_labels"))
+
+
+@query("top_class_topics", sql=f"WITH {ST_SQL}, {CTFIDF_SQL}")
+def q_class_topics(spark, sf_dir):
+    """Words per given class (language) by class-based TF-IDF."""
     return TP.class_tfidf(stop_docs(spark, sf_dir), "topic", "tokens", 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
