@@ -65,3 +65,13 @@ def test_ordered_prefix_strings_and_groups(spark):
     for g in ("hot", "cold"):
         want = [i for i, gg, n in sorted(rows, key=lambda r: r[2]) if gg == g]
         assert [got[i] for i in want] == list(range(1, len(want) + 1))
+
+
+def test_merge_phrases_takes_every_second_of_a_run(spark):
+    from textloom.operators import vocab as V
+    rows = [(1, list("aaaab")), (2, list("xabab")), (3, []), (4, ["a"] * 50_001), (5, list("xyz"))]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    phrases = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b")], "a string, b string")
+    got = {r.doc_id: r.merged for r in V.merge_phrases(docs, phrases).collect()}
+    assert got[1] == ["a_a", "a_a", "b"] and got[2] == ["x", "a_b", "a_b"] and got[3] == [] and got[5] == list("xyz")
+    assert got[4] == ["a_a"] * 25_000 + ["a"]

@@ -6,11 +6,11 @@ distributed ``ordered_prefix`` (no single-partition window)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.common import materialize, with_one_row
+from textloom.operators.common import evaluate_once, materialize, with_one_row
 from textloom.operators.ordering import ordered_prefix
 
 PAD, UNK = "<pad>", "<unk>"
@@ -90,7 +90,8 @@ def top_terms(tf: DataFrame, max_features: int = 50000) -> DataFrame:
 
 
 def count_vectors(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Count vectors restricted to the fitted vocabulary (long form)."""
+    """Count vectors restricted to the fitted vocabulary (long form); one joined row for each
+    distinct term of a document."""
     return tf.join(vocab.select("term"), "term")
 
 
@@ -100,8 +101,8 @@ def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int | Column, doc_col: str =
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
     v = vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(doc_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, doc_col).select(doc_col, "term", "tf", (F.col("w") / F.col("_norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_col)))
+    return w.select(doc_col, "term", "tf", (F.col("w") / norm).alias("tfidf"))
 
 
 def adjacent_pairs(tokens: str = "tokens") -> Column:
@@ -145,30 +146,27 @@ def phrase_scores(sentences: DataFrame, tokens: str = "tokens", min_count: int =
 
 def merge_phrases(df: DataFrame, phrases: DataFrame, doc_col: str = "doc_id",
                   tokens: str = "tokens", out_col: str = "merged") -> DataFrame:
-    """Greedy left-to-right merge of accepted bigrams to ``a_b``. Phrase hits
-    are found by a join on (a, b) (no driver-side set), then one fold per row."""
+    """Greedy left-to-right merge of accepted bigrams to ``a_b``. Phrase hits are found by
+    a join on (a, b). In a run of neighbouring hits every second one is taken, from the
+    first on, which row numbers tell; the merged row is put together from the stretches
+    between the places taken, so the work is linear in tokens and hits."""
     pairs = df.select(doc_col, F.posexplode(adjacent_pairs(tokens)).alias("i", "p")).select(
         doc_col, "i", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    # greedy rule: a hit is taken unless the previous position was taken; the
-    # fold runs over the (sparse) sorted hit positions only, in the aggregate
-    # stage, so the join below materialises it before the per-token pass
-    init = F.struct(F.array().cast("array<int>").alias("taken"), F.lit(-2).alias("last"))
-    hits = (pairs.join(phrases.select("a", "b").distinct(), ["a", "b"], "left_semi")
-            .groupBy(doc_col).agg(F.array_sort(F.collect_set("i")).alias("_hits"))
-            .select(doc_col, F.aggregate("_hits", init, lambda st, i: F.when(
-                st["last"] == i - 1, F.struct(st["taken"].alias("taken"), F.lit(-2).alias("last"))
-            ).otherwise(F.struct(F.concat(st["taken"], F.array(i)).alias("taken"), i.alias("last"))),
-                lambda st: st["taken"]).alias("_taken")))
-    j = df.join(hits, doc_col, "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
-    t = F.col(tokens)
-    # per position: merged pair, consumed (null) or the token itself
-    nxt = F.concat(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
-    idx = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
-    trip = F.arrays_zip(t.alias("tok"), nxt.alias("nxt"), idx.alias("i"))
-    out = F.transform(trip, lambda r: F.struct(r["tok"].alias("tok"), r["nxt"].alias("nxt"), r["i"].alias("i")))
-    j = j.withColumn("_trip", out)
-    merged = F.transform("_trip", lambda r: F.when(F.array_contains(F.col("_taken"), r["i"]),
-                                                   F.concat_ws("_", r["tok"], r["nxt"]))
-                         .when(F.array_contains(F.col("_taken"), r["i"] - 1), F.lit(None))
-                         .otherwise(r["tok"]))
-    return j.withColumn(out_col, F.filter(merged, lambda x: x.isNotNull())).drop("_taken", "_trip")
+    hits = pairs.join(phrases.select("a", "b").distinct(), ["a", "b"], "left_semi").select(doc_col, "i")
+    run = hits.withColumn("_run", F.col("i") - F.row_number().over(Window.partitionBy(doc_col).orderBy("i")))
+    nth = F.row_number().over(Window.partitionBy(doc_col, "_run").orderBy("i"))
+    taken = (run.withColumn("_nth", nth).where(F.col("_nth") % 2 == 1)
+             .groupBy(doc_col).agg(F.array_sort(F.collect_list("i")).alias("_taken")))
+    j = df.join(taken, doc_col, "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+    t, n = F.col(tokens), F.size("_taken")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    j = evaluate_once(j.withColumn("_places", places), "_places")
+    at = lambda k: F.element_at("_taken", k)
+
+    def stretch(k: Column) -> Column:
+        start = F.when(k == 1, 0).otherwise(F.get("_taken", k - 2) + 2)
+        both = F.concat_ws("_", F.element_at(t, at(k) + 1), F.element_at(t, at(k) + 2))
+        return F.concat(F.slice(t, start + 1, at(k) - start), F.array(both))
+    done = F.when(n > 0, at(-1) + 2).otherwise(0)
+    rest = F.slice(t, done + 1, F.greatest(F.size(t) - done, F.lit(0)))
+    return j.withColumn(out_col, F.concat(F.flatten(F.transform("_places", stretch)), rest)).drop("_taken", "_places")

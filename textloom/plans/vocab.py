@@ -85,7 +85,8 @@ tv AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf WHERE doc_id % 5 > 1 G
 def q_tf(spark, sf_dir):
     """Counts of all splits over the vocabulary fitted on train."""
     tf = V.term_frequencies(_grams(spark, sf_dir), reuse=True)
-    return V.count_vectors(tf, V.top_terms(tf.where(TRAIN), 50000)).select("doc_id", "term", "tf")
+    vocab = F.broadcast(V.top_terms(tf.where(TRAIN), 50000))      # at most max_features rows
+    return V.count_vectors(tf, vocab).select("doc_id", "term", "tf")
 
 
 @query("agg_tfidf", sql=f"""WITH {GRAMS_SQL},
@@ -98,7 +99,7 @@ def q_tfidf(spark, sf_dir):
     tf = V.term_frequencies(g, reuse=True)
     n_docs = S.read(spark, sf_dir, "documents").where(TRAIN).agg(F.count(F.lit(1)).alias("_nd"))
     vocab = with_one_row(V.top_terms(tf.where(TRAIN), 50000), n_docs)
-    out = V.tfidf(tf, vocab, F.col("_nd"))
+    out = V.tfidf(tf, F.broadcast(vocab), F.col("_nd"))           # at most max_features rows
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
@@ -114,23 +115,40 @@ W2V_SQL = f"""s AS (SELECT doc_id, tokens FROM (
   FROM documents) WHERE len(tokens) > 2)"""
 
 
-@query("agg_phrase_scores", sql=f"""WITH {W2V_SQL},
+def _phrases_sql(min_count: int) -> str:
+    return f"""{W2V_SQL},
 uni AS (SELECT w, count(*) AS n FROM (SELECT unnest(tokens) AS w FROM s) GROUP BY w),
 bi AS (SELECT a, b, count(*) AS n_ab FROM (
          SELECT unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i])) AS a,
                 unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i + 1])) AS b
-         FROM s) GROUP BY a, b)
-SELECT a, b, CAST(n_ab AS BIGINT) AS n_ab, round(score, 6) AS score FROM (
+         FROM s) GROUP BY a, b),
+ph AS (SELECT * FROM (
   SELECT bi.a, bi.b, bi.n_ab,
-         CAST(bi.n_ab - 30 AS DOUBLE) / (ua.n * ub.n) * ((SELECT count(*) FROM uni) + (SELECT count(*) FROM bi)) AS score
+         CAST(bi.n_ab - {min_count} AS DOUBLE) / (ua.n * ub.n) * ((SELECT count(*) FROM uni) + (SELECT count(*) FROM bi)) AS score
   FROM bi JOIN uni ua ON bi.a = ua.w JOIN uni ub ON bi.b = ub.w)
-WHERE score > 10""")
+WHERE score > 10)"""
+
+
+@query("agg_phrase_scores", sql=f"""WITH {_phrases_sql(30)}
+SELECT a, b, CAST(n_ab AS BIGINT) AS n_ab, round(score, 6) AS score FROM ph""")
 def q_phrase_scores(spark, sf_dir):
     ph = V.phrase_scores(w2v_sentences(spark, sf_dir), min_count=30, threshold=10.0)
     return ph.withColumn("score", F.round("score", 6))
 
 
-@query("str_merge_phrases")
+@query("str_merge_phrases", sql=f"""WITH {_phrases_sql(5)},
+tk AS (SELECT doc_id, unnest(tokens) AS w, unnest(generate_series(1, len(tokens))) AS i FROM s),
+nx AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM tk),
+hit AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM nx WHERE (w, next) IN (SELECT (a, b) FROM ph)),
+took AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS k FROM hit)
+         WHERE k % 2 = 1),
+mg AS (SELECT nx.doc_id, nx.i, CASE WHEN t.i IS NULL THEN w ELSE w || '_' || next END AS w
+       FROM nx LEFT JOIN took t USING (doc_id, i) LEFT JOIN took p ON p.doc_id = nx.doc_id AND p.i = nx.i - 1
+       WHERE p.i IS NULL)
+SELECT s.doc_id, CAST(any_value(len(s.tokens)) AS INTEGER) AS n_tokens, CAST(count(*) AS INTEGER) AS n_merged,
+       string_agg(mg.w, ' ' ORDER BY mg.i) AS merged
+FROM s JOIN mg USING (doc_id) GROUP BY s.doc_id""")
 def q_merge_phrases(spark, sf_dir):
     """Greedy merge of accepted bigrams (min_count lowered to 5 so phrases exist)."""
     s = w2v_sentences(spark, sf_dir)

@@ -266,13 +266,15 @@ bi AS (SELECT a, b, count(*) AS n FROM (
          SELECT unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i])) AS a,
                 unnest(list_transform(generate_series(1, len(tokens) - 1), lambda i: tokens[i + 1])) AS b
          FROM ct WHERE len(tokens) >= 2) GROUP BY a, b),
-rel AS (SELECT a AS word, b AS related, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM bi),
+rel AS (SELECT * FROM (SELECT a AS word, b AS related, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM bi) WHERE r <= 5),
+words AS (SELECT DISTINCT word FROM rel),
 tk AS (SELECT item_id, {Q.tokens(Q.clean_note('text'))} AS tk FROM benchmark),
-pos AS (SELECT item_id, tk, min(i) AS p FROM (SELECT item_id, tk, unnest(generate_series(1, len(tk))) AS i FROM tk) x
-        WHERE tk[i] IN (SELECT word FROM rel) GROUP BY item_id, tk)
-SELECT pos.item_id AS case_id, CAST(rel.r AS INTEGER) AS variant,
+ps AS (SELECT item_id, unnest(tk) AS word, unnest(generate_series(1, len(tk))) AS i FROM tk),
+hit AS (SELECT item_id, min(i) AS p FROM ps SEMI JOIN words USING (word) GROUP BY item_id),
+one AS (SELECT item_id, tk, p, tk[p] AS word FROM hit JOIN tk USING (item_id))
+SELECT one.item_id AS case_id, CAST(rel.r AS INTEGER) AS variant,
        array_to_string(list_transform(generate_series(1, len(tk)), lambda i: CASE WHEN i = p THEN rel.related ELSE tk[i] END), ' ') AS text
-FROM pos JOIN rel ON rel.word = pos.tk[pos.p] WHERE rel.r <= 5""")
+FROM one JOIN rel USING (word)""")
 def q_related_noun(spark, sf_dir):
     """The first word of a text that has related words (its most frequent
     corpus successors) replaced by each of up to 5 of them."""
