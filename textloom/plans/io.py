@@ -90,14 +90,13 @@ def q_sink_text_corpus(spark, sf_dir):
 
 
 @query("sink_split_csv", sql=S.with_sql(S.NOTES_SQL) + """
-SELECT task, split, count(*) AS n FROM (
-  SELECT task, CASE WHEN r <= n_v THEN 'valid' WHEN r <= n_s THEN 'train' ELSE 'test' END AS split
-  FROM (SELECT id, task, row_number() OVER (PARTITION BY task ORDER BY md5(concat_ws('|', '41', CAST(id AS VARCHAR))), id) AS r,
+SELECT id, text, CAST(label AS INTEGER) AS label, task, split FROM (
+  SELECT id, text, label, task, CASE WHEN r <= n_v THEN 'valid' WHEN r <= n_s THEN 'train' ELSE 'test' END AS split
+  FROM (SELECT id, text, label, task, row_number() OVER (PARTITION BY task ORDER BY md5(concat_ws('|', '41', CAST(id AS VARCHAR))), id) AS r,
                round_even(count(*) OVER (PARTITION BY task) * 0.8, 0) AS n_s,
                round_even(round_even(count(*) OVER (PARTITION BY task) * 0.8, 0) * 0.25, 0) AS n_v
-        FROM (SELECT id, 'severity' AS task FROM notes WHERE severity IS NOT NULL
-              UNION ALL SELECT id, 'type' AS task FROM notes)))
-GROUP BY task, split""")
+        FROM (SELECT id, IN07 AS text, severity AS label, 'severity' AS task FROM notes WHERE severity IS NOT NULL
+              UNION ALL SELECT id, IN07, type, 'type' AS task FROM notes)))""")
 def q_sink_split_csv(spark, sf_dir):
     """Train/valid/test per task written as CSV folders partitioned by (task, split)."""
     from textloom.operators.datasets import multi_task
@@ -109,7 +108,7 @@ def q_sink_split_csv(spark, sf_dir):
         TY.StructType([TY.StructField("id", TY.LongType()), TY.StructField("text", TY.StringType()),
                        TY.StructField("label", TY.IntegerType()), TY.StructField("task", TY.StringType()),
                        TY.StructField("split", TY.StringType())])).csv(path)
-    return back.groupBy("task", "split").agg(F.count(F.lit(1)).alias("n"))
+    return back.select("id", "text", "label", "task", "split")
 
 
 def _encoded(spark, sf_dir):
