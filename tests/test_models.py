@@ -127,3 +127,22 @@ def test_projection_and_clusters(spark):
     var = pcs.agg(F.var_samp("x").alias("x"), F.var_samp("y").alias("y")).first()
     assert pcs.count() == n and var.x >= var.y
     assert QUERIES["ml_kmeans_topics"](spark, SF).agg(F.sum("n")).first()[0] == n
+
+
+def test_forest_query_ranks_held_out_rows(spark):
+    """Scores of the held-out fifth, by the library's own AUC."""
+    scored = QUERIES["ml_tfidf_forest"](spark, "/root/testdata/sf0.01").select("label", F.col("p1").alias("score")).cache()
+    n = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").count()
+    assert abs(scored.count() - n / 5) <= 1
+    assert MT.roc_auc(scored).first()["auc"] > 0.55
+
+
+def test_reloaded_pipeline_scores_alike(spark):
+    rows = QUERIES["ml_save_load"](spark, SF).collect()
+    assert len(rows) == labelled_docs(spark, SF).count() and all(r["diff"] == 0 for r in rows)
+
+
+def test_batch_scoring_covers_all_documents(spark):
+    got = {r.doc_id: r for r in QUERIES["ml_score_batch"](spark, SF).collect()}
+    ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert set(got) == ids and all(0 <= r.p1 <= 1 and r.prediction == (r.p1 > 0.5) for r in got.values())
