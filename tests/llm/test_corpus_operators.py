@@ -182,6 +182,22 @@ def test_search_odd_vectors_ties_and_parts(spark):
     assert ann.search(v.limit(0), every).count() == 0
 
 
+def test_search_with_repeated_ids_and_chunked_queries(spark):
+    """A vec_id with many vectors takes one place, and queries in many chunks find the same."""
+    rng = np.random.default_rng(5)
+    rows = [(1, [0.1 + i / 1000, 0.2]) for i in range(14)] + [(i, rng.random(2).tolist()) for i in range(2, 22)] + [(0, [0.1, 0.2])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = {}
+    for i, x in rows:
+        d = np.sqrt(((np.array(x) - [0.1, 0.2]) ** 2).sum())
+        near[i] = min(near.get(i, d), d)
+    want = sorted(((d, i) for i, d in near.items() if i))[:10]
+    got = ann.search(v, lambda i: i == 0, k=1, probe=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for _, i in want] and [r.score for r in got] == pytest.approx([d for d, _ in want])
+    whole, cut = (sorted(map(tuple, ann.search(v, lambda i: i % 2 == 0, k=2, probe=1.0, ask_rows=n).collect())) for n in (100, 2))
+    assert whole == cut and len({r[0] for r in whole}) == 11
+
+
 def test_cells_come_in_order_of_distance():
     rng = np.random.default_rng(1)
     d1, d2, sizes = rng.random(7), rng.random(9), rng.integers(0, 3, (7, 9))

@@ -10,13 +10,16 @@ tells, and the listed vectors are reranked by exact distance.
 
 Queries and vectors meet in a join on (cell, part). Cells above ``part_rows`` vectors
 are cut into parts by a hash of the row, and each query visits all parts of its
-cells, so a cell with a third of all vectors is no single task. Each (cell, part)
-keeps its best ``top`` rows of a query, and one ranked window per query ends it.
+cells, so a cell with a third of all vectors is no single task. Queries are dealt in
+chunks of about ``ask_rows`` as well, so both sides of a meeting are bounded. Each
+(cell, part) keeps its best ``top`` ids of a query, and one ranked window per query
+ends it.
 
 Defined cases: vectors that are null, empty, zero, of another length than the most
 common one (ties: the longer), or hold null or non-finite values take no part, nor
-do rows without vec_id; repeated rows count once; a query never meets rows of its
-own vec_id; ties in distance go to the smaller vec_id; fewer candidates than ``top``
+do rows without vec_id; repeated rows count once; a vec_id with several vectors is
+found once for a query, at its nearest, and asks with each of them; a query never
+meets rows of its own vec_id; ties in distance go to the smaller vec_id; fewer candidates than ``top``
 give all of them; an empty table gives no rows.
 """
 
@@ -82,7 +85,7 @@ def nearest_cells(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: int)
 
 def search(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", top: int = 10,
            k: int = 16, probe: float = 0.75, fit_rows: int = 20_000, part_rows: int = 20_000,
-           seed: int = 7) -> DataFrame:
+           ask_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found for the rows that the
     condition ``queries`` (on vec_id) picks, among all other rows."""
     rows = materialize(usable(vectors, key, vector))
@@ -121,27 +124,35 @@ def search(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embe
 
     part_of = F.pmod(F.xxhash64("vec_id", "v"), F.element_at(
         F.create_map(*[F.lit(x) for kv in sorted(parts.items()) for x in kv]), F.col("cell"))).cast("int")
-    listed = index.withColumn("part", part_of).repartition("cell", "part")
-    asked = index.where(queries(F.col("vec_id"))).select("vec_id", "v").mapInPandas(
-        visits, "query_id long, q array<double>, cell long, part int")
+    asking = index.where(queries(F.col("vec_id"))).select("vec_id", "v")
+    chunks = max(1, -(-asking.count() // ask_rows))
+    meet = ["cell", "part", "chunk"]
+    listed = index.withColumn("part", part_of).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(*meet)
+    asked = asking.mapInPandas(visits, "query_id long, q array<double>, cell long, part int").withColumn(
+        "chunk", F.pmod(F.xxhash64("query_id", "q"), F.lit(chunks)).cast("int"))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             ids, m = right["vec_id"].to_numpy(), np.array(right["v"].tolist())
+            repeated = len(np.unique(ids)) < len(ids)
             for q, v in zip(left["query_id"], left["q"]):
                 d = np.sqrt(((m - np.asarray(v)[None]) ** 2).sum(1))
                 keep = np.flatnonzero(ids != q)
-                best = keep[np.lexsort((ids[keep], d[keep]))[:top]]
+                best = keep[np.lexsort((ids[keep], d[keep]))]
+                if repeated:                     # each id at its nearest
+                    best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+                best = best[:top]
                 out["query_id"] += [q] * len(best)
                 out["vec_id"] += ids[best].tolist()
                 out["score"] += d[best].tolist()
         return pd.DataFrame(out)
 
-    near = (asked.groupBy("cell", "part").cogroup(listed.groupBy("cell", "part"))
+    near = (asked.groupBy(*meet).cogroup(listed.groupBy(*meet))
             .applyInPandas(rerank, "query_id long, vec_id long, score double"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    # a vec_id repeated with other vectors is listed once for a query, at its nearest
+    # a vec_id repeated with other vectors may stand in several parts
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return (once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
