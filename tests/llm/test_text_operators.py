@@ -74,7 +74,7 @@ def disclosing_docs():
 
 
 def test_pii_terms_that_disclose_are_removed(spark):
-    docs = spark.createDataFrame([(*r, "k") for r in disclosing_docs()], "doc_id long, text string, __k string")
+    docs = spark.createDataFrame([(*r, "k") for r in disclosing_docs()], "doc_id long, text string, __s string")
     found = {r.doc_id: r.spans for r in pii.sanitise_spans(docs).collect()}
     texts = dict(disclosing_docs())
     for i in range(60):
@@ -108,20 +108,86 @@ def test_pii_terms_far_from_the_mention_and_repeated(spark):
     assert len(clean) == len(rows) and not [r for r in clean if re.search("(?i)quorlund|vexmoor", r.text)]
 
 
-def test_pii_disclosure_formula(spark):
-    """The ratio equals a count by hand."""
+def plain_words(text):
+    """Distinct lower-case words outside addresses and numbers."""
+    found = re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?[0-9][0-9.()-]*|[^\W\d_]+", text or "")
+    return {w.lower() for w in found if w[0].isalpha() and "@" not in w}
+
+
+def plain_disclosures(texts, support):
+    """{(mail, term): ratio} of short texts with at most one mail each, by counts."""
     from math import log
-    docs = spark.createDataFrame(disclosing_docs(), "doc_id long, text string")
-    base = pii.base_findings(docs)
-    terms = pii._terms(base.select("doc_id", "h", F.explode("mentions").alias("x")).select("doc_id", "h", "x.*"))
-    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(docs, base, terms, generalise_at=-9.0, support=2).collect()}
-    texts = [t for _, t in disclosing_docs()]
-    has = lambda w: sum(bool(re.search(rf"\b{w}\b", t)) for t in texts)
-    for (entity, term), value in got.items():
-        mail = entity.split(":")[1]
-        n_tc = sum(mail in t and bool(re.search(rf"\b{term}\b", t, re.I)) for t in texts)
-        assert value == pytest.approx(1 - log(has(f"(?i:{term})") / n_tc) / log(len(texts) / sum(mail in t for t in texts)))
-    assert ("email:kim@corp.example.org", "quorlund") in got
+    mails = [re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t) for t in texts]
+    of = [m and m[0].lower() for m in mails]
+    words, out = [plain_words(t) for t in texts], {}
+    for c in {m for m in of if m}:
+        rows = [i for i, m in enumerate(of) if m == c]
+        for term in set().union(*[words[i] for i in rows]):
+            mine = [i for i in rows if term in words[i]]
+            if len(mine) >= support and len({(texts[i][:mails[i].start()], texts[i][mails[i].end():]) for i in mine}) >= support:
+                n_t = sum(term in w for w in words)
+                out[c, term] = 1 - log(n_t / len(mine)) / log(len(texts) / len(rows))
+    return out
+
+
+def mixed_docs():
+    """Terms of all strengths: always, often and seldom with their mail, some spelled in it."""
+    rng = random.Random(12)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    names = ["Kimberly", "Quorlund", "Vexmoor", "Tamsin", "Ostrander"]
+    texts = [" ".join(rng.choices(words, k=8)) for _ in range(150)]
+    for i in range(90):
+        name = rng.choice(names)
+        said = name if rng.random() < 0.6 else rng.choice(words)
+        other = rng.choice(names[:2]) if rng.random() < 0.4 else ""
+        texts.append(f"{said} {rng.choice(words)} {other} {name}@corp.example.org {rng.choice(words)}{'' if i % 9 else name}")
+    return list(enumerate(texts))
+
+
+def test_pii_disclosure_formula(spark):
+    """Every ratio that the query's own path gives equals a count by hand, names in addresses included."""
+    for rows in (disclosing_docs(), mixed_docs()):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        base, loose = pii.base_findings(docs), dict(support=2, generalise_at=-9.0)
+        counts = pii._word_counts(docs)
+        assert {r.term: r.n_t for r in counts.collect()} == Counter(w for _, t in rows for w in plain_words(t))
+        terms = pii._document_terms(docs, base, counts, **loose)
+        got = {(r.entity.split(":")[1], r.term): r.disclosure
+               for r in pii.disclosures(docs, base, terms, counts=counts, **loose).collect()}
+        want = {k: v for k, v in plain_disclosures([t for _, t in rows], 2).items() if v >= -9}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 1
+
+
+def test_pii_all_spans_of_a_table(spark):
+    """Removed and generalised terms of every document by brute force."""
+    rows = mixed_docs()
+    told, want = plain_disclosures([t for _, t in rows], 3), []
+    for i, t in rows:
+        mail = re.search(r"\S+@\S+", t)
+        spans = [] if mail is None else [("email", *mail.span())]
+        strong = {} if mail is None else {w: v for (c, w), v in told.items() if c == mail[0].lower() and v >= 0.6}
+        for m in re.finditer(r"[^\W\d_]+", t):
+            v = strong.get(m[0].lower())
+            if v is not None and not mail.start() <= m.start() < mail.end():
+                spans.append(("remove" if v >= 0.85 else "generalise", *m.span()))
+        want.append((i, sorted(spans)))
+    found = pii.sanitise_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, sorted(tuple(s) for s in r.spans)) for r in found) == want
+    kinds = Counter(s[0] for _, x in want for s in x)
+    assert kinds["remove"] and kinds["generalise"]
+
+
+def test_pii_name_in_the_address_discloses(spark):
+    rows = [(i, f"alpha beta gamma tail{i}") for i in range(60)]
+    rows += [(60 + i, f"{'Kimberly' if i < 5 else 'alpha'} tail{i} kimberly@corp.example.org beta") for i in range(10)]
+    found = pii.sanitise_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found for s in r.spans if s.kind == "remove"} == set(range(60, 65))
+
+
+def test_pii_and_secrets_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, spans string")
+    assert pii.sanitise(none).collect() == [] and pii.sanitise(none).columns == none.columns
+    assert secrets.find_secrets(none.drop("spans"), out="spans").collect() == []
 
 
 SECRET = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""

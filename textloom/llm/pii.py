@@ -143,37 +143,22 @@ def base_findings(docs: DataFrame, reach: int = REACH) -> DataFrame:
         F.transform(every, lambda s: F.struct(s["entity"], s["start"], s["end"], s["left"], s["right"])).alias("mentions"))
 
 
-def _terms(mentions: DataFrame) -> DataFrame:
-    """One row per word of a mention's context: doc_id, h, entity, ctx, term, start, end.
-    An estimate from contexts alone; ``sanitise_spans`` takes ``_document_terms``."""
-    side = F.explode(F.array(F.struct(F.col("left").alias("c"), (F.col("start") - F.length("left")).alias("o")),
-                             F.struct(F.col("right").alias("c"), F.col("end").alias("o"))))
-    one = (mentions.withColumn("ctx", F.xxhash64("left", "right"))
-           .select("doc_id", "h", "entity", "ctx", side.alias("x")).select("doc_id", "h", "entity", "ctx", "x.c", "x.o"))
-    one = _once(one, m=F.regexp_extract_all("c", F.lit(_TOKEN), F.lit(0)), g=F.split("c", _TOKEN, -1))
-    ends = F.aggregate(                          # a context has at most REACH words
-        F.zip_with("m", F.slice("g", 1, F.size("m")), lambda m, g: F.struct(F.length(g).alias("a"), F.length(m).alias("b"))),
-        F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))),
-        lambda acc, x: F.concat(acc, F.array(F.struct(
-            (F.element_at(acc, -1)["e"] + x["a"]).alias("s"),
-            (F.element_at(acc, -1)["e"] + x["a"] + x["b"]).alias("e")))))
-    one = _once(one, at=F.slice(ends, 2, F.size("m")))
-    return (one.select("doc_id", "h", "entity", "ctx", "o", F.explode(F.arrays_zip("m", "at")).alias("x"))
-            .where(_is_word(F.col("x.m")))
-            .select("doc_id", "h", "entity", "ctx", F.lower("x.m").alias("term"),
-                    (F.col("o") + F.col("x.at.s")).alias("start"), (F.col("o") + F.col("x.at.e")).alias("end")))
-
-
 def _entities(base: DataFrame) -> DataFrame:
     """(entity, n_c) of every entity: the documents that mention it."""
     return (base.select("doc_id", "h", F.explode("mentions").alias("x"))
             .groupBy(F.col("x.entity").alias("entity")).agg(F.count_distinct("doc_id", "h").alias("n_c")))
 
 
+def _words() -> Column:
+    """The distinct words of ``text``, lower-cased."""
+    found = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(found, _is_word), F.lower))
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """(term, n_t) of every word: the rows that hold it."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{M}]+", -1))
-    return (docs.select(F.explode(words).alias("term")).where("term <> ''")
+    """(term, n_t) of every word: the rows that hold it outside addresses, where
+    ``_document_terms`` looks as well."""
+    return (docs.select(F.explode(_words()).alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
 
 
@@ -194,11 +179,10 @@ def _document_terms(docs: DataFrame, base: DataFrame, counts: DataFrame, support
             .join(able, "entity").groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2"))
             .agg(F.collect_list(F.struct("entity", "ctx", "most")).alias("held")))
     texts = _with_hash(docs).join(held, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
-    found = F.transform(F.filter(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)), _is_word), F.lower)
-    texts = _once(texts.select("doc_id", "h", "text", "held"), words=F.array_distinct(found))
-    pairs = (texts.select("doc_id", "h", "held", F.explode("words").alias("term"))
-             .select("doc_id", "h", "term", F.inline("held")))
-    return (pairs.join(counts, "term").where(F.col("n_t") <= F.col("most"))
+    texts = _once(texts.select("doc_id", "h", "text", "held"), words=_words())
+    able_words = (texts.select("doc_id", "h", "held", F.explode("words").alias("term")).join(counts, "term")
+                  .where(F.col("n_t") <= F.array_max(F.col("held.most"))))
+    return (able_words.select("doc_id", "h", "term", "n_t", F.inline("held")).where(F.col("n_t") <= F.col("most"))
             .select("doc_id", "h", "entity", "ctx", "term"))
 
 
@@ -268,8 +252,10 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
     ``[word]`` or ``[Name]`` by their first letter, removed terms ``[...]``."""
     found = sanitise_spans(docs, **settings).select(
         F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__s")).distinct()
-    df = docs.withColumn("__x", F.xxhash64("text")).join(
-        found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")), "left")
+    # the table's own columns stay in one struct, so none can clash
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text",
+                      F.xxhash64("text").alias("__x"))
+    df = row.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")), "left")
     order = F.array_sort(F.transform("__s", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("kind")))
     clear = F.aggregate(order, start, lambda acc, s: F.when(
@@ -286,4 +272,5 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
     last = (F.element_at("__c", -1)["end"] + 1).cast("int")
     text = F.concat(F.array_join(F.transform(F.slice("__c", 2, F.size("__c") - 1), piece), ""),
                     F.col("text").substr(last, F.length("text")))
-    return df.withColumn("text", F.when(F.size("__c") > 1, text).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("__c") > 1, text).otherwise(F.col("text"))
+    return df.select(*[(text if c == "text" else F.col("__row").getField(c)).alias(c) for c in docs.columns])
