@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import counting
 from textloom.operators.common import drop_stopwords, evaluate_once
+from textloom.operators.sentences import split_sentences
 from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.sources import tables as S
@@ -104,12 +105,45 @@ def q_char_chunks(spark, sf_dir):
             .withColumn("pos", F.col("pos").cast("bigint")))
 
 
-@query("str_paragraphs")
+@query("str_paragraphs", sql=fr"""
+WITH paras AS (
+  SELECT doc_id, unnest({Q.split_lines('text')}) AS ptext,
+         generate_subscripts({Q.split_lines('text')}, 1) - 1 AS para FROM documents),
+words AS (
+  SELECT lower(rtrim(ltrim(w, '"''([{{«“‘'), '"'')]}}»”’,;:!?')) AS c
+  FROM (SELECT unnest(regexp_split_to_array(ptext, '[ \t]+')) AS w FROM paras)),
+kinds AS (
+  SELECT CASE WHEN c LIKE '%.' THEN left(c, length(c) - 1) ELSE c END AS word, CAST(c LIKE '%.' AS INTEGER) AS dot FROM words),
+counts AS (
+  SELECT word, count(*) AS n, sum(dot) AS k, length(replace(word, '.', '')) AS size FROM kinds
+  WHERE word <> '' AND word NOT LIKE '%.' AND word NOT LIKE '.%' AND NOT regexp_matches(word, '[^\pL.]') GROUP BY word),
+rated AS (
+  SELECT word, 2 * (k * (ln(0.99) - ln(p)) + (n - k) * (ln(0.01) - ln(1 - p))) * exp(-size)
+               * (length(word) - size + 1) * pow(size, -(n - k)) AS score
+  FROM counts, (SELECT sum(k) / sum(n) AS p FROM counts) WHERE k > 0 AND p < 1),
+cut AS (
+  SELECT doc_id, para, string_split(regexp_replace(trim(ptext, ' ' || chr(9)), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS cs
+  FROM paras),
+pieces AS (SELECT doc_id, para, unnest(cs) AS piece, generate_subscripts(cs, 1) AS i FROM cut),
+ends AS (
+  SELECT *, CASE WHEN piece LIKE '%.' THEN lower(rtrim(ltrim(
+    string_split(replace(piece, chr(9), ' '), ' ')[-1], '"''([{{«“‘'), '"'')]}}»”’,;:!?')) END AS c
+  FROM pieces WHERE piece <> ''),
+marked AS (
+  SELECT *, left(c, length(c) - 1) IN (SELECT word FROM rated WHERE score >= 0.3) AS abbr FROM ends),
+opened AS (
+  SELECT *, CASE WHEN lag(coalesce(abbr, false), 1, false) OVER (PARTITION BY doc_id, para ORDER BY i) THEN 0 ELSE 1 END AS o
+  FROM marked),
+numbered AS (
+  SELECT *, sum(o) OVER (PARTITION BY doc_id, para ORDER BY i) - 1 AS sent FROM opened)
+SELECT doc_id, CAST(para AS INTEGER) AS para, CAST(sent AS INTEGER) AS sent, string_agg(piece, ' ' ORDER BY i) AS sentence
+FROM numbered GROUP BY doc_id, para, sent""")
 def q_paragraphs(spark, sf_dir):
-    """Paragraphs (line split) then rule-based sentences; rows-only check."""
+    """Paragraphs (line split), then sentences that don't end at abbreviations learned from
+    the whole table."""
     d = S.read(spark, sf_dir, "documents")
     p = d.select("doc_id", F.posexplode(T.split_lines("text")).alias("para", "ptext"))
-    return p.select("doc_id", "para", F.posexplode(T.split_sentences("ptext")).alias("sent", "sentence"))
+    return split_sentences(p, ["doc_id", "para"], "ptext")
 
 
 @query("str_tokenize_ws", sql=f"""
