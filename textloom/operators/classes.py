@@ -77,7 +77,7 @@ def neutral_band(df: DataFrame, score: str = "score", margin: float = 1 / 3.0) -
 
 def pred_conf(df: DataFrame, label_text: str = "label", score: str = "score") -> DataFrame:
     """Pipeline output (``LABEL_k``, confidence of k) to class k and [p0, p1]."""
-    cls = F.substring(F.col(label_text), -1, 1).cast("int")
+    cls = F.regexp_extract(F.col(label_text), "([0-9]+)$", 1).cast("int")
     p1 = F.when(cls == 1, F.col(score)).otherwise(1 - F.col(score))
     return df.withColumn("cls", cls).withColumn("probs", F.array(1 - p1, p1))
 
