@@ -162,12 +162,6 @@ def split_lines(c) -> Column:
     ).otherwise(parts))
 
 
-def split_sentences(c) -> Column:
-    """Rule-based sentence split after ``.``, ``!`` or ``?`` followed by white space."""
-    parts = F.split(_col(c), f"(?<=[.!?])[{WS_CLASS}]+")
-    return F.filter(F.transform(parts, lambda s: strip_ws(s)), lambda s: s != "")
-
-
 def tokenize_ws(c) -> Column:
     """``text.split()``: white-space tokens, empties removed."""
     return F.filter(F.split(_col(c), WS_RUN), lambda x: x != "")
