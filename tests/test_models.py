@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from textloom.operators import forest_grid as FG
@@ -14,6 +15,7 @@ from textloom.operators import metrics as MT
 
 from textloom.operators import models as ML
 from textloom.operators import skipgram as SG
+from textloom.operators import topic_model as TM
 from textloom.plans import QUERIES
 from textloom.plans.ml import labelled_docs
 from textloom.sources import io as IO
@@ -121,6 +123,55 @@ def test_lda_topics(spark):
         assert len({r.word for r in rows if r.topic == t}) == 10
 
 
+def test_topic_model_finds_planted_topics(spark):
+    rng = np.random.default_rng(3)
+    groups = [[f"{g}{i}" for i in range(8)] for g in "abc"]
+    rows = [(i, rng.choice(groups[i % 3], 25).tolist()) for i in range(90)] + [(90, []), (91, None), (None, ["a0", "zz"]), (92, [None])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    trace = []
+    words, shares = TM.train(docs, k=3, passes=30, trace=trace)
+    assert len(trace) > 3 and all(b >= a - 1e-9 * abs(a) for a, b in zip(trace, trace[1:]))
+    top = TM.top_words(words, 3, 8).collect()
+    assert {frozenset(r.word for r in top if r.topic == t) for t in range(3)} == {frozenset(g) for g in groups}
+    assert all(sorted(r["rank"] for r in top if r.topic == t) == list(range(8)) for t in range(3))
+    got = {r.doc: np.array([r.q0, r.q1, r.q2]) for r in shares.collect()}
+    assert set(got) == set(range(90))
+    assert all(abs(q.sum() - 1) < 1e-9 and q.argmax() == got[d % 3].argmax() and q.max() > 0.9 for d, q in got.items())
+    p = words.agg(*[F.sum(f"p{i}") for i in range(3)]).first()
+    assert all(abs(x - 1) < 1e-9 for x in p)
+
+
+def test_topic_model_step_is_the_plain_one(spark):
+    """One pass against the formula in numpy, and a model of no documents."""
+    rows = [(1, list("aab")), (2, list("bcc")), (3, list("abc"))]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    w0, _ = TM.train(docs, k=2, passes=0)
+    w1, d1 = TM.train(docs, k=2, passes=1, alpha=0.1, eta=0.01)
+    p = np.array([[r.p0, r.p1] for r in w0.orderBy("word").collect()])
+    n = np.array([[t.count(w) for w in "abc"] for _, t in rows], dtype=float)
+    share = p / p.sum(1, keepdims=True)          # a uniform start of the documents cancels out
+    by_word = n.sum(0)[:, None] * share + 0.01
+    by_doc = n @ share + 0.1
+    assert np.allclose([[r.p0, r.p1] for r in w1.orderBy("word").collect()], by_word / by_word.sum(0))
+    assert np.allclose([[r.q0, r.q1] for r in d1.orderBy("doc").collect()], by_doc / by_doc.sum(1, keepdims=True))
+    none, _ = TM.train(docs.limit(0), k=2, passes=2)
+    assert none.count() == 0
+
+
+def test_mean_vector_classifier_ranks_held_out_rows(spark):
+    """Documents of two planted vocabularies: the held-out half is told apart."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.choice(["up", "high", "top"] if i % 2 else ["down", "low", "deep"], 6).tolist() + ["the"], float(i % 2))
+            for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>, label double")
+    v = SG.document_vectors(docs, SG.train(docs, min_count=2, size=8, passes=20, negative=3, sample=1.0)).join(
+        docs.select("doc_id", "label"), "doc_id")
+    model, _ = ML.mean_vector_classifier(v.where("doc_id < 40"))
+    held = model.transform(v.where("doc_id >= 40").withColumn("features", array_to_vector("vec")))
+    scored = held.select("label", ML.probability_of().alias("score"))
+    assert scored.count() == 40 and MT.roc_auc(scored).first()["auc"] > 0.95
+
+
 def test_projection_and_clusters(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     pcs = QUERIES["ml_pca_project"](spark, SF)

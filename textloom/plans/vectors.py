@@ -112,20 +112,27 @@ def q_euclidean(spark, sf_dir):
     return j.select("id", "qid", F.round(V.euclidean("vec", "qvec"), 6).alias("dist"))
 
 
-@query("join_anchor_queries", sql=PAIR_SQL + f"""
-SELECT e.vec_id AS id, label,
-       round({COS.format(a='e.embedding', b='av.qvec')}, 6) AS sim_full,
-       round({COS.format(a='e.embedding[1:32]', b='av.qvec[1:32]')}, 6) AS sim_half
-FROM embeddings e JOIN av USING (label) WHERE e.vec_id <> av.qid""")
+@query("join_anchor_queries", sql=PAIR_SQL + f""",
+centre AS (SELECT list(m ORDER BY i) AS c FROM (
+  SELECT i, avg(x) AS m FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY i)),
+ev AS (SELECT vec_id, label, embedding, list_transform(list_zip(CAST(embedding AS DOUBLE[]), c), lambda z: z[1] - z[2]) AS cv
+       FROM embeddings CROSS JOIN centre)
+SELECT e.vec_id AS id, label, round({COS.format(a='e.embedding', b='a.embedding')}, 6) AS sim_raw,
+       round(list_cosine_similarity(e.cv, a.cv), 6) AS sim_sphered
+FROM ev e JOIN av USING (label) JOIN ev a ON a.vec_id = av.qid WHERE e.vec_id <> av.qid""")
 def q_anchor_queries(spark, sf_dir):
-    """Similarity of each query to its anchor, one column per representation
-    ('full' = 64 dims, 'half' = first 32 dims), pivoted from a long table."""
-    j = _with_anchor(spark, sf_dir).where(F.col("id") != F.col("qid"))
-    full = j.select("id", "label", F.lit("sim_full").alias("model"), V.cosine("vec", "qvec").alias("sim"))
-    half = j.select("id", "label", F.lit("sim_half").alias("model"),
-                    V.cosine(F.slice("vec", 1, 32), F.slice("qvec", 1, 32)).alias("sim"))
-    long = full.unionByName(half).withColumn("sim", F.round("sim", 6))
-    return long.groupBy("id", "label").pivot("model", ["sim_full", "sim_half"]).agg(F.first("sim"))
+    """Similarity of each query to its anchor in two representations, the given vectors
+    ('raw') and the vectors about the corpus centroid ('sphered'): one table of anchors and
+    queries for each, put together and pivoted."""
+    e = emb(spark, sf_dir)
+
+    def of(model, vectors):
+        a = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+        first = vectors.groupBy("label").agg(F.min("id").alias("qid")).join(a, "qid")
+        j = vectors.join(first, "label").where(F.col("id") != F.col("qid"))
+        return j.select("id", "label", F.lit(model).alias("model"), F.round(V.cosine("vec", "qvec"), 6).alias("sim"))
+    long = of("sim_raw", e).unionByName(of("sim_sphered", V.sphereize(e, "vec")))
+    return long.groupBy("id", "label").pivot("model", ["sim_raw", "sim_sphered"]).agg(F.first("sim"))
 
 
 @query("vec_similarity_edges", sql=f"""
