@@ -5,10 +5,15 @@ array expressions whose lambdas only read their own parameters. Set-level
 similarity search is exact and blocked:
 
 * ``top_k_neighbours`` / ``similarity_edges``: all-pairs over one table. Rows
-  are hashed into B blocks; every unordered block pair (i <= j) is one group
-  of about 2n/B rows scored with one matrix product inside ``applyInPandas``;
-  a group emits only each row's top-k (or the pairs above a threshold), and
-  a final per-row top-k uses Spark's partial ``WindowGroupLimit``.
+  go to the nearest of a few pivots, and the cell of a pivot is cut into blocks
+  by bytes. The triangle inequality bounds the distance of two blocks from
+  below by their pivots' distance and the least and greatest distance of their
+  rows to them; a pair of blocks that can't hold a neighbour is never formed.
+  For the top-k every block is first scored by itself, so its worst k-th
+  distance is known. Every other pair of blocks is one group, scored with one
+  matrix product inside ``applyInPandas``, that emits only each row's top-k (or
+  the pairs above a threshold); a final per-row top-k uses Spark's partial
+  ``WindowGroupLimit``.
 * ``rank_against``: query blocks against corpus blocks, one cogrouped task per
   pair of blocks; ranks per query are distributed prefix counts.
 """
@@ -22,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.common import evaluate_once
+from textloom.operators.common import evaluate_once, materialize
 from textloom.operators.ordering import ordered_prefix
 
 
@@ -130,13 +135,83 @@ def _n_blocks(df: DataFrame, vec: str, block_bytes: int) -> int:
     return max(1, math.ceil(total / block_bytes))
 
 
-def _block_pairs(df: DataFrame, id_col: str, vec: str, n_blocks: int) -> DataFrame:
-    """Each row goes to the B unordered block pairs that contain its block."""
-    b = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"),
-                  F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("blk"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
-    return b.select("id", "vec", "blk", other).select(
-        "id", "vec", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+#: Most pivots, and vectors of the hash sample they are picked from: all that the driver sees.
+PIVOTS, PIVOT_SAMPLE = 128, 2048
+#: Added to a distance bound, far above rounding errors.
+SLACK = 1e-6
+
+
+def _metric(q: np.ndarray, c: np.ndarray, cos: bool) -> np.ndarray:
+    """Distances that obey the triangle inequality: angles, or Euclidean distances."""
+    return np.arccos(np.clip(_unit_rows(q) @ _unit_rows(c).T, -1.0, 1.0)) if cos else _distances(q, c)
+
+
+def _in_space(m: np.ndarray, cos: bool) -> np.ndarray:
+    """Rows with a place in the metric space: finite and, for angles, not zero."""
+    ok = np.isfinite(m).all(axis=1)
+    return ok & (m != 0).any(axis=1) if cos else ok
+
+
+def _spread_out(m: np.ndarray, n: int, cos: bool) -> np.ndarray:
+    """Up to ``n`` distinct rows of ``m``, each the farthest from those before it."""
+    if not len(m):
+        return m
+    picked, d = [0], _metric(m[:1], m, cos)[0]
+    while len(picked) < n and d.max() > SLACK:
+        picked.append(int(d.argmax()))
+        d = np.minimum(d, _metric(m[picked[-1:]], m, cos)[0])
+    return m[picked]
+
+
+def metric_blocks(df: DataFrame, id_col: str, vec: str, block_bytes: int, cos: bool) -> tuple[DataFrame, DataFrame | None]:
+    """``(id, vec, blk)`` and, when there are several blocks, ``(a, b, bound)`` for each two
+    blocks a < b: no row of a is nearer than ``bound`` to a row of b. Rows without a place
+    in the space have blocks of their own, with bounds of no force."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    n_blocks = _n_blocks(rows, "vec", block_bytes)
+    if n_blocks == 1:
+        return rows.withColumn("blk", F.lit("0:0")), None
+    sample = _stack(rows.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(PIVOT_SAMPLE).toPandas()["vec"])
+    pivots = _spread_out(sample[_in_space(sample, cos)], min(n_blocks, PIVOTS), cos)
+    n = len(pivots)                              # also the cell of rows without a place
+
+    def nearest(batches):
+        for b in batches:
+            m = _stack(b["vec"])
+            ok = _in_space(m, cos) if len(b) else np.zeros(0, dtype=bool)
+            cell, d = np.full(len(b), n), np.zeros(len(b))
+            if n and ok.any():
+                all_ = _metric(pivots, m[ok], cos)
+                cell[ok], d[ok] = all_.argmin(axis=0), all_.min(axis=0)
+            yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "cell": cell, "d": d})
+
+    kind = rows.schema["vec"].dataType.simpleString()
+    at = materialize(rows.mapInPandas(nearest, f"id {rows.schema['id'].dataType.simpleString()}, vec {kind}, cell int, d double"))
+    cuts = at.groupBy("cell").agg(F.ceil(F.sum(F.size("vec").cast("long") * 8) / block_bytes).alias("cuts"))
+    part = F.pmod(F.xxhash64("id"), F.greatest("cuts", F.lit(1)))
+    cut = at.join(F.broadcast(cuts), "cell").withColumn("blk", F.concat_ws(":", F.col("cell").cast("string"), part.cast("string")))
+    blocks = cut.groupBy("blk", "cell").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    blocks = materialize(blocks.withColumn("hi", F.when(F.col("cell") == n, F.lit(math.inf)).otherwise(F.col("hi"))))
+    x, y = np.indices((n + 1, n + 1))
+    far = np.zeros((n + 1, n + 1))
+    if n:
+        far[:n, :n] = _metric(pivots, pivots, cos)
+    apart = df.sparkSession.createDataFrame(pd.DataFrame({"x": x.ravel(), "y": y.ravel(), "far": far.ravel()}),
+                                            "x int, y int, far double")
+    side = lambda c, cell: blocks.select(F.col("blk").alias(c), F.col("cell").alias(cell), F.col("lo").alias(f"lo_{c}"),
+                                         F.col("hi").alias(f"hi_{c}"))
+    bound = F.greatest(F.col("far") - F.col("hi_a") - F.col("hi_b"), F.col("lo_a") - F.col("far") - F.col("hi_b"),
+                       F.col("lo_b") - F.col("far") - F.col("hi_a"))
+    pairs = side("a", "x").join(F.broadcast(apart), "x").join(side("b", "y"), "y").where("a < b")
+    return cut.select("id", "vec", "blk"), pairs.select("a", "b", bound.alias("bound"))
+
+
+def _paired(rows: DataFrame, pairs: DataFrame):
+    """Rows grouped by the pairs of blocks that hold them."""
+    pairs = pairs.select("a", "b")
+    left = rows.join(pairs, F.col("blk") == F.col("a"))
+    right = rows.join(pairs.where("a <> b"), F.col("blk") == F.col("b"))
+    return left.unionByName(right).groupBy("a", "b")
 
 
 def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -174,37 +249,61 @@ def top_k_neighbours(df: DataFrame, k: int = 10, id_col: str = "id", vec: str =
                      block_bytes: int = BLOCK_BYTES, metric: str = "cosine") -> DataFrame:
     """Exact top-k most similar other rows per row: ``(id, nbr, rank, sim)``.
     ``metric`` is ``cosine`` (descending) or ``euclidean`` (ascending distance).
-    Blocks are sized by bytes; a row is copied once per block."""
-    pairs = _block_pairs(df, id_col, vec, _n_blocks(df, vec, block_bytes))
+    Blocks are sized by bytes; a row is copied once for each pair of blocks that may hold
+    a neighbour."""
     cos = metric == "cosine"
+    rows, pairs = metric_blocks(df, id_col, vec, block_bytes, cos)
+    schema = "id long, nbr long, sim double"
+    order = F.desc("sim") if cos else F.asc("sim")
+    w = Window.partitionBy("id").orderBy(order, F.asc("nbr"))
+    none = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
+                         "sim": pd.Series([], dtype="float64")})
 
     def score_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        left = pdf[pdf["blk"] == bi]
-        right = pdf[pdf["blk"] == bj]
-        li, ri = left["id"].to_numpy(), right["id"].to_numpy()
-        lm, rm = _stack(left["vec"]), _stack(right["vec"])
-        sides = [(li, lm, ri, rm)] if bi == bj else [(li, lm, ri, rm), (ri, rm, li, lm)]
+        ids, m = pdf["id"].to_numpy(), _stack(pdf["vec"])
+        out = _best_of_block(ids, m, ids, m, k, cos)
+        return pd.concat(out, ignore_index=True).assign(blk=pdf["blk"].iloc[0]) if out else none.assign(blk="")
+
+    def score_pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        here = (pdf["blk"] == pdf["a"]).to_numpy()
+        ids, m = pdf["id"].to_numpy(), _stack(pdf["vec"])
+        sides = [(ids[x], m[x], ids[~x], m[~x]) for x in (here, ~here)]
         out = [p for side in sides for p in _best_of_block(*side, k, cos)]
-        none = pd.DataFrame({"id": pd.Series([], dtype="int64"), "nbr": pd.Series([], dtype="int64"),
-                             "sim": pd.Series([], dtype="float64")})
         return pd.concat(out, ignore_index=True) if out else none
 
-    cand = pairs.groupBy("bi", "bj").applyInPandas(score_block, "id long, nbr long, sim double")
-    order = F.desc("sim") if cos else F.asc("sim")
-    w = Window.partitionBy("id").orderBy(order, F.asc("nbr"))
+    own = rows.groupBy("blk").applyInPandas(score_block, schema + ", blk string")
+    cand = own.drop("blk")
+    if pairs is not None:
+        own = materialize(own)
+        needed = pairs_needed(rows, own, pairs, k, cos)
+        cand = own.drop("blk").unionByName(_paired(rows, needed).applyInPandas(score_pair, schema))
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("id", "nbr", "rank", "sim"))
 
 
+def pairs_needed(rows: DataFrame, own: DataFrame, pairs: DataFrame, k: int, cos: bool) -> DataFrame:
+    """The pairs of blocks whose bound doesn't exceed the worst k-th distance of a row in
+    one of them, as ``own`` (each block scored by itself) has it; a row with fewer than k
+    neighbours in its block needs every pair."""
+    d = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sim")))) if cos else F.col("sim")
+    kth = own.groupBy("blk", "id").agg(F.when(F.count(F.lit(1)) >= k, F.max(d)).otherwise(F.lit(math.inf)).alias("kth"))
+    kth = kth.groupBy("blk").agg(F.max("kth").alias("kth"), F.count(F.lit(1)).alias("met"))
+    worst = materialize(rows.groupBy("blk").agg(F.count(F.lit(1)).alias("n")).join(kth, "blk", "left").select(
+        "blk", F.when(F.col("met") == F.col("n"), F.col("kth")).otherwise(F.lit(math.inf)).alias("kth")))
+    of = lambda c: worst.select(F.col("blk").alias(c), F.col("kth").alias(f"kth_{c}"))
+    most = F.greatest("kth_a", "kth_b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.col("bound") <= most + SLACK * (1 + most)).select("a", "b")
+
+
 def similarity_edges(df: DataFrame, threshold: float = 0.6, id_col: str = "id", vec: str = "vec",
                      block_bytes: int = BLOCK_BYTES // 8) -> DataFrame:
     """All pairs ``src < dst`` with cosine similarity above ``threshold``."""
-    pairs = _block_pairs(df, id_col, vec, _n_blocks(df, vec, block_bytes))
+    rows, pairs = metric_blocks(df, id_col, vec, block_bytes, True)
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        left, right = pdf[pdf["blk"] == bi], pdf[pdf["blk"] == bj]
+        here = (pdf["blk"] == pdf["a"]).to_numpy()
+        own = pdf["a"].iloc[0] == pdf["b"].iloc[0]
+        left, right = pdf[here], pdf if own else pdf[~here]
         li, ri = left["id"].to_numpy(), right["id"].to_numpy()
         if len(li) == 0 or len(ri) == 0:
             return pd.DataFrame({"src": [], "dst": [], "weight": []}).astype(
@@ -212,12 +311,18 @@ def similarity_edges(df: DataFrame, threshold: float = 0.6, id_col: str = "id",
         s = _unit_rows(_stack(left["vec"])) @ _unit_rows(_stack(right["vec"])).T
         a, b = np.nonzero(s > threshold)
         src, dst, wt = li[a], ri[b], s[a, b]
-        keep = src < dst if bi == bj else src != dst
+        keep = src < dst if own else src != dst
         src, dst, wt = src[keep], dst[keep], wt[keep]
         lo, hi = np.minimum(src, dst), np.maximum(src, dst)
         return pd.DataFrame({"src": lo, "dst": hi, "weight": wt})
 
-    return pairs.groupBy("bi", "bj").applyInPandas(edges, "src long, dst long, weight double")
+    if pairs is None:
+        grouped = rows.withColumns({"a": F.col("blk"), "b": F.col("blk")}).groupBy("a", "b")
+    else:
+        most = math.acos(max(-1.0, min(1.0, threshold)))
+        within = rows.select(F.col("blk").alias("a"), F.col("blk").alias("b")).distinct()
+        grouped = _paired(rows, pairs.where(F.col("bound") <= most + SLACK).select("a", "b").unionByName(within))
+    return grouped.applyInPandas(edges, "src long, dst long, weight double")
 
 
 def rank_against(queries: DataFrame, corpus: DataFrame, q_id: str = "qid", q_vec: str = "qvec",
