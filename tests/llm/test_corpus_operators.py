@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -88,6 +89,21 @@ def test_join_equals_all_pairs(spark, block):
     assert sorted(((r.doc_id, r.n, r.component_id) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("block", [1500, 6])
+def test_join_counts_every_link(spark, block):
+    """Whole links between rows, members of one part included."""
+    rows = near_copies()
+    sets, part, least = brute_components(rows)
+    links = [sum(i != j and bool(s) and 100 * len(s & t) >= 85 * len(s | t) for j, t in enumerate(sets)) for i, s in enumerate(sets)]
+    got = ngram_join.component_ids(ngram_join.linked(frame(spark, rows, "links"), block)).collect()
+    want = [(d, len(s), min(least[p], default=None) if s else d, n) for (d, _), s, p, n in zip(rows, sets, part, links)]
+    assert sorted(((r.doc_id, r.n, r.component_id, r.links) for r in got), key=str) == sorted(want, key=str)
+    assert max(links) > 5
+    pairs = [(r.a, r.b) for r in ngram_join.class_links(frame(spark, rows, "links"), block).collect()]
+    different = {frozenset((s, t)) for s, t in combinations({frozenset(s) for s in sets if s}, 2) if 100 * len(s & t) >= 85 * len(s | t)}
+    assert len(pairs) == len(set(pairs)) == len(different) and all(a < b for a, b in pairs)
+
+
 def test_join_keeps_one_of_each_group(spark):
     rows = near_copies()
     sets, part, _ = brute_components(rows)
@@ -102,6 +118,7 @@ def test_join_keeps_one_of_each_group(spark):
 
 def test_join_of_nothing(spark):
     assert ngram_join.component_ids(ngram_join.near_duplicates(frame(spark, []))).count() == 0
+    assert ngram_join.linked(frame(spark, [])).count() == 0
 
 
 def test_signatures_meet_for_every_link():

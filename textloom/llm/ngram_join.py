@@ -19,8 +19,8 @@ documents link when 100 * intersection >= 85 * union.
    that did; those that reach the exact overlap of the pair are links.
 3. Components of the links.
 
-Only connections matter, so a query that is already connected with an id passes over
-it. Groups above a block (``block`` sets, ``SHINGLES`` shingles) are cut: all members query a hash-chosen pivot block
+``linked`` finds every link and counts those of each row. ``near_duplicates`` only needs the
+components, so a query that is already connected with an id passes over it. Its groups above a block (``block`` sets, ``SHINGLES`` shingles) are cut: all members query a hash-chosen pivot block
 first, in parallel chunks. Only where a group is still in several parts are the sets
 outside its largest part indexed in further blocks, with pairs inside one part
 skipped. No pair between parts is left out, and no task holds more than two blocks.
@@ -215,19 +215,20 @@ def candidate_groups(texts: DataFrame, order: int = 0) -> DataFrame:
 
 
 def candidates(docs: DataFrame, table: DataFrame, block: int) -> DataFrame:
-    """(doc_id, h, digest, grp, g, cuts): the sets that have candidates, one row each with a
-    row that holds it, their group, its size and the blocks it fills.
+    """(doc_id, h, digest, copies, grp, g, cuts): the sets that have candidates, one row each with
+    a row that holds it, the rows of that set, their group, its size and the blocks it fills.
 
     Among very many sets, chance meetings chain strangers to one large group. Linked
     sets meet in any hash order, so groups above a block are split by signatures of
     further orders, as long as that makes them smaller."""
     classes = (table.where("digest is not null").groupBy("digest")
-               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("r"), F.max("n").alias("n"))
-               .select("digest", "r.doc_id", "r.h", "n")
+               .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("r"), F.max("n").alias("n"),
+                    F.count(F.lit(1)).alias("copies"))
+               .select("digest", "r.doc_id", "r.h", "n", "copies")
                .withColumn("node", F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")))
 
     def sized(groups: DataFrame) -> DataFrame:
-        of = classes.join(groups, "node").select("doc_id", "h", "digest", "grp", "n")
+        of = classes.join(groups, "node").select("doc_id", "h", "digest", "grp", "n", "copies")
         cuts = F.ceil(F.greatest(F.col("g") / block, F.col("m") / SHINGLES)).cast("int")
         sizes = (of.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("m")).where("g > 1")
                  .select("grp", "g", cuts.alias("cuts")))
@@ -345,9 +346,10 @@ class Parts:
             self.up[max(i, j)] = min(i, j)
 
 
-def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], labels: list) -> list[tuple[int, int]]:
+def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], labels: list,
+                every: bool = False) -> list[tuple[int, int]]:
     """Links that connect ``queries`` with ``index`` (places in ``sets``). Sets with one
-    label are known to be connected."""
+    label are known to be connected and passed over, unless ``every`` link is asked for."""
     # neighbours in the order of their least hash are mostly copies, so known ones come in runs
     index, queries = (sorted(x, key=lambda i: (int(sets[i][0]), len(sets[i]))) for x in (index, queries))
     lists, parts, found = InvertedIndex([sets[i] for i in index]), Parts(labels), []
@@ -357,6 +359,8 @@ def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], la
         until = place.get(q, len(index))
 
         def after(k: int) -> int | None:
+            if every:
+                return k + 1 if k + 1 < until else None
             root = parts.find(q)
             for j in range(k + 1, until):
                 if parts.find(index[j]) != root:
@@ -364,7 +368,7 @@ def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], la
             return None
 
         def passed(k: int) -> bool:
-            return k >= until or parts.find(index[k]) == parts.find(q)
+            return k >= until or (not every and parts.find(index[k]) == parts.find(q))
 
         if after(-1) is None:
             continue
@@ -374,13 +378,13 @@ def block_links(sets: list[np.ndarray], index: list[int], queries: list[int], la
     return found
 
 
-def _links(docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """(a, b) digests found in the blocks of ``roles`` (doc_id, h, digest, block, asks,
-    answers, label)."""
-    def one(rows: list[tuple]) -> list[tuple[str, str]]:
+def _in_blocks(docs: DataFrame, roles: DataFrame, answer, schema: str) -> DataFrame:
+    """Rows of ``answer(names, sets, index, queries, labels)`` for each block of ``roles`` (doc_id, h,
+    digest, block, asks, answers, label): names are digests, index and queries places in them."""
+    def one(rows: list[tuple]) -> pd.DataFrame:
         seen: dict[str, int] = {}
         sets_, asks, answers, labels = [], [], [], []
-        for ask, answer, label, d, s in rows:
+        for ask, answers_, label, d, s in rows:
             if d in seen:                        # a repeated row, or both roles apart
                 i = seen[d]
             else:
@@ -388,27 +392,33 @@ def _links(docs: DataFrame, roles: DataFrame) -> DataFrame:
                 sets_.append(np.frombuffer(s, dtype=np.uint64))
                 labels.append(label)
             asks += [i] if ask else []
-            answers += [i] if answer else []
-        names = list(seen)
-        return [(names[i], names[j]) for i, j in block_links(sets_, sorted(set(answers)), sorted(set(asks)), labels)]
+            answers += [i] if answers_ else []
+        return answer(list(seen), sets_, sorted(set(answers)), sorted(set(asks)), labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, rows = None, []
         for b in batches:
             for key, *row in zip(b["block"], b["asks"], b["answers"], b["label"], b["digest"], b["s"]):
                 if key != block and rows:
-                    yield pd.DataFrame(one(rows), columns=["a", "b"])
+                    yield one(rows)
                     rows = []
                 block = key
                 rows.append(tuple(row))
         if rows:
-            yield pd.DataFrame(one(rows), columns=["a", "b"])
+            yield one(rows)
 
     roles = materialize(roles)
     sets = _with_sets(docs, roles.select("doc_id", "h", "digest").distinct())
     placed = sets.join(small_side(roles.drop("doc_id", "h"), MANY_IDS), "digest")
     return (placed.repartition("block").sortWithinPartitions("block", "digest")
-            .select("block", "asks", "answers", "label", "digest", "s").mapInPandas(run, "a string, b string"))
+            .select("block", "asks", "answers", "label", "digest", "s").mapInPandas(run, schema))
+
+
+def _links(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """(a, b) digests of the links that connect the sets of each block."""
+    def pairs(names, sets, index, queries, labels):
+        return pd.DataFrame([(names[i], names[j]) for i, j in block_links(sets, index, queries, labels)], columns=["a", "b"])
+    return _in_blocks(docs, roles, pairs, "a string, b string")
 
 
 def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -474,12 +484,64 @@ def _second_pass(docs: DataFrame, large: DataFrame, parts: DataFrame, key) -> Da
     return _links(docs, asks.unionByName(answers))
 
 
+def _two_chunks(sized: DataFrame) -> DataFrame:
+    """Blocks in which each two sets of a group meet once; the label of a set is its number
+    of rows. A group above a block is cut into chunks, and each two chunks are a block, so
+    no task holds more than two."""
+    cuts = F.greatest("cuts", F.lit(1))
+    of = sized.withColumn("me", F.pmod(F.xxhash64(F.lit(5), "digest"), cuts).cast("int"))
+    of = of.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    lo, hi = F.least("me", "other"), F.greatest("me", "other")
+    block = F.concat_ws(":", *[c.cast("string") for c in (F.col("grp"), lo, hi)])
+    return of.select("doc_id", "h", "digest", block.alias("block"), (F.col("me") == lo).alias("asks"),
+                     (F.col("me") == hi).alias("answers"), F.col("copies").alias("label"))
+
+
+def class_links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): every link between two different sets, by digest, each once with a < b."""
+    def pairs(names, sets, index, queries, labels):
+        found = block_links(sets, index, queries, [None] * len(sets), every=True)
+        return pd.DataFrame([sorted((names[i], names[j])) for i, j in found], columns=["a", "b"])
+    sized = candidates(docs, materialize(set_table(docs)), block)
+    return _in_blocks(docs, _two_chunks(sized), pairs, "a string, b string")
+
+
+def linked(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, ``n``, ``digest``, ``part`` (as ``near_duplicates``) and ``links`` of every row of
+    ``docs``: the other rows that a row links with, rows of an equal set included; 0 for an
+    empty set. Links are counted inside their block; a block sends each set's count and
+    the links that join its parts, not all pairs."""
+    def counted(names, sets, index, queries, copies):
+        found = block_links(sets, index, queries, [None] * len(sets), every=True)
+        links, parts, rows = [0] * len(sets), Parts([None] * len(sets)), []
+        for i, j in found:
+            links[i] += copies[j]
+            links[j] += copies[i]
+            if parts.find(i) != parts.find(j):
+                parts.join(i, j)
+                rows.append((names[i], names[j], 0))
+        rows += [(names[i], None, k) for i, k in enumerate(links) if k]
+        return pd.DataFrame(rows, columns=["a", "b", "links"])
+
+    table = materialize(set_table(docs))
+    found = materialize(_in_blocks(docs, _two_chunks(candidates(docs, table, block)), counted, "a string, b string, links long"))
+    parts = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("digest"), F.col("component").alias("part"))
+    more = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("more"))
+    size = table.where("digest is not null").groupBy("digest").agg((F.count(F.lit(1)) - 1).alias("same"))
+    of = size.join(more, "digest", "left").join(parts, "digest", "left")
+    return table.join(of, "digest", "left").select(
+        "doc_id", "n", "digest", F.coalesce("part", "digest").alias("part"),
+        (F.coalesce("same", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links"))
+
+
 def component_ids(found: DataFrame) -> DataFrame:
-    """doc_id, n, component_id from the rows of ``near_duplicates``; the component is the
-    least doc_id of the part, and of an empty set its own doc_id."""
+    """doc_id, n, component_id (and ``links`` where they were counted) from the rows of
+    ``near_duplicates`` or ``linked``; the component is the least doc_id of the part, and of
+    an empty set its own doc_id."""
+    more = [c for c in found.columns if c == "links"]
     least = found.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("first"))
     return (found.join(least, "part", "left")
-            .select("doc_id", "n", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id")))
+            .select("doc_id", "n", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), *more))
 
 
 def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -150,8 +150,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return ngram_join.component_ids(found).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = ngram_join.linked(table(spark, sf_dir, "documents"))
+    return ngram_join.component_ids(found).select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                                                  F.col("links").alias("n_links"))
 
 
 @_query("op6_inverted_multi_index")
