@@ -40,7 +40,7 @@ SELECT id, nbr, rank, round(sim, 6) AS sim FROM (
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
 WHERE rank <= 10""")
 def q_pairwise(spark, sf_dir):
-    """Top-10 cosine neighbours of every vector (exact, blocked all-pairs)."""
+    """Top-10 cosine neighbours of every vector (exact; blocks that are too far apart are skipped)."""
     nn = V.top_k_neighbours(emb(spark, sf_dir), k=10)
     return nn.withColumn("rank", F.col("rank").cast("bigint")).withColumn("sim", F.round("sim", 6))
 
