@@ -75,3 +75,13 @@ def test_merge_phrases_takes_every_second_of_a_run(spark):
     got = {r.doc_id: r.merged for r in V.merge_phrases(docs, phrases).collect()}
     assert got[1] == ["a_a", "a_a", "b"] and got[2] == ["x", "a_b", "a_b"] and got[3] == [] and got[5] == list("xyz")
     assert got[4] == ["a_a"] * 25_000 + ["a"]
+
+
+def test_a_common_key_does_not_fill_the_sample(spark):
+    """Half of all rows share one key, whatever its hash; the others still get many buckets."""
+    for common in range(6):
+        df = spark.range(4000).select(F.when(F.col("id") < 2000, F.lit(common)).otherwise(F.col("id")).alias("v"))
+        rows = range_bucket(df, F.struct("v"), 8).groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                                                    F.max("v").alias("hi")).orderBy("_b").collect()
+        assert len(rows) >= 7 and all(a.hi < b.lo for a, b in zip(rows, rows[1:]))
+        assert max(r.n for r in rows if r.lo >= 2000) < 600

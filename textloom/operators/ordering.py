@@ -95,14 +95,15 @@ def n_buckets_of(df: DataFrame) -> int:
 def range_bucket(df: DataFrame, key: Column, n_buckets: int, out_col: str = "_b") -> DataFrame:
     """Add the order-preserving bucket of a struct-valued order ``key``.
 
-    Boundaries are every ``OVERSAMPLE``-th of the keys with the smallest hashes, a
-    bounded sample that depends on the values alone, so the buckets are the same in
-    every branch and retry. Whole tuples are compared in their own types, so ties of
+    Boundaries are about every ``OVERSAMPLE``-th of a bounded sample: of the keys whose hash
+    leaves one remainder, the one with the smallest hash. So a key counts once however many
+    rows have it, and the buckets are the same in every branch and retry. Whole tuples are compared in their own types, so ties of
     the first column are split by the next. The boundaries come as one broadcast row;
     a row finds its bucket among the coarse ones first, then among the fine."""
     step = max(2, round(n_buckets ** 0.5))
     keyed = df.withColumn("__k", key)
-    sample = (keyed.select("__k").orderBy(F.xxhash64("__k"), "__k").limit(OVERSAMPLE * n_buckets)
+    hashed = keyed.select("__k", F.xxhash64("__k").alias("__h"))
+    sample = (hashed.groupBy(F.pmod("__h", F.lit(OVERSAMPLE * n_buckets))).agg(F.min_by("__k", "__h").alias("__k"))
               .agg(F.sort_array(F.collect_list("__k")).alias("__s")))
     # sample size / n_buckets apart, so that small inputs get boundaries as well
     apart = F.greatest(F.lit(1), F.ceil(F.size("__s") / n_buckets)).cast("int")
