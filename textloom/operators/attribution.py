@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.metrics import correlation
 
 
 def _sig(z: Column) -> Column:
@@ -66,3 +67,35 @@ def rationale_overlap(tw: DataFrame, score: str = "loo", rationale: Column | Non
     f1 = F.when(F.col("n_top") + F.col("n_rat") == 0, F.lit(0.0)).otherwise(2 * F.col("inter") / (F.col("n_top") + F.col("n_rat")))
     iou = F.when(F.col("union") == 0, F.lit(0.0)).otherwise(F.col("inter") / F.col("union"))
     return agg.select("case_id", F.round(f1, 6).alias("f1"), F.round(iou, 6).alias("iou"))
+
+
+def _mean_rank(of: str) -> Column:
+    """Rank of a token's value among those of its text, tied values at their mean rank."""
+    ties = F.count(F.lit(1)).over(Window.partitionBy("case_id", of))
+    return F.rank().over(Window.partitionBy("case_id").orderBy(of)) + (ties - 1) / 2.0
+
+
+def rank_agreement(tw: DataFrame, x: str = "weight", y: str = "loo") -> DataFrame:
+    """Spearman of two token scores per text; null where one of them is constant. Ranks are
+    windows over the tokens of one text, which is one row of the source."""
+    ranks = tw.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        "case_id", _mean_rank(x).alias("_rx"), _mean_rank(y).alias("_ry"))
+    return ranks.groupBy("case_id").agg(F.round(correlation("_rx", "_ry"), 6).alias("spearman"))
+
+
+def rationale_pr_auc(tw: DataFrame, score: str = "loo", rationale: Column | None = None) -> DataFrame:
+    """Trapezoid area under precision-recall of a token score against a 0/1 rationale, per
+    text, from (recall 0, precision 1); null for a text without rationale. Tied scores are one
+    threshold; cumulative counts are windows over the thresholds of one text."""
+    rat = rationale if rationale is not None else (F.col("weight") > 0)
+    per = tw.groupBy("case_id", F.col(score).alias("_s")).agg(
+        F.count_if(rat).alias("tp_at"), F.count_if(~F.coalesce(rat, F.lit(False))).alias("fp_at"))
+    w = Window.partitionBy("case_id")
+    upto = w.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    c = per.select("case_id", "tp_at", "fp_at", F.sum("tp_at").over(upto).alias("tp"), F.sum("fp_at").over(upto).alias("fp"),
+                   F.sum("tp_at").over(w).alias("P"))
+    tp, fp = F.col("tp") - F.col("tp_at"), F.col("fp") - F.col("fp_at")
+    before = F.when(tp + fp == 0, F.lit(1.0)).otherwise(tp / (tp + fp))
+    step = F.when(F.col("P") > 0, F.col("tp_at") / F.col("P"))
+    area = step * (F.col("tp") / (F.col("tp") + F.col("fp")) + before) / 2
+    return c.groupBy("case_id").agg(F.round(F.sum(area), 6).alias("pr_auc"))

@@ -193,12 +193,18 @@ def average_ranks(df: DataFrame, col: str, out_col: str, group_cols: Sequence[st
     return df.join(ranks, [*g, col])
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation as an aggregate; null where one side is constant (``corr`` raises
+    a division by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson_spearman(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation and Spearman (Pearson of average ranks)."""
     g = list(group_cols)
     r = average_ranks(average_ranks(df, x, "_rx", g), y, "_ry", g)
-    return r.groupBy(*g).agg(F.round(F.corr(x, y), 6).alias("pearson"),
-                             F.round(F.corr("_rx", "_ry"), 6).alias("spearman"))
+    return r.groupBy(*g).agg(F.round(correlation(x, y), 6).alias("pearson"),
+                             F.round(correlation("_rx", "_ry"), 6).alias("spearman"))
 
 
 def accuracy(df: DataFrame, group_cols: Sequence[str] = (), label: str = "label",
