@@ -380,9 +380,9 @@ def layer_combine(layers: str, mode: str, top_n: int = 4) -> Column:
 def nbow(tf: DataFrame, group_cols, term: str = "term", tf_col: str = "tf") -> DataFrame:
     """nBOW weights ln(1 + tf) normalised to sum 1 within each document."""
     g = [group_cols] if isinstance(group_cols, str) else list(group_cols)
-    w = tf.withColumn("_l", F.log1p(F.col(tf_col)))
-    tot = w.groupBy(*g).agg(F.sum("_l").alias("_t"))
-    return w.join(tot, g).withColumn("weight", F.col("_l") / F.col("_t")).drop("_l", "_t")
+    known = tf.where(" and ".join(f"`{c}` is not null" for c in g))
+    w = known.withColumn("_l", F.log1p(F.col(tf_col)))
+    return w.withColumn("weight", F.col("_l") / F.sum("_l").over(Window.partitionBy(*g))).drop("_l")
 
 
 def _accuracy(pairs: DataFrame, n: str) -> DataFrame:

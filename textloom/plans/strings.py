@@ -12,8 +12,8 @@ from textloom.plans import sqlfrag as Q
 from textloom.plans.registry import query
 from textloom.sources import tables as S
 
-def clean_tokens(spark, sf_dir):
-    d = S.read(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+def clean_tokens(spark, sf_dir, documents=None):
+    d = (S.read(spark, sf_dir, "documents") if documents is None else documents).where(F.col("text").isNotNull())
     return evaluate_once(d.select("doc_id", T.tokenize_words(T.clean_note("text")).alias("tokens")), "tokens")
 
 
@@ -164,9 +164,9 @@ def q_tokenize_words(spark, sf_dir):
         "doc_id", F.size(tk).alias("n_tokens"), F.array_join(tk, " ").alias("tokens"))
 
 
-def stop_tokens(spark, sf_dir):
+def stop_tokens(spark, sf_dir, documents=None):
     from textloom.functions.lexicon import stop_words
-    d = S.read(spark, sf_dir, "documents")
+    d = S.read(spark, sf_dir, "documents") if documents is None else documents
     t = d.select("doc_id", T.tokenize_words("text").alias("raw"))
     return drop_stopwords(t, "raw", "tokens", stop_words()).select("doc_id", "tokens")
 
