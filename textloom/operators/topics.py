@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.common import with_one_row
+from textloom.operators.common import materialize, small_side, with_one_row
 
 
 def top_words_per_topic(df: DataFrame, topic: str, tokens: str, k: int = 10) -> DataFrame:
@@ -18,15 +18,18 @@ def top_words_per_topic(df: DataFrame, topic: str, tokens: str, k: int = 10) ->
 
 
 def npmi(docs: DataFrame, topic_words: DataFrame, doc_col: str = "doc_id", tokens: str = "tokens",
-         topic: str = "topic") -> DataFrame:
+         topic: str = "topic", n_docs: DataFrame | None = None) -> DataFrame:
     """Mean NPMI of the word pairs of each topic over document co-occurrence:
     NPMI = ln(p_ij / (p_i p_j)) / -ln(p_ij), -1 when a pair never co-occurs.
     Only topic words are kept before the per-document pairing, so a document
-    contributes at most (words per topic)^2 pairs."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_nd"))
-    tw = topic_words.select(topic, "word")
-    pres = docs.select(doc_col, F.explode(F.array_distinct(tokens)).alias("word")).join(
-        tw.select("word").distinct(), "word")
+    contributes at most (words per topic)^2 pairs. The topic words are found once, and where
+    they are few they go to the documents; so the texts are read once more, and only
+    topic words move. ``n_docs`` is the number of documents as one row ``_nd``, if it can
+    be had without their tokens."""
+    n_docs = n_docs if n_docs is not None else docs.agg(F.count(F.lit(1)).alias("_nd"))
+    tw = materialize(topic_words.select(topic, "word"))
+    pres = materialize(docs.select(doc_col, F.explode(F.array_distinct(tokens)).alias("word")).join(
+        small_side(tw.select("word").distinct()), "word"))
     df_w = pres.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     a = pres.join(tw, "word").select(doc_col, topic, F.col("word").alias("wi"))
     b = a.select(doc_col, topic, F.col("wi").alias("wj"))

@@ -44,7 +44,7 @@ def stop_docs(spark, sf_dir):
 def _npmi(spark, sf_dir):
     docs = stop_docs(spark, sf_dir)
     tw = TP.top_words_per_topic(docs, "topic", "tokens", 10)
-    return TP.npmi(docs, tw)
+    return TP.npmi(docs, tw, n_docs=S.read(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("_nd")))
 
 
 @query("top_npmi", sql=NPMI_SQL + "SELECT * FROM npmi")
