@@ -3,7 +3,7 @@
 A full stop after a word ends a sentence unless the word is an abbreviation. Whether it is
 one is told by counts over the whole corpus (Kiss and Strunk, 2006): the likelihood ratio of
 "the word nearly always has its stop" against "it has one as often as any word", scaled by
-its length, its inner stops and its occurrences without a stop. The counts are one group-by
+its length, its inner stops and its occurrences without a stop. The counts are group-bys
 on the words, and pieces meet the abbreviations in an equi-join, so neither has a limit."""
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.common import materialize, with_one_row
+from textloom.operators.common import evaluate_once, materialize, small_side, with_one_row
 
 #: Marks around a word that are not part of it; a full stop is.
 BEFORE, AFTER = "\"'([{«“‘", "\"')]}»”’,;:!?"
@@ -35,11 +35,12 @@ def _kind(core: Column) -> Column:
 
 def abbreviations(paragraphs: DataFrame, text: str, threshold: float = 0.3) -> DataFrame:
     """(word, score) of every word type that is an abbreviation, without its last stop."""
-    cores = paragraphs.select(F.explode(_words(F.col(text))).alias("w")).select(_core(F.col("w")).alias("c"))
+    forms = paragraphs.select(F.explode(_words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("m"))
+    cores = forms.groupBy(_core(F.col("w")).alias("c")).agg(F.sum("m").alias("m"))    # each form is read once
     counts = materialize(
-        cores.select(_kind(F.col("c")).alias("word"), F.col("c").endswith(".").cast("int").alias("dot"))
+        cores.select(_kind(F.col("c")).alias("word"), F.col("c").endswith(".").cast("int").alias("dot"), "m")
         .where("word IS NOT NULL").groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("dot").alias("k")))
+        .agg(F.sum("m").alias("n"), F.sum(F.col("dot") * F.col("m")).alias("k")))
     all_ = counts.agg((F.sum("k") / F.sum("n")).alias("p"))
     rest, size = F.col("n") - F.col("k"), F.length(F.replace("word", F.lit("."), F.lit("")))
     ratio = 2 * (F.col("k") * (F.lit(log(0.99)) - F.log("p")) + rest * (F.lit(log(0.01)) - F.log(1 - F.col("p"))))
@@ -54,10 +55,13 @@ def split_sentences(paragraphs: DataFrame, keys: list[str], text: str, threshold
     ``.``, ``!`` or ``?`` and white space, but not after an abbreviation. ``keys`` name a
     paragraph; empty ones and nulls give no rows."""
     cut = F.split(F.regexp_replace(F.btrim(F.col(text), F.lit(" \t")), r"([.!?])[ \t]+", "$1\n"), "\n")
-    pieces = paragraphs.select(*keys, F.posexplode(cut).alias("_i", "_piece")).where("_piece <> ''")
+    whole = paragraphs.select(*keys, text).repartition(*keys)    # a paragraph moves once, its pieces don't
+    pieces = whole.select(*keys, F.posexplode(cut).alias("_i", "_piece")).where("_piece <> ''")
     last = F.substring_index(F.translate("_piece", "\t", " "), " ", -1)
-    pieces = pieces.withColumn("_w", F.when(F.col("_piece").endswith("."), _kind(_core(last))))
-    known = abbreviations(paragraphs, text, threshold).select(F.col("word").alias("_w"), F.lit(True).alias("_abbr"))
+    pieces = evaluate_once(pieces.withColumn("_c", F.when(F.col("_piece").endswith("."), _core(last))), "_c")
+    pieces = pieces.withColumn("_w", _kind(F.col("_c"))).drop("_c")
+    known = small_side(materialize(
+        abbreviations(paragraphs, text, threshold).select(F.col("word").alias("_w"), F.lit(True).alias("_abbr"))))
     w = Window.partitionBy(*keys).orderBy("_i")
     opens = F.when(F.lag(F.coalesce("_abbr", F.lit(False)), 1, False).over(w), 0).otherwise(1)
     numbered = (pieces.join(known, "_w", "left").withColumn("_opens", opens)
