@@ -39,6 +39,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_one_partition_join_nothing(spark, monkeypatch):
+    """Edges of one partition are contracted there; with more partitions the rounds agree."""
+    from textloom.llm import graph
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000, 1000 + i) for i in range(1, 150)]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    want = {r.node: r.component for r in components(df).collect()}
+    stars = graph._stars(df.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").coalesce(1), 10 ** 6)
+    assert {r.u: r.v for r in stars.collect()} == {n: c for n, c in want.items() if n != c}
+    rounds = []
+    cut = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda d: rounds.append(1) or cut(d))
+    assert {r.node: r.component for r in components(df).collect()} == want and len(rounds) == 2
+    monkeypatch.setattr(graph, "ROWS", 40)
+    assert {r.node: r.component for r in components(df).collect()} == want
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
