@@ -269,3 +269,20 @@ def test_search_cases(spark):
     assert _found(lexical.search(docs, items, top=2)) == _plain_search(rows, [x for x in asked if x[1] is not None], 2)
     assert lexical.search(docs.where("false"), items).collect() == []
     assert lexical.search(docs, items.where("false")).collect() == []
+
+
+def test_every_learning_text_calibrates(spark, monkeypatch):
+    """More learning rows than the former bound of 20,000 of a sixteenth: each is counted."""
+    words = {"en": ["the", "house", "which"], "de": ["und", "schloss", "nicht"]}
+    rows = [(i, " ".join(np.random.default_rng(i).choice(words[lang], 4)), lang) for i in range(300) for lang in [("en", "de")[i % 2]]]
+    seen = []
+    fit = langid.fit_logistic
+    monkeypatch.setattr(langid, "fit_logistic", lambda x, hit, n: seen.append(int(n.sum())) or fit(x, hit, n))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df, F.col("doc_id") < 240).collect()
+    assert seen == [240]
+    assert all(r["lang_pred"] == ("en", "de")[r["doc_id"] % 2] and r["accepted"] and 0.5 < r["score"] <= 1 for r in got)
+    x, hit = np.array([0.1, 0.1, 2.0, 2.0, 2.0]), np.array([True, False, True, True, False])
+    a = fit(x, hit, np.ones(5))
+    b = fit(np.array([0.1, 0.1, 2.0, 2.0]), np.array([True, False, True, False]), np.array([1, 1, 2, 1]))
+    assert np.allclose(a, b)

@@ -21,9 +21,9 @@ could, so alphabets stay whole; the bound is met by scripts of thousands of sign
 A text gets the language of the lowest cross-entropy a character. ``score`` is the
 probability that this is right, a logistic of the log evidence against the runner-up;
 ``accepted`` is false where the cross-entropy lies beyond all but ``reject`` of the texts of
-that language. Both are calibrated on at most ``fit_rows`` learning texts (the smallest
-hashes of a sixteenth of the rows, and their copies), scored with models that leave that
-sixteenth out.
+that language. Both are calibrated on every learning text: the rows are dealt into two
+halves, and each half is scored with models of the other. The driver sees counts of rounded
+evidence and a row a language.
 
 Defined cases: null texts and texts without letters are "und" with score 0; so are all
 texts if nothing was learned; null languages don't teach, an empty one is a language like
@@ -261,15 +261,16 @@ def evidence(ce: np.ndarray, size: np.ndarray, letters_: float) -> tuple[np.ndar
     return best, low, np.log1p((second - low) * size)
 
 
-def fit_logistic(x: np.ndarray, hit: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope (0 or more) and offset of P(hit | x) on smoothed targets (Platt). The slope
-    is drawn to 1, as much as one row weighs, so it is defined where all rows hit."""
-    good, bad = hit.sum(), (~hit).sum()
+def fit_logistic(x: np.ndarray, hit: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope (0 or more) and offset of P(hit | x) on smoothed targets (Platt), from ``n`` rows
+    of each (x, hit). The slope is drawn to 1, as much as one row weighs, so it is defined
+    where all rows hit."""
+    good, bad = n[hit].sum(), n[~hit].sum()
     y = np.where(hit, (good + 1) / (good + 2), 1 / (bad + 2))
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r, w = p - y, np.maximum(p * (1 - p), 1e-9)
+        r, w = n * (p - y), n * np.maximum(p * (1 - p), 1e-9)
         g = np.array([(r * x).sum() + a - 1, r.sum()])
         h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
         step = np.linalg.solve(h, g)
@@ -278,43 +279,54 @@ def fit_logistic(x: np.ndarray, hit: np.ndarray, rounds: int = 50) -> tuple[floa
 
 
 def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
-             fit_rows: int = 20_000, reject: float = 0.001, max_entries: int = MAX_ENTRIES, seed: int = 5) -> DataFrame:
+             reject: float = 0.001, max_entries: int = MAX_ENTRIES, seed: int = 5) -> DataFrame:
     """All columns of ``docs`` but the text and its language, with ``lang_pred``, ``score``,
     ``cross_entropy`` and ``accepted``. Rows where ``learn`` holds and the language is known
     teach; nothing but the text enters a prediction."""
-    apart = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(16)) == 0
+    apart = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2)) == 0
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), key, text).alias("h"), apart.alias("apart"))
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), apart.alias("apart"))
     counts = materialize(window_counts(known))
     whole = load_models(shares(counts.groupBy("lang", "g").agg(F.sum("n").alias("n")), max_entries))
-    part = load_models(shares(counts.where("not apart").select("lang", "g", "n"), max_entries))
+    # models without the rows of a half, by which those are scored
+    parts = {half: load_models(shares(counts.where(F.col("apart") != half).select("lang", "g", "n"), max_entries))
+             for half in (False, True)}
     sc = docs.sparkSession.sparkContext
     names = sorted(whole)
     a, b, limits = 0.0, 0.0, {}
-    if part:
-        tried, some = sorted(part), sc.broadcast([part[x] for x in sorted(part)])
+    if any(parts.values()):
+        some = sc.broadcast(parts)
 
         def measure(batches):
             for t in batches:
-                ce, size = cross_entropies(t.column("text").to_pylist(), some.value)
-                has = size > 0
-                best, low, x = evidence(ce[has], size[has], -np.log(some.value[0].floor)) if has.any() else (np.zeros(0, int), np.zeros(0), np.zeros(0))
-                truth = np.array(t.column("lang").to_pylist(), dtype=object)[has]
-                own = [float(ce[has][i, tried.index(y)]) if y in part else None for i, y in enumerate(truth)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(truth, pa.string()), pa.array([tried[i] == y for i, y in zip(best, truth)], pa.bool_()),
-                     pa.array(x), pa.array(own, pa.float64()), pa.array(size[has])], ["lang", "hit", "x", "ce", "size"])
-        # the hash of the last row comes from hashes alone; the texts stay where they are
-        last = known.where("apart").select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-        sample = known.where(F.col("apart") & (F.col("h") <= F.lit(last))).select("lang", "text")
-        tests = sample.mapInArrow(measure, "lang string, hit boolean, x double, ce double, size long").toArrow().to_pandas()
-        if len(tests):
-            a, b = fit_logistic(tests["x"].to_numpy(), tests["hit"].to_numpy(dtype=bool))
-            for name, rows in tests[tests["ce"].notna()].groupby("lang"):
-                mid = float(rows["ce"].median())
-                # the spread of short texts is wider; 256 letters and more count alike
-                over = (rows["ce"] - mid) * np.sqrt(np.minimum(rows["size"], 256))
-                limits[name] = (mid, float(over.quantile(1 - reject)) * 1.5 + 1.0)
+                half = t.column("apart").to_numpy(zero_copy_only=False)
+                texts, langs = t.column("text").to_pylist(), t.column("lang").to_pylist()
+                for side, part in some.value.items():
+                    mine = np.flatnonzero(half == side)
+                    tried = sorted(part)
+                    if not tried or not len(mine):
+                        continue
+                    ce, size = cross_entropies([texts[i] for i in mine], [part[x] for x in tried])
+                    has = size > 0
+                    if not has.any():
+                        continue
+                    best, _, x = evidence(ce[has], size[has], -np.log(part[tried[0]].floor))
+                    truth = [langs[i] for i in mine[has]]
+                    own = [float(ce[has][i, tried.index(y)]) if y in part else None for i, y in enumerate(truth)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(truth, pa.string()), pa.array([tried[i] == y for i, y in zip(best, truth)], pa.bool_()),
+                         pa.array(x), pa.array(own, pa.float64()), pa.array(size[has])], ["lang", "hit", "x", "ce", "size"])
+        tests = materialize(known.mapInArrow(measure, "lang string, hit boolean, x double, ce double, size long"))
+        # thousandths: the evidence is a logarithm, so its distinct values are few at any number of rows
+        seen = tests.groupBy(F.round("x", 3).alias("x"), "hit").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "hit").toPandas()
+        if len(seen):
+            a, b = fit_logistic(seen["x"].to_numpy(), seen["hit"].to_numpy(dtype=bool), seen["n"].to_numpy())
+            told = tests.where("ce is not null")
+            mid = told.groupBy("lang").agg(F.percentile(F.round("ce", 3), 0.5).alias("mid"))       # a row a language
+            # the spread of short texts is wider; 256 letters and more count alike
+            over = (F.col("ce") - F.col("mid")) * F.sqrt(F.least("size", F.lit(256)))
+            top = told.join(F.broadcast(mid), "lang").groupBy("lang", "mid").agg(F.percentile(F.round(over, 3), 1 - reject).alias("over"))
+            limits = {r["lang"]: (r["mid"], r["over"] * 1.5 + 1.0) for r in top.collect()}
     models = sc.broadcast([whole[x] for x in names])
     rest = [c for c in docs.columns if c not in (text, lang)]
     out = docs.select(*rest, F.col(text).alias("__text"))
