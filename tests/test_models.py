@@ -197,3 +197,19 @@ def test_batch_scoring_covers_all_documents(spark):
     got = {r.doc_id: r for r in QUERIES["ml_score_batch"](spark, SF).collect()}
     ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert set(got) == ids and all(0 <= r.p1 <= 1 and r.prediction == (r.p1 > 0.5) for r in got.values())
+
+
+def test_topic_model_is_alike_in_more_blocks(spark, monkeypatch):
+    """A pass joins words with blocks, not with every count; the number of blocks changes nothing."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [f"w{j}" for j in rng.integers(0, 30, 20)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    a, b = [], []
+    words, shares = TM.train(docs, k=3, passes=3, trace=a)
+    monkeypatch.setattr(TM, "BLOCK_COUNTS", 200)
+    monkeypatch.setattr(TM, "AT_ONCE", 37)
+    more, parts = TM.train(docs, k=3, passes=3, trace=b)
+    assert np.allclose(a, b) and len(a) == 3
+    for x, y, key in ((words, more, "word"), (shares, parts, "doc")):
+        x, y = (d.toPandas().set_index(key).sort_index() for d in (x, y))
+        assert x.index.equals(y.index) and np.allclose(x, y)

@@ -1,12 +1,13 @@
 """Latent topics by expectation maximisation, with every table of the model in Spark.
 
 The model is mixtures of words with Dirichlet priors: p(word | doc) = sum over topics of
-theta(doc, topic) * phi(topic, word). A pass joins the (doc, word, n) table with the word
-rows and the doc rows, shares n out among the topics, and sums the shares by word and by
-doc in one aggregate (grouping sets, combined before the shuffle). Word and doc rows are
-all that a pass keeps; neither the vocabulary nor a topic-by-word matrix reaches the
-driver, which sees one number a pass, the objective. That never falls, as each pass is an
-exact step of expectation maximisation for the posterior mode.
+theta(doc, topic) * phi(topic, word). Documents are dealt into blocks of bounded counts, each
+packed once as arrays (a compressed row a block). A pass joins the word rows with the words of
+each block, so a word goes to a block once and not to every document; a task shares the counts
+of its block out among the topics and sends one row a word, which Spark sums, and the topic
+shares of its documents. Neither the vocabulary nor a topic-by-word matrix reaches the driver,
+which sees one number a pass, the objective. That never falls, as each pass is an exact step of
+expectation maximisation for the posterior mode.
 
 Rows without an id, null words and empty documents take no part. Starts are hashes of
 (seed, word, topic), so a retried task draws the same."""
@@ -14,13 +15,20 @@ Rows without an id, null words and empty documents take no part. Starts are hash
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.common import materialize, with_one_row
 
 
+#: Counts (doc, word, n) in a block, and counts that a task takes at a time.
+BLOCK_COUNTS, AT_ONCE = 1_000_000, 250_000
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(doc, word, n) of every distinct word of a document."""
     words = docs.select(F.col(id_col).alias("doc"), F.explode(tokens).alias("word"))
@@ -44,21 +52,67 @@ def phi(words: DataFrame, k: int, eta: float) -> DataFrame:
         ((F.col(f"v{i}") + eta) / (F.col(f"_t{i}") + F.col("_w") * eta)).alias(f"p{i}") for i in range(k)])
 
 
-def theta(rows: DataFrame, k: int, alpha: float) -> DataFrame:
-    """(doc, q0, ..): each document's share of the topics, from the counts v0, .. of ``rows``."""
-    total = _sum(_cols("v", k)) + k * alpha
-    return rows.select("doc", *[((F.col(f"v{i}") + alpha) / total).alias(f"q{i}") for i in range(k)])
-
-
-def _one_pass(edges: DataFrame, p: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    """Rows by word (doc is null) and by doc (word is null): the counts v0, .. of the topics
-    and the log-likelihood ``ll`` before the pass."""
-    joined = edges.join(p, "word").join(q, "doc")
-    shares = [F.col(f"p{i}") * F.col(f"q{i}") for i in range(k)]
-    x = joined.select("doc", "word", "n", *[s.alias(f"x{i}") for i, s in enumerate(shares)], _sum(shares).alias("s"))
-    return x.groupingSets([["word"], ["doc"]], "word", "doc").agg(
-        *[F.sum(F.col("n") * F.col(f"x{i}") / F.col("s")).alias(f"v{i}") for i in range(k)],
-        F.sum(F.col("n") * F.log("s")).alias("ll"))
+def packed(edges: DataFrame, n_blocks: int, seed: int) -> DataFrame:
+    """A row for each block of documents: its words and docs, and the places (w, d) and n of its
+    counts as arrays."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, words = pd.factorize(pdf["word"])
+        d, docs = pd.factorize(pdf["doc"])
+        order = np.argsort(d, kind="stable")
+        return pd.DataFrame({"blk": [pdf["blk"].iloc[0]], "words": [list(words)], "docs": [list(docs)],
+                             "w": [w[order].astype(np.int32).tobytes()], "d": [d[order].astype(np.int32).tobytes()],
+                             "n": [pdf["n"].to_numpy(dtype=np.float64)[order].tobytes()]})
+    kind = edges.schema["doc"].dataType.simpleString()
+    dealt = edges.withColumn("blk", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.lit(n_blocks)))
+    return dealt.groupBy("blk").applyInPandas(
+        run, f"blk long, words array<string>, docs array<{kind}>, w binary, d binary, n binary")
+
+
+def _one_pass(blocks: DataFrame, members: DataFrame, p: DataFrame, shares: DataFrame | None, k: int, alpha: float) -> DataFrame:
+    """A row for each word of a block with the counts v0, .. of the topics, and one without a word
+    for the block: its documents' shares ``q`` after the pass, and the log-likelihood ``ll`` and
+    sum of the shares' logarithms ``lq`` before it. No ``shares``: all topics alike."""
+    def run(key: tuple, block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        b = block.iloc[0]
+        w, d, n = np.frombuffer(b["w"], np.int32), np.frombuffer(b["d"], np.int32), np.frombuffer(b["n"], np.float64)
+        words, n_docs = b["words"], len(b["docs"])
+        phi_ = np.zeros((len(words), k))
+        phi_[rows["at"].to_numpy()] = rows[_cols("p", k)].to_numpy(dtype=np.float64)
+        q = np.full((n_docs, k), 1 / k) if b["q"] is None else np.frombuffer(b["q"], np.float64).reshape(n_docs, k)
+        by_word, by_doc, ll = np.zeros_like(phi_), np.zeros((n_docs, k)), 0.0
+        for at in range(0, len(w), AT_ONCE):
+            w_, d_, n_ = w[at:at + AT_ONCE], d[at:at + AT_ONCE], n[at:at + AT_ONCE]
+            x = phi_[w_] * q[d_]
+            total = x.sum(1)
+            ll += float((n_ * np.log(total)).sum())
+            x *= (n_ / total)[:, None]
+            for i in range(k):
+                by_word[:, i] += np.bincount(w_, x[:, i], len(words))
+                by_doc[:, i] += np.bincount(d_, x[:, i], n_docs)
+        after = (by_doc + alpha) / (by_doc.sum(1, keepdims=True) + k * alpha)
+        rest = [None] * len(words)
+        out = pd.DataFrame(np.vstack([by_word, np.zeros((1, k))]), columns=_cols("v", k))
+        out["blk"], out["word"], out["q"] = b["blk"], [*words, None], [*rest, after.tobytes()]
+        out["ll"], out["lq"] = [*rest, ll], [*rest, float(np.log(q).sum())]
+        return out[["blk", "word", *_cols("v", k), "q", "ll", "lq"]].astype({"ll": float, "lq": float})
+
+    schema = "blk long, word string, " + "".join(f"v{i} double, " for i in range(k)) + "q binary, ll double, lq double"
+    none = F.lit(None).cast("binary").alias("q")
+    held = blocks.select("*", none) if shares is None else blocks.join(shares, "blk")
+    rows = p.join(members, "word").select(F.col("blk").alias("to"), "at", *_cols("p", k))
+    return held.groupBy("blk").cogroup(rows.groupBy("to")).applyInPandas(run, schema)
+
+
+def theta(blocks: DataFrame, shares: DataFrame | None, k: int) -> DataFrame:
+    """(doc, q0, ..): each document's share of the topics, from the rows of its block."""
+    def run(batches):
+        for b in batches:
+            for docs, q in zip(b["docs"], b["q"]):
+                m = np.full((len(docs), k), 1 / k) if q is None else np.frombuffer(q, np.float64).reshape(len(docs), k)
+                yield pd.DataFrame(m, columns=_cols("q", k)).assign(doc=docs)[["doc", *_cols("q", k)]]
+    held = blocks.select("*", F.lit(None).cast("binary").alias("q")) if shares is None else blocks.join(shares, "blk")
+    kind = blocks.schema["docs"].dataType.elementType.simpleString()
+    return held.select("docs", "q").mapInPandas(run, f"doc {kind}, " + ", ".join(f"q{i} double" for i in range(k)))
 
 
 def train(docs: DataFrame, k: int = 4, passes: int = 20, tol: float = 1e-4, seed: int = 42, alpha: float = 0.1,
@@ -73,24 +127,26 @@ def train(docs: DataFrame, k: int = 4, passes: int = 20, tol: float = 1e-4, seed
         bits = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{i}"), "word")), 1, 8)
         return -F.log((F.conv(bits, 16, 10).cast("double") + 1) / float((1 << 32) + 1))
 
+    n_blocks = max(1, ceil(edges.count() / BLOCK_COUNTS))
+    blocks = materialize(packed(edges, n_blocks, seed))
+    members = materialize(blocks.select("blk", F.posexplode("words").alias("at", "word")))
     p = materialize(phi(edges.select("word").distinct().select("word", *[draw(i).alias(f"v{i}") for i in range(k)]), k, eta))
-    q = theta(edges.select("doc").distinct().select("doc", *[F.lit(0.0).alias(c) for c in _cols("v", k)]), k, alpha)
-    before = None
+    shares, before = None, None
     for _ in range(passes):
-        state = materialize(_one_pass(edges, p, q, k))
-        logs = lambda df, name: df.agg(F.sum(_sum([F.log(c) for c in _cols(name, k)])))
-        parts = state.where("word is null").agg(F.sum("ll")).unionAll(
-            logs(p, "p")).unionAll(logs(q, "q")).collect()      # three rows
-        ll, of_words, of_docs = [r[0] or 0.0 for r in parts]
+        state = materialize(_one_pass(blocks, members, p, shares, k, alpha))
+        parts = state.where("word is null").agg(F.sum("ll"), F.sum("lq"))
+        of_words = p.agg(F.sum(_sum([F.log(c) for c in _cols("p", k)])).alias("lp"))
+        ll, of_docs, of_words = [x or 0.0 for x in with_one_row(parts, of_words).first()]
         now = ll + eta * of_words + alpha * of_docs
         if trace is not None:
             trace.append(now)
-        p = materialize(phi(state.where("word is not null"), k, eta))
-        q = theta(state.where("doc is not null"), k, alpha)
+        p = materialize(phi(state.where("word is not null").groupBy("word").agg(
+            *[F.sum(c).alias(c) for c in _cols("v", k)]), k, eta))
+        shares = state.where("word is null").select("blk", "q")
         if before is not None and now - before < tol * abs(before):
             break
         before = now
-    return p, q
+    return p, theta(blocks, shares, k)
 
 
 def top_words(p: DataFrame, k: int, n: int = 10) -> DataFrame:
