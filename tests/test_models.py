@@ -213,3 +213,20 @@ def test_topic_model_is_alike_in_more_blocks(spark, monkeypatch):
     for x, y, key in ((words, more, "word"), (shares, parts, "doc")):
         x, y = (d.toPandas().set_index(key).sort_index() for d in (x, y))
         assert x.index.equals(y.index) and np.allclose(x, y)
+
+
+def test_cell_by_matrices_is_the_plain_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    n_w, n_c, size = 60, 40, 8
+    pairs = np.argwhere(rng.random((n_w, n_c)) < 0.4)
+    n = rng.integers(1, 5, len(pairs))
+    noise, mass = rng.random(n_c) + 0.1, np.bincount(pairs[:, 0], n, n_w)
+    w, c = rng.random((n_w, size)).astype(np.float32) - 0.5, rng.random((n_c, size)).astype(np.float32) - 0.5
+
+    def run():
+        a, b = w.copy(), c.copy()
+        SG.fit_cell(a, np.zeros(n_w), b, np.zeros(n_c), pairs[:, 0], pairs[:, 1], n, mass, noise, 1.0, 3, 0.1, 3, 1)
+        return a, b
+    plain = run()
+    monkeypatch.setattr(SG, "MATRIX_PAIRS", 0)
+    assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(plain, run()))
