@@ -230,3 +230,14 @@ def test_cell_by_matrices_is_the_plain_one(monkeypatch):
     plain = run()
     monkeypatch.setattr(SG, "MATRIX_PAIRS", 0)
     assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(plain, run()))
+
+
+def test_fitted_forest_is_the_pipelines(spark):
+    """Features kept as checkpoints give the model that the plain pipeline fits."""
+    data = labelled_docs(spark, SF).repartition(3, "doc_id").cache()
+    pipe = ML.tfidf_forest(n_trees=5, vocab_size=300)
+    mine, plain = ML.fit_forest(pipe, data), pipe.fit(data)
+    assert [type(s) for s in mine.stages] == [type(s) for s in plain.stages]
+    assert len(mine.stages[-3].vocabulary) == len(plain.stages[-3].vocabulary) and mine.stages[-1].getNumTrees == 5
+    scored = mine.transform(data).select("doc_id", ML.probability_of().alias("p"))
+    assert scored.count() == data.count() and scored.where("p between 0 and 1").count() == data.count()
