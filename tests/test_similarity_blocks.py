@@ -1,5 +1,7 @@
 """Exact neighbours and edges with pruned pairs of blocks, against brute force."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -69,3 +71,28 @@ def test_far_blocks_are_skipped(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id long, vec array<double>")
     assert V.top_k_neighbours(df, 3).count() == 0 and V.similarity_edges(df).count() == 0
+
+
+def test_relaxed_wmd_in_parts_is_the_plain_one(spark, tmp_path, monkeypatch):
+    """Turns in many parts against the formula; a turn without words has no pair."""
+    from textloom.plans import QUERIES, wordvec
+    rng = np.random.default_rng(6)
+    vecs = rng.random((7, 5))
+    texts = {(c, t): " ".join(rng.choice(list("abcdefgh"), 6)) for c in range(8) for t in range(3)} | {(9, 0): "a b", (9, 1): "", (9, 2): "c"}
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(*k, x) for k, x in texts.items()], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def words(text):
+        seen = {w: np.log1p(text.split().count(w)) for w in sorted(set(text.split()))}
+        at = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % len(vecs) for w in seen]
+        return vecs[at], np.array(list(seen.values())) / sum(seen.values())
+    want = {}
+    for (c, t), x in texts.items():
+        if x and texts.get((c, t + 1)):
+            (va, wa), (vb, wb) = words(x), words(texts[c, t + 1])
+            d = np.linalg.norm(va[:, None] - vb[None], axis=2)
+            want[c, t, t + 1] = max((wa * d.min(1)).sum(), (wb * d.min(0)).sum())
+    for most in (wordvec.PART_WORDS, 10):
+        monkeypatch.setattr(wordvec, "PART_WORDS", most)
+        got = {(r.conv_id, r.ta, r.tb): r.rwmd for r in QUERIES["vec_relaxed_wmd"](spark, str(tmp_path)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
