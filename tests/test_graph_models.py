@@ -51,3 +51,13 @@ def test_density_clusters_find_groups_and_noise(spark):
     for g in range(3):
         assert {got[i] for i in np.flatnonzero(groups == g).tolist()} == {25 * g}
     assert sum(got[i] is None for i in range(75, 105)) >= 28
+
+
+def test_rounds_keep_size_estimates_small(spark):
+    """A chain whose picks all point one way takes many doublings and rounds."""
+    n = 150
+    edges = [(i, i + 1, float(i % 7) + i / 1000) for i in range(n)]
+    forest, labels = D.spanning_forest(spark.createDataFrame(edges, "a long, b long, w double"), 0)
+    assert forest.count() == n and {r.component for r in labels.collect()} == {0}
+    for df in (forest, labels):
+        assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10 ** 18

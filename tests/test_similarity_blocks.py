@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from textloom.operators import near as NR
 from textloom.operators import vectors as V
 
 DIM = 16
@@ -96,3 +97,54 @@ def test_relaxed_wmd_in_parts_is_the_plain_one(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(wordvec, "PART_WORDS", most)
         got = {(r.conv_id, r.ta, r.tb): r.rwmd for r in QUERIES["vec_relaxed_wmd"](spark, str(tmp_path)).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "offset", "odd", "scales", "copies", "huge", "tiny"])
+def test_bounded_search_equals_plain_one(kind, monkeypatch):
+    """Bit for bit what direct differences give, also for repeated and null ids, copies, and
+    vectors that single precision can't tell apart or hold; in few measured pairs."""
+    rng = np.random.default_rng(8)
+
+    def block(n, dim):
+        m = rng.normal(0, 1, (n, dim)) * {"huge": 1e300, "tiny": 1e-12}.get(kind, 1.0)
+        if kind == "ties":
+            m = np.round(m)
+        if kind == "offset":
+            m = m * 1e-3 + 1e6
+        if kind == "odd":
+            m[rng.random((n, dim)) < .02], m[rng.random((n, dim)) < .02] = np.nan, np.inf
+        if kind == "scales":
+            m *= 10.0 ** rng.integers(-150, 150, (n, 1))
+        if kind == "copies":
+            m[:] = m[0]
+            m[::7] += 1e-9
+        return m
+
+    def rows(frames):
+        return sorted(tuple(r) for f in frames for r in f.fillna(-1).to_numpy(dtype=float).tolist())
+    for gathered in (NR.GATHERED, 50):
+        monkeypatch.setattr(NR, "GATHERED", gathered)
+        for trial in range(12):
+            k, dim, (na, nb) = int(rng.integers(1, 7)), int(rng.integers(1, 12)), rng.integers(1, 80, 2)
+            ids = [rng.permutation(na + nb), rng.integers(0, 12, na + nb)][trial % 2].astype(float)
+            if trial % 3 == 0:
+                ids[rng.random(na + nb) < .1] = np.nan
+            (a, b), (ia, ib) = (block(na, dim), block(nb, dim)), (ids[:na], ids[na:])
+            with np.errstate(all="ignore"):
+                found, free = NR.nearest(ia, a, k), NR.nearest_between(ia, a, np.full(na, np.inf), ib, b, np.full(nb, np.inf), k)
+                (ia, a), (ib, b) = ((i[f], m[f]) for i, m in ((ia, a), (ib, b)) for f in [np.isfinite(m).all(1)])
+                assert rows(found) == rows(V._best_of_block(ia, a, ia, a, k, False) if len(a) else [])
+                assert rows(free) == rows(V._best_of_block(ia, a, ib, b, k, False) + V._best_of_block(ib, b, ia, a, k, False) if len(a) and len(b) else [])
+
+
+def test_few_pairs_are_measured(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (3000, 32))
+    met = []
+    plain = NR._open_pairs
+    monkeypatch.setattr(NR, "_open_pairs", lambda *a: ((met.append(len(u)), (u, v))[1] for u, v in plain(*a)))
+    kth = NR.nearest(np.arange(3000), x, 5)[0].groupby("id")["sim"].max().to_numpy()
+    x[2000:] = x[0]                              # a third are copies of one
+    NR.nearest(np.arange(3000), x, 5)
+    NR.nearest_between(np.arange(1000), x[:1000], kth[:1000], np.arange(1000, 2000), x[1000:2000], kth[1000:2000], 5)
+    assert sum(met) < 0.02 * 3000 * 3000

@@ -6,8 +6,10 @@ from everything. The minimum spanning forest of that graph is found by Boruvka r
 over an edge table: every component takes its lightest outgoing edge (ties by the ids of
 its ends), the picks are followed to a root by pointer doubling, and edges are relabelled
 and reduced to the lightest for each pair of components. Rounds are at most the logarithm of
-the vectors; a round's tables are aggregates and joins on component ids, cut by
-checkpoints. Every round at least halves the components; once no more than ``IN_TASK`` edges
+the vectors; a round's tables are aggregates and joins on component ids, written to
+the shared folder and read again: a checkpoint keeps the size its plan was estimated at,
+and through the joins of the rounds that estimate grows to numbers of millions of digits.
+Every round at least halves the components; once no more than ``IN_TASK`` edges
 are left between them, one task ends the forest by sorting those. The order of edges is
 total, so both ways give the one forest. Cutting it at a weight leaves the clusters of that
 density."""
@@ -22,12 +24,20 @@ from pyspark.sql import functions as F
 
 from textloom.operators.common import materialize, with_one_row
 from textloom.operators.vectors import top_k_neighbours
+from textloom.sources.io import scratch_path
 
 
 #: Edges between components that one task may hold (32 bytes each).
 IN_TASK = 200_000
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, with the size of its files as its estimate."""
+    path = scratch_path(df.sparkSession, "forest")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def reachability_edges(vectors: DataFrame, k: int = 5, id_col: str = "id", vec: str = "vec") -> tuple[DataFrame, DataFrame]:
     """(a, b, w) with a < b: the edges of the neighbour graph, and (id, core)."""
     near = materialize(top_k_neighbours(vectors, k, id_col, vec, metric="euclidean"))
@@ -50,7 +60,7 @@ def _roots(picks: DataFrame) -> DataFrame:
         for _ in range(3):                       # three doublings a job: paths of up to eight picks
             again = up.select(F.col("c").alias("up"), F.col("up").alias("next"))
             up = up.join(again, "up", "left").select("c", F.col("up").alias("was"), F.coalesce("next", "up").alias("up"))
-        up = materialize(up)
+        up = _stored(up)
         if up.where("up <> was").isEmpty():
             return up.select("c", F.col("up").alias("root"))
 
@@ -84,31 +94,31 @@ def spanning_forest(edges: DataFrame, in_task: int = IN_TASK) -> tuple[DataFrame
     of every node in it; a component is named by its least node. Loops are ignored; equal
     weights are ordered by the ids, so the forest is unique."""
     edge = F.struct("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    live = materialize(edges.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), edge.alias("e"))
+    live = _stored(edges.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), edge.alias("e"))
                        .groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e")))
     nodes = live.select(F.explode(F.array("x", "y")).alias("node")).distinct().select("node", F.col("node").alias("c"))
     forest = []
     while (left := live.count()) > in_task:
         ends = live.select(F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("other"), "e"),
                                              F.struct(F.col("y").alias("c"), F.col("x").alias("other"), "e"))).alias("p"))
-        picks = materialize(ends.groupBy(F.col("p.c").alias("c")).agg(F.min(F.struct(F.col("p.e").alias("e"), F.col("p.other").alias("other"))).alias("m"))
+        picks = _stored(ends.groupBy(F.col("p.c").alias("c")).agg(F.min(F.struct(F.col("p.e").alias("e"), F.col("p.other").alias("other"))).alias("m"))
                             .select("c", "m.other", "m.e"))
         forest.append(picks.select("e.a", "e.b", "e.w").distinct())
         root = _roots(picks.select("c", "other"))
-        nodes = nodes.join(root, "c", "left").select("node", F.coalesce("root", "c").alias("c"))    # one join a round
+        nodes = _stored(nodes.join(root, "c", "left").select("node", F.coalesce("root", "c").alias("c")))
         to = lambda c: root.select(F.col("c").alias(c), F.col("root").alias(f"r{c}"))
-        live = materialize(live.join(to("x"), "x").join(to("y"), "y").where("rx <> ry")
+        live = _stored(live.join(to("x"), "x").join(to("y"), "y").where("rx <> ry")
                            .groupBy(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).agg(F.min("e").alias("e")))
     if left:
-        last = materialize(_sorted_forest(live))
+        last = _stored(_sorted_forest(live))
         forest.append(last.where("x is null").select("a", "b", "w"))
         root = last.where("x is not null").select(F.col("x").alias("c"), "root")
         nodes = nodes.join(root, "c", "left").select("node", F.coalesce("root", "c").alias("c"))
-    nodes = materialize(nodes)
+    nodes = _stored(nodes)
     named = nodes.groupBy("c").agg(F.min("node").alias("component"))
     labels = nodes.join(named, "c").select("node", "component")
     empty = edges.select("a", "b", "w").limit(0)
-    return materialize(reduce(DataFrame.unionByName, forest, empty)), labels
+    return _stored(reduce(DataFrame.unionByName, forest, empty)), labels
 
 
 def density_clusters(vectors: DataFrame, k: int = 5, cut: Column | None = None, min_size: int = 5, id_col: str = "id",

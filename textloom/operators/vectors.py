@@ -13,7 +13,9 @@ similarity search is exact and blocked:
   distance is known. Every other pair of blocks is one group, scored with one
   matrix product inside ``applyInPandas``, that emits only each row's top-k (or
   the pairs above a threshold); a final per-row top-k uses Spark's partial
-  ``WindowGroupLimit``.
+  ``WindowGroupLimit``. For Euclidean distances the product only bounds them
+  (``near``): few pairs are measured, and a row brings along its k-th distance
+  within its block, beyond which it takes no pair.
 * ``rank_against``: query blocks against corpus blocks, one cogrouped task per
   pair of blocks; ranks per query are distributed prefix counts.
 """
@@ -27,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import near as NR
 from textloom.operators.common import evaluate_once, materialize
 from textloom.operators.ordering import ordered_prefix
 
@@ -261,14 +264,18 @@ def top_k_neighbours(df: DataFrame, k: int = 10, id_col: str = "id", vec: str =
 
     def score_block(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, m = pdf["id"].to_numpy(), _stack(pdf["vec"])
-        out = _best_of_block(ids, m, ids, m, k, cos)
+        out = _best_of_block(ids, m, ids, m, k, cos) if cos else NR.nearest(ids, m, k)
         return pd.concat(out, ignore_index=True).assign(blk=pdf["blk"].iloc[0]) if out else none.assign(blk="")
 
     def score_pair(pdf: pd.DataFrame) -> pd.DataFrame:
         here = (pdf["blk"] == pdf["a"]).to_numpy()
         ids, m = pdf["id"].to_numpy(), _stack(pdf["vec"])
-        sides = [(ids[x], m[x], ids[~x], m[~x]) for x in (here, ~here)]
-        out = [p for side in sides for p in _best_of_block(*side, k, cos)]
+        if cos:
+            sides = [(ids[x], m[x], ids[~x], m[~x]) for x in (here, ~here)]
+            out = [p for side in sides for p in _best_of_block(*side, k, cos)]
+        else:
+            most = pdf["kth"].fillna(math.inf).to_numpy()
+            out = NR.nearest_between(ids[here], m[here], most[here], ids[~here], m[~here], most[~here], k)
         return pd.concat(out, ignore_index=True) if out else none
 
     own = rows.groupBy("blk").applyInPandas(score_block, schema + ", blk string")
@@ -276,6 +283,9 @@ def top_k_neighbours(df: DataFrame, k: int = 10, id_col: str = "id", vec: str =
     if pairs is not None:
         own = materialize(own)
         needed = pairs_needed(rows, own, pairs, k, cos)
+        if not cos:
+            known = own.groupBy("blk", "id").agg(F.max("sim").alias("kth"), F.count(F.lit(1)).alias("met")).where(F.col("met") >= k)
+            rows = rows.join(known.select("blk", "id", "kth"), ["blk", "id"], "left")
         cand = own.drop("blk").unionByName(_paired(rows, needed).applyInPandas(score_pair, schema))
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("id", "nbr", "rank", "sim"))
