@@ -15,6 +15,7 @@ from textloom.operators import metrics as MT
 
 from textloom.operators import models as ML
 from textloom.operators import skipgram as SG
+from textloom.operators import sparse_forest as SP
 from textloom.operators import topic_model as TM
 from textloom.plans import QUERIES
 from textloom.plans.ml import labelled_docs
@@ -74,6 +75,82 @@ def test_grid_has_all_settings(spark):
     assert all(0 <= r.auc <= 1 for r in grid) and max(r.auc for r in grid) > 0.55
 
 
+def _rows_of_words(n=120):
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.4, (n, 12)) * rng.choice([0.5, 1.5, -1.0], 12)
+    y = ((x[:, 0] + x[:, 3] + rng.normal(0, 0.5, n)) > 0.5).astype(float)
+    return x, y
+
+
+def test_sparse_forest_splits_like_a_plain_search(spark):
+    """Every node of a forest that draws all features has the best gain of its bootstrap rows."""
+    x, y = _rows_of_words()
+    df = spark.createDataFrame([(i, float(y[i]), 0, x[i].tolist()) for i in range(len(y))], "key long, label double, fold int, x array<double>")
+    df = df.select("key", "label", "fold", array_to_vector("x").alias("features"))
+    bins = SP.fold_bins(df, "features", 2, 12, 32)[1]
+    for f in range(12):
+        v = np.unique(x[:, f])
+        assert np.allclose(bins.values[bins.start[f]:bins.start[f + 1]], (v[:-1] + v[1:]) / 2)
+    weight = SP.bags(np.arange(len(y)), 3, 7, SP.bag_table(1.0)).astype(int)
+    for kind in ("gini", "entropy"):
+        nodes = [SP.grow(SP.packed_blocks(df.repartition(k), bins, "label", "features", "key"), bins, 2, 3, 4, "all", kind, 7) for k in (1, 5)]
+        assert nodes[0].equals(nodes[1]) and set(nodes[0]["tree"]) == {0, 1, 2}
+        for t, tree in nodes[0].groupby("tree"):
+            at, todo = tree.set_index("id"), [(0, np.arange(len(y)), 0)]
+            while todo:
+                i, rows, depth = todo.pop()
+                n, w = at.loc[i], weight[rows, t]
+                count = lambda r: np.bincount(y[r].astype(int), weights=weight[r, t], minlength=2)
+                bad = lambda c: SP.impurity_of(c[None, :], kind)[0]
+                gain = lambda f, cut: bad(count(rows)) - sum(
+                    count(s).sum() / w.sum() * bad(count(s)) for s in (rows[x[rows, f] <= cut], rows[x[rows, f] > cut]))
+                assert list(n["stats"]) == count(rows).tolist()
+                best = max(gain(f, c) for f in range(12) for c in bins.values[bins.start[f]:bins.start[f + 1]])
+                if n["left"] < 0:
+                    assert depth == 4 or best < 1e-9
+                    continue
+                assert abs(gain(n["feature"], n["threshold"]) - best) < 1e-9
+                low = x[rows, n["feature"]] <= n["threshold"]
+                todo += [(n["left"], rows[low], depth + 1), (n["right"], rows[~low], depth + 1)]
+
+
+def test_sparse_forest_ranks_like_sparks(spark):
+    pipe, feats = _features(spark)
+    rf, held = pipe.getStages()[-1], feats.where("doc_id % 3 = 0")
+    data = feats.withColumn("fold", (F.col("doc_id") % 3 != 0).cast("int")).withColumn("key", F.xxhash64("doc_id"))
+    bins = SP.fold_bins(data, "features", 2, 400, 32)[0]
+    blocks = SP.packed_blocks(data.where("fold = 1"), bins, "label", "features", "key")
+    for subset in ("sqrt", "log2"):
+        nodes = SP.grow(blocks, bins, 2, 100, 6, subset, "gini", 0)
+        ours = MT.roc_auc(FG.score_cuts(held, FG.Nodes(nodes), (100,), (6,), "label", "features")).first()["auc"]
+        model = rf.copy({rf.numTrees: 100, rf.maxDepth: 6, rf.featureSubsetStrategy: subset}).fit(data.where("fold = 1"))
+        theirs = MT.roc_auc(model.transform(held).select("label", ML.probability_of().alias("score"))).first()["auc"]
+        assert abs(ours - theirs) < 0.15
+        inner = nodes[nodes["left"] >= 0]
+        assert inner["feature"].nunique() > 20 and 0.5 < len(nodes) / model.totalNumNodes < 2
+
+
+def test_nodes_draw_runs_of_all_features():
+    level = SP.Level(3, np.arange(60), None, None, None, None, np.zeros(0, np.uint8), 33, 9, 5, 2, None)
+    runs = level.run_of(300)
+    assert runs.shape == (300, 3) and all((np.bincount(runs[:, i])[:33] == 9).all() for i in range(3))
+    assert not (runs[:, 0] == runs[:, 1]).all()
+    weight = SP.bags(np.random.default_rng(0).integers(-2**62, 2**62, 4000), 50, 0, SP.bag_table(1.0))
+    assert abs(weight.mean() - 1) < 0.01 and abs((weight == 0).mean() - np.exp(-1)) < 0.01 and abs(weight.var() - 1) < 0.02
+    assert abs(np.corrcoef(weight.T)[0, 1:]).max() < 0.08
+    many = SP.thresholds_of(np.arange(1.0, 101), np.ones(100), 200, 31)
+    assert len(many) <= 31 and (many > 0).all()
+
+
+def test_grid_fits_no_dense_forest(spark, monkeypatch):
+    """Spark ML's forest holds a cell for each row and feature; the grid must not fit one."""
+    from pyspark.ml.classification import RandomForestClassifier
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda *a: pytest.fail("a dense forest was fitted"))
+    grid = FG.grid_search(ML.tfidf_forest(vocab_size=300), labelled_docs(spark, SF), lambda n: IO.scratch_path(spark, n),
+                          trees=(3,), depths=(2,), subsets=("sqrt",), impurities=("gini",), folds=2).collect()
+    assert len(grid) == 1
+
+
 def _planted(spark):
     rng = np.random.default_rng(1)
     groups = [["red", "green", "blue", "pink"], ["cat", "dog", "cow", "hen"], ["one", "two", "six", "ten"]]
