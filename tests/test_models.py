@@ -1,5 +1,6 @@
 """Invariants of the trained models on the smallest tables."""
 
+import os
 from itertools import product
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import forest_grid as FG
 from textloom.operators import metrics as MT
 
@@ -17,8 +19,10 @@ from textloom.operators import models as ML
 from textloom.operators import skipgram as SG
 from textloom.operators import sparse_forest as SP
 from textloom.operators import topic_model as TM
+from textloom.operators.common import CLEANUP
 from textloom.plans import QUERIES
 from textloom.plans.ml import labelled_docs
+from textloom.plans.vocab import w2v_sentences
 from textloom.sources import io as IO
 
 SF = "/root/testdata/sf0.001"
@@ -193,6 +197,60 @@ def test_document_vectors_are_means(spark):
     assert [(r.doc_id, [round(x, 9) for x in r.vec]) for r in SG.document_vectors(docs, vec).collect()] == [(1, [round(2 / 3, 9), 1.0])]
 
 
+def test_skip_gram_cells_hold_every_pair(spark):
+    """Counts move packed, a row a cell, and are those of ``pair_counts``, whose draws are Spark's hashes."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i if i % 7 else None, [f"w{j}" for j in rng.integers(0, 40, 30)]) for i in range(40)],
+                                 "doc_id long, tokens array<string>").repartition(5)
+    words = spark.createDataFrame([(f"w{j}", j + 1, 30) for j in range(35)], "word string, id int, cnt long")
+    plain = {(r.a, r.b): r.n for r in SG.pair_counts(docs, words, 3, 0.01, 7).collect()}
+    blk, place, size = SG._dealt(35, 4, 7)
+    assert [r[0] for r in spark.range(1, 36).select(F.pmod(F.xxhash64(F.lit(7), F.col("id").cast("int")), F.lit(4))).collect()] == blk[1:].tolist()
+    at = {(int(b), int(p)): i for i, (b, p) in enumerate(zip(blk, place)) if i}
+    got = {}
+    for r in SG.pair_cells(docs, words, 35, 4, 3, 0.01, 7).collect():
+        keys, n = SG._pairs_of(pd.DataFrame([r.asDict()]))
+        got |= {(at[r.cell, int(k >> 32)], at[(r.cell + r.turn) % 4, int(k & 0xFFFFFFFF)]): int(x) for k, x in zip(keys, n)}
+    assert got == plain and len(plain) > 300
+
+
+def test_skip_gram_rounds_leave_one_state(spark, tmp_path, monkeypatch):
+    """Of all rounds only the last vectors stay on disk, a row for each side of a block."""
+    kept = []
+    monkeypatch.setattr(SG, "materialize", lambda df, f=SG.materialize: kept.append(f(df)) or kept[-1])
+    _, docs = _planted(spark)
+    SG.train(docs, min_count=5, size=8, passes=6, negative=3, sample=1.0, blocks=2, per_visit=2).collect()
+    files = [d._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get() for d in kept]
+    there = [os.path.exists(f.removeprefix("file:")) for f in files]
+    assert len(kept) == 2 + 4 and there == [True, True, False, False, False, True]
+    assert kept[-1].count() == 4 and spark.conf.get(CLEANUP, None) is None or spark.conf.get(CLEANUP) == "false"
+
+
+def test_document_vectors_move_a_vector_once_a_part(spark):
+    """Not a row of a vector for each word of each document."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 30, rng.choice([f"w{j}" for j in range(12)], 9).tolist()) for i in range(40)] + [(None, ["w1"]), (99, None), (98, [None, "w2"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    vec = {f"w{j}": rng.random(5) for j in range(10)}
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "word string, vec array<double>")
+    out = SG.document_vectors(docs, table)
+    assert "aggregate_metrics" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()).lower() and "MapInArrow" in plan
+    want = {}
+    for d, t in rows:
+        want.setdefault(d, []).extend(vec[w] for w in t or [] if w in vec)
+    got = {r.doc_id: r.vec for r in out.collect()}
+    assert set(got) == {d for d, v in want.items() if v} and all(np.allclose(got[d], np.mean(want[d], axis=0)) for d in got)
+
+
+def test_words_of_the_word_vector_corpus(spark):
+    """Words are found in the text, not left over by a replacement of the rest."""
+    texts = ["It's A\u212a test-CASE, x1y2 ''", "", None, "\u00c9t\u00e9 caf\u00e9 \u0130I", " \n", "''a b''\u00a0c"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = d.select(T.tokenize_ws(T.alpha_only("text")).alias("old"), F.transform(T.alpha_words("text"), lambda x: F.lower(x)).alias("new")).collect()
+    assert all(x.old == x.new for x in r) and r[2].new is None and r[0].new[:2] == ["it's", "a"]
+    assert "regexp_replace" not in w2v_sentences(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lda_topics(spark):
     rows = QUERIES["top_lda"](spark, SF).collect()
     assert {r.topic for r in rows} == {0, 1, 2, 3} and len(rows) == 40
