@@ -307,6 +307,14 @@ def test_mean_vector_classifier_ranks_held_out_rows(spark):
     assert scored.count() == 40 and MT.roc_auc(scored).first()["auc"] > 0.95
 
 
+def test_mean_vectors_are_made_once(spark):
+    """The fit and the scores read kept vectors; the corpus is not read again."""
+    df = spark.range(40).select(F.array(F.col("id") % 5 / 5, F.rand(3)).alias("vec"), (F.col("id") % 2).cast("double").alias("label"))
+    model, feat = ML.mean_vector_classifier(df)
+    assert "Range" not in feat._jdf.queryExecution().optimizedPlan().toString()
+    assert model.transform(feat).where(ML.probability_of().between(0, 1)).count() == 40
+
+
 def test_projection_and_clusters(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     pcs = QUERIES["ml_pca_project"](spark, SF)
