@@ -293,6 +293,24 @@ def test_topic_model_step_is_the_plain_one(spark):
     assert none.count() == 0
 
 
+def test_topic_model_passes_leave_one_state(spark, monkeypatch):
+    """Of all passes only the last counts and shares stay on disk, and a pass sends no word."""
+    kept = []
+    monkeypatch.setattr(TM, "materialize", lambda df, f=TM.materialize: kept.append(f(df)) or kept[-1])
+    monkeypatch.setattr(TM, "BLOCK_COUNTS", 300)
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in rng.integers(0, 50, 30)]) for i in range(50)], "doc_id long, tokens array<string>")
+    words, shares = TM.train(docs, k=3, passes=4, tol=0)
+    files = [d._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get() for d in kept]
+    there = [os.path.exists(f.removeprefix("file:")) for f in files]
+    # words, dealt words, blocks, members, first parts, then the state and the parts of each pass
+    assert there == [False, True, True, True, False] + [False] * 6 + [True] * 2
+    assert not any("word" in d.columns for d in kept[2:])
+    blocks = kept[2].collect()
+    assert len(blocks) >= 4 and all(len(b.n) == len(b.w) and len(b.n) <= 300 + 30 for b in blocks)   # a byte each
+    assert words.count() == 50 and shares.count() == 50
+
+
 def test_mean_vector_classifier_ranks_held_out_rows(spark):
     """Documents of two planted vocabularies: the held-out half is told apart."""
     rng = np.random.default_rng(2)
