@@ -64,3 +64,35 @@ def test_few_phrases_go_to_the_pairs(spark):
     plan, _ = _plan(m, spark)
     assert "BroadcastHashJoin" in plan
     assert all(r["merged"][0] == "a_b" and len(r["merged"]) == 2 for r in m.collect())
+
+
+def test_phrase_counts_are_kept_a_row_a_word(spark, monkeypatch):
+    """Every pair is counted, but only what can be a phrase is stored."""
+    kept = []
+    monkeypatch.setattr(V, "materialize", lambda df, f=V.materialize: kept.append(f(df)) or kept[-1])
+    rows = [(i, ["a", "b", f"w{i}", None, "a", f"x{i % 3}"]) for i in range(30)] + [(31, []), (32, None), (33, ["a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    one, two = {}, {}
+    for _, t in rows:
+        for i, x in enumerate(t or []):
+            one[x] = one.get(x, 0) + 1
+            if i + 1 < len(t) and t[i + 1] is not None:
+                two[x, t[i + 1]] = two.get((x, t[i + 1]), 0) + 1
+    for least, threshold in ((5, 0.0), (5, 0.5), (2, -10.0)):
+        got = {(r.a, r.b): (r.n_ab, r.score) for r in V.phrase_scores(docs, min_count=least, threshold=threshold).collect()}
+        size = len(one) + len(two)
+        want = {(a, b): (n, (n - least) / (one[a] * one[b]) * size) for (a, b), n in two.items() if a is not None}
+        want = {k: x for k, x in want.items() if x[1] > threshold}
+        assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+        assert kept[-1].count() == len(one)
+
+
+def test_hashes_of_more_phrases_go_to_the_pairs(spark, monkeypatch):
+    d = spark.createDataFrame([(i, ["a", "b", "c", "a", None, "b", f"w{i}"]) for i in range(9)] + [(20, None)], "doc_id long, tokens array<string>")
+    p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "w3"), ("x", None)], "a string, b string")
+    few = sorted((r.doc_id, r.merged) for r in V.merge_phrases(d, p).where("doc_id < 20").collect())
+    monkeypatch.setattr(V, "SMALL_ROWS", 2)
+    m = V.merge_phrases(d, p)
+    plan, _ = _plan(m, spark)
+    assert "xxhash64" in plan and "BroadcastHashJoin" in plan
+    assert sorted((r.doc_id, r.merged) for r in m.where("doc_id < 20").collect()) == few and few[3][1] == ["a_b", "c_a", None, "b_w3"]
